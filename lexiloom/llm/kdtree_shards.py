@@ -63,18 +63,21 @@ def _reached(sums: DataFrame, goal: dict[int, float], shards: int) -> dict[int,
     return {r["cell"]: (r["at"], r["upto"] - r["bytes"], r["bytes"]) for r in hit.collect()}
 
 
-def grow(rows: DataFrame, shards: int, n_dims: int) -> list[Level]:
-    """The tree's levels over rows (row, size, dims), with one leaf a shard."""
+def grow(rows: DataFrame, shards: int, n_dims: int) -> DataFrame:
+    """rows (row, size, dims) with cell, the leaf of the tree that each lies in; one leaf a shard.
+
+    Each level's cells are a written table, so that no plan holds more than one level.
+    """
     ends = rows.agg(F.sum("size"), *[f(F.col("dims")[k]) for k in range(n_dims) for f in (F.min, F.max)]).first()
+    at_cell = rows.withColumn("cell", F.lit(0))
     if ends[0] is None:
-        return []
+        return at_cell
     whole = [(ends[1 + 2 * k], ends[2 + 2 * k]) for k in range(n_dims)]
     width = [max(high - low, 1e-12) for low, high in whole]
     leaves, held, box = {0: shards}, {0: ends[0]}, {0: list(whole)}
-    levels: list[Level] = []
-    at_cell = rows.withColumn("cell", F.lit(0))
+    depth = 0
     while any(n > 1 for n in leaves.values()):
-        here = Level(len(levels), *([0] * shards for _ in range(6)))
+        here = Level(depth, *([0] * shards for _ in range(6)))
         here.at = [SLICES] * shards
         goal = {c: held[c] * (n // 2) / n for c, n in leaves.items() if n > 1}
         for c in goal:
@@ -98,9 +101,8 @@ def grow(rows: DataFrame, shards: int, n_dims: int) -> list[Level]:
             box[c][k], box[c + half][k] = (low, min(high, low + step * (slice_ + 1))), (low + step * slice_, high)
             held[c + half], held[c] = held[c] - left, left
             leaves[c + half], leaves[c] = leaves[c] - half, half
-        levels.append(here)
-        at_cell = here.split(at_cell)
-    return levels
+        at_cell, depth = written(here.split(at_cell), "kd-level"), depth + 1
+    return at_cell
 
 
 def shard(df: DataFrame, dims: dict[str, Column], shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,10 +121,7 @@ def shard(df: DataFrame, dims: dict[str, Column], shards: int = 40, id_col: str
     )
     low = rows.agg(*[F.min(F.col("dims")[k]) for k in range(len(dims))]).first()
     rows = rows.withColumn("dims", F.array(*[F.coalesce(F.col("dims")[k], F.lit(low[k] or 0.0)) for k in range(len(dims))]))
-    placed = rows.withColumn("cell", F.lit(0))
-    for level in grow(rows, shards, len(dims)):
-        placed = level.split(placed)
-    placed = placed.select("doc_id", "row", "size", "text_crc32", F.col("cell").alias("shard"))
+    placed = grow(rows, shards, len(dims)).select("doc_id", "row", "size", "text_crc32", F.col("cell").alias("shard"))
     return with_slots(placed, "shard", F.xxhash64("row"), [F.col("doc_id"), F.col("row")]).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 

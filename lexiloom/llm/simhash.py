@@ -65,29 +65,23 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id long, fp long", work)
 
 
-def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> dict[int, int]:
-    """Union-find over pairs; gives every node its smallest known companion."""
-    parent: dict[int, int] = {}
+def _forest(own: np.ndarray, other: np.ndarray, radius: int) -> pa.RecordBatch:
+    """A spanning forest, as links a, b, of the links between two sets of fingerprints.
 
-    def find(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = up
-        return x
-
-    for a, b in pairs:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if (x := find(x)) != (y := find(y)):
-                parent[max(x, y)] = min(x, y)
-    return {x: find(x) for x in parent}
-
-
-def _close(some: np.ndarray, other: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for i in range(0, len(some), BLOCK):
+    Labels of nodes are merged row by row of each compared block, so that a
+    block in which all are near costs no more memory than any other.
+    """
+    label = np.arange(len(own) + len(other))
+    for i in range(0, len(own), BLOCK):
         for j in range(0, len(other), BLOCK):
-            a, b = np.nonzero(np.bitwise_count(some[i : i + BLOCK, None] ^ other[None, j : j + BLOCK]) <= radius)
-            a, b = some[i + a], other[j + b]
-            yield a[a != b].view(np.int64), b[a != b].view(np.int64)
+            near = np.bitwise_count(own[i : i + BLOCK, None] ^ other[None, j : j + BLOCK]) <= radius
+            for row in np.flatnonzero(near.any(axis=1)):
+                met = np.append(label[len(own) + j + np.flatnonzero(near[row])], label[i + row])
+                if (least := met.min()) != met.max():
+                    label[np.isin(label, met)] = least
+    fp = np.concatenate([own, other]).view(np.int64)
+    a, b = fp, fp[label]
+    return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
 
 def tile_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
@@ -124,7 +118,8 @@ def tile_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
                 some = fp[i:j].view(np.uint64)
                 if visit[i] == 0:
                     kept.append(some)
-                yield _edges(_forest(pair for own in kept for pair in _close(own, some, radius)))
+                for own in kept:
+                    yield _forest(own, some, radius)
 
     return dealt.mapInArrow(compare, "a long, b long")
 
