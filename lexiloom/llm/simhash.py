@@ -124,11 +124,6 @@ def tile_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def _edges(links: dict[int, int]) -> pa.RecordBatch:
-    found = [(x, root) for x, root in links.items() if x != root]
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-
 def components(links: DataFrame) -> DataFrame:
     """node and component, the smallest node reachable, for every node of the links a, b.
 
