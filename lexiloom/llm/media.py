@@ -131,7 +131,7 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64(), len(raw)), pa.array(map(encode_png, raw), pa.binary(), len(raw))], ["doc_id", "n_bytes", "media"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(list(map(encode_png, raw)), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id long, n_bytes long, media binary", work)
 
