@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Keys with more than this share of the rows are joined by broadcast; at most 1 / HOT_SHARE keys can have so many.
 HOT_SHARE = 0.001
@@ -51,7 +52,7 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         at = max(end, at + 1)
 
 
-def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int = SLICE_BYTES) -> DataFrame:
+def map_batches(df: DataFrame, schema: str | StructType, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with a function of a batch whose texts are bounded in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,6 +64,16 @@ def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+def filter_texts(df: DataFrame, text_col: str, keep: Callable[[str | None], bool]) -> DataFrame:
+    """The rows of df whose text is to be kept, with all their columns and without a shuffle."""
+    at = df.columns.index(text_col)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([keep(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return map_batches(df, df.schema, work)
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Texts split at ASCII white space: (bounds, codes, words).
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import map_batches, slices
+from lexiloom.llm.common import filter_texts, map_batches, slices
 
 #: Buckets that byte trigrams are hashed to.
 BUCKETS = 1 << 16
@@ -134,6 +134,12 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id long, lang_pred string, score double, mixture map<string,double>", work)
 
 
+def keep_known(df: DataFrame, model: Model, text_col: str = "text", least_share: float = 0.5) -> DataFrame:
+    """The rows of df whose text has a known language with at least this share, with all their columns."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    return filter_texts(df, text_col, lambda text: max(sent.value.mixture(text).values(), default=0.0) >= least_share)
+
+
 def remainder(n: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo n; null ids have the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n

@@ -151,3 +151,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = distinct.join(linked.join(roots, "component").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return join_unique(prints, of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+    """df with the row of the smallest id of each group of near-duplicates. Of repeated rows one stays; rows with a null id all stay."""
+    first = near_duplicates(df, id_col, text_col, radius).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return df.filter(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col]).unionByName(df.filter(F.col(id_col).isNull()))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import map_batches, slices, written
+from lexiloom.llm.common import filter_texts, map_batches, slices, written
 
 #: The most labelled rows that a model is fitted on, those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -108,18 +108,21 @@ class Trie:
         return (best[1], best[0]) if best else None
 
 
-#: What a hit is: an exact term, a stem, or a misspelled term; in abuse or in quotation.
-KINDS = ("exact", "stem", "near", "quoted")
+#: What a hit is: an exact term, a stem, or a term with one or two edits; all of them in abuse, or any in quotation.
+KINDS = ("exact", "stem", "near", "far", "quoted")
+QUOTED = KINDS.index("quoted")
+#: Weights of a constant and of each kind before any row is seen: a single misspelling alone is a doubtful case.
+PRIOR = (-3.0, 4.0, 4.0, 3.2, 2.0, -0.5)
 
 
 @dataclass
 class Model:
-    """Lexicon, word forms known to be harmless, and the logistic weights of a constant, each kind of hit and its spread."""
+    """Lexicon, word forms known to be harmless, and the logistic weights of a constant and each kind of hit."""
 
     terms: list[str]
     stems: list[str]
     harmless: frozenset[str] = frozenset()
-    weights: list[float] = field(default_factory=lambda: [-30.0, 0.0, 0.0, 0.0, 0.0])
+    weights: list[float] = field(default_factory=lambda: [-30.0] + [0.0] * len(KINDS))
 
     def __post_init__(self) -> None:
         self.trie = Trie(self.terms, self.stems)
@@ -137,8 +140,8 @@ class Model:
             return 0
         if self.trie.stem_of(word):
             return 1
-        if word not in self.harmless and self.trie.may_be_near(word) and self.trie.near(word):
-            return 2
+        if word not in self.harmless and self.trie.may_be_near(word) and (found := self.trie.near(word)):
+            return 1 + found[1]
         return -1
 
     def hits(self, text: str | None) -> list[tuple[int, int, int]]:
@@ -154,11 +157,11 @@ class Model:
         if not any(k >= 0 for k in known.values()):
             return []
         found = [(m.start(), m.end(), known[m.group()]) for m in _WORD.finditer(low) if known.get(m.group(), -1) >= 0]
-        return [(i, j, 3 if quoted(low, i, j) else k) for i, j, k in found]
+        return [(i, j, QUOTED if quoted(low, i, j) else k) for i, j, k in found]
 
     def features(self, text: str | None) -> np.ndarray:
         counts = Counter(k for _, _, k in self.hits(text))
-        return np.array([1.0, *(math.log1p(counts[k]) for k in range(len(KINDS)))])
+        return np.array([1.0, *(1 + math.log(counts[k]) if counts[k] else 0.0 for k in range(len(KINDS)))])
 
     def score(self, text: str | None) -> float:
         z = float(self.features(text) @ np.array(self.weights))
@@ -250,23 +253,31 @@ def _lexicon(held: list[list[str]], support: dict[str, int], strong: int) -> tup
 
 
 def _weigh(model: Model, rows: DataFrame) -> Model:
-    """The model with the harmless forms near its terms and with fitted weights; the rows are a bounded sample."""
+    """The model with the harmless forms near its terms and with fitted weights; the rows are a bounded sample.
+
+    The weights are fitted on one half of the rows, with the harmless forms of the
+    other half, as forms that no row has shown must be weighed as well.
+    """
+    half = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(2)) == 0
+
+    def clean_forms(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near = [sorted({w for w in set(_WORD.findall((t or "").lower())) if model.kind(w) >= 2}) for t in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(near, pa.list_(pa.string()))], ["half", "near"])
+
+    found = map_batches(rows.filter("toxic = 0").select("text", half.alias("half")), "half boolean, near array<string>", clean_forms)
+    forms = [(r["half"], r["w"]) for r in found.select("half", F.explode("near").alias("w")).distinct().collect()]
+    partly = Model(model.terms, model.stems, frozenset(w for h, w in forms if h))
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
-        near, features = [], []
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            near.append([] if toxic else sorted({w for w in set(_WORD.findall((text or "").lower())) if model.kind(w) == 2}))
-            features.append(model.features(text).tolist())
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(near, pa.list_(pa.string())), pa.array(features, pa.list_(pa.float64()))], ["toxic", "near", "features"])
+        features = [partly.features(t).tolist() for t in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(features, pa.list_(pa.float64()))], ["toxic", "features"])
 
-    seen = map_batches(rows.select("text", "toxic"), "toxic int, near array<string>, features array<double>", look)
+    seen = map_batches(rows.filter(~half).select("text", "toxic"), "toxic int, features array<double>", look)
     grouped = seen.groupBy("toxic", "features").agg(F.count("*").alias("n")).collect()
-    harmless = seen.select(F.explode("near").alias("w")).distinct().collect()
-    x, y, n = np.array([r["features"] for r in grouped]), np.array([r["toxic"] for r in grouped], float), np.array([r["n"] for r in grouped], float)
-    # in the sample near hits of clean documents are harmless forms by definition; what is left of that kind gets a prior weight
-    x[(y == 0), 3] = 0
-    weights = _logistic(x, y, n, prior=np.array([0.0, 3.0, 3.0, 3.0, -1.0]))
-    return Model(model.terms, model.stems, frozenset(r["w"] for r in harmless), weights.tolist())
+    weights = np.array(PRIOR)
+    if grouped:
+        weights = _logistic(np.array([r["features"] for r in grouped]), np.array([r["toxic"] for r in grouped], float), np.array([r["n"] for r in grouped], float), np.array(PRIOR))
+    return Model(model.terms, model.stems, frozenset(w for _, w in forms), weights.tolist())
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -294,3 +305,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         return pa.RecordBatch.from_arrays([batch.column(0), scores, found], ["doc_id", "score", "hits"])
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id long, score double, hits array<struct<start:int,end:int,kind:string>>", work)
+
+
+def keep_clean(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of df whose text scores below the threshold, with all their columns."""
+    return filter_texts(df, text_col, lambda text: model.score(text) < threshold)
