@@ -78,7 +78,7 @@ class Roller:
             self.close()
             self.part = self.part + 1 if self.shard == shard else 0
             self.shard, self.name = shard, f"part-{shard:06d}-{self.part:04d}.warc.gz"
-            self.stream = self.fs.open_output_stream(f"{self.root}/{self.temp}/{self.name}")
+            self.stream = self.fs.open_output_stream(f"{self.root}/{self.temp}/{self.name}", compression=None)
             self.size, self.records, self.sha = 0, 0, hashlib.sha256()
             self._put(_record("warcinfo", f"urn:archive:{self.name}", b"format: WARC File Format 1.1\r\n", {"WARC-Filename": self.name, "Content-Type": "application/warc-fields"}))
         self.records += 1
@@ -209,7 +209,7 @@ def read_archive(spark: SparkSession, out_dir: str, keep_payload: bool = True) -
             for name in batch.column(0).to_pylist():
                 rows: list[tuple] = []
                 held = 0
-                with files.open_input_stream(f"{root}/{name}") as stream:
+                with files.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for member in members(stream):
                         headers, block = parse(member)
                         if headers["warc-type"] == "warcinfo":
