@@ -46,7 +46,8 @@ REPORTS = frozenset("said says saying wrote writes called calls calling quoted q
 QUOTES = "\"“”„«»‹›`"
 
 _WORD = re.compile(r"\w+")
-CACHE = 1_000_000
+#: Words that a worker keeps the outcome of.
+CACHE = 300_000
 
 
 def edits(term: str) -> int:
@@ -54,17 +55,27 @@ def edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
 
 
+@dataclass
+class Node:
+    """A place in the trie: the most edits that a term below it allows, and the term that ends here."""
+
+    most: int = 0
+    term: str | None = None
+    children: dict[str, Node] = field(default_factory=dict)
+
+
 class Trie:
     """Lexicon terms, and stems that match any word that begins with them."""
 
     def __init__(self, terms: list[str], stems: list[str]):
-        self.root: dict = {}
+        self.root = Node()
         self.terms, self.stems = frozenset(terms), frozenset(stems)
         for t in terms:
             node = self.root
             for c in t:
-                node = node.setdefault(c, {})
-            node[""] = t
+                node = node.children.setdefault(c, Node())
+                node.most = max(node.most, edits(t))
+            node.term = t
         # within k edits one of the term's k + 1 parts stands unchanged where its start or end is, or in its middle
         self.heads, self.tails, self.middles = set(), set(), set()
         for t in terms:
@@ -91,17 +102,16 @@ class Trie:
         """The nearest term within its edits, by the automaton's rows along the trie."""
         best: tuple[int, str] | None = None
 
-        def walk(node: dict, row: list[int]) -> None:
+        def walk(node: Node, row: list[int]) -> None:
             nonlocal best
-            for c, child in node.items():
-                if c == "":
-                    if row[-1] <= edits(child) and (best is None or (row[-1], child) < best):
-                        best = (row[-1], child)
-                    continue
-                new = [row[0] + 1]
-                for i, w in enumerate(word, 1):
-                    new.append(min(new[-1] + 1, row[i] + 1, row[i - 1] + (w != c)))
-                if min(new) <= 2:
+            for c, child in node.children.items():
+                new = [last := row[0] + 1]
+                for w, above, corner in zip(word, row[1:], row, strict=False):
+                    last = corner if w == c else 1 + min(last, above, corner)
+                    new.append(last)
+                if child.term and last <= edits(child.term) and (best is None or (last, child.term) < best):
+                    best = (last, child.term)
+                if min(new) <= child.most:
                     walk(child, new)
 
         walk(self.root, list(range(len(word) + 1)))
@@ -127,6 +137,7 @@ class Model:
     def __post_init__(self) -> None:
         self.trie = Trie(self.terms, self.stems)
         self.known: dict[str, int] = {}
+        self.met: set[str] = set()
 
     def __getstate__(self) -> tuple:
         return self.terms, self.stems, self.harmless, self.weights
@@ -147,26 +158,30 @@ class Model:
     def hits(self, text: str | None) -> list[tuple[int, int, int]]:
         """(start, end, index in KINDS) of each hit in the lower-cased text."""
         low = (text or "").lower()
-        words = _WORD.findall(low)
-        for w in set(words).difference(self.known):
-            if len(self.known) > CACHE:
-                self.known.clear()
-            self.known[w] = self.kind(w)
-        known = {w: k for w in set(words) if (k := self.known.get(w, -2)) != -1}
-        known = {w: self.kind(w) if k == -2 else k for w, k in known.items()}  # dropped with the cache meanwhile
-        if not any(k >= 0 for k in known.values()):
+        words = set(_WORD.findall(low))
+        if len(self.met) > CACHE:
+            self.met.clear()
+            self.known.clear()
+        fresh = words - self.met
+        self.known.update((w, k) for w in fresh if (k := self.kind(w)) >= 0)
+        self.met |= fresh
+        if words.isdisjoint(self.known.keys()):
             return []
-        found = [(m.start(), m.end(), known[m.group()]) for m in _WORD.finditer(low) if known.get(m.group(), -1) >= 0]
+        found = [(m.start(), m.end(), self.known[m.group()]) for m in _WORD.finditer(low) if m.group() in self.known]
         return [(i, j, QUOTED if quoted(low, i, j) else k) for i, j, k in found]
 
-    def features(self, text: str | None) -> np.ndarray:
-        counts = Counter(k for _, _, k in self.hits(text))
+    @staticmethod
+    def features(hits: list[tuple[int, int, int]]) -> np.ndarray:
+        counts = Counter(k for _, _, k in hits)
         return np.array([1.0, *(1 + math.log(counts[k]) if counts[k] else 0.0 for k in range(len(KINDS)))])
 
-    def score(self, text: str | None) -> float:
-        z = float(self.features(text) @ np.array(self.weights))
+    def weigh(self, hits: list[tuple[int, int, int]]) -> float:
+        z = float(self.features(hits) @ np.array(self.weights))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
+    def score(self, text: str | None) -> float:
+        return self.weigh(self.hits(text))
+
 
 def quoted(text: str, start: int, end: int) -> bool:
     """Whether the window of words around a hit shows it as another's words: quote marks on both sides, or a reporting verb just before a mark."""
@@ -269,7 +284,7 @@ def _weigh(model: Model, rows: DataFrame) -> Model:
     partly = Model(model.terms, model.stems, frozenset(w for h, w in forms if h))
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
-        features = [partly.features(t).tolist() for t in batch.column(0).to_pylist()]
+        features = [partly.features(partly.hits(t)).tolist() for t in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(features, pa.list_(pa.float64()))], ["toxic", "features"])
 
     seen = map_batches(rows.filter(~half).select("text", "toxic"), "toxic int, features array<double>", look)
@@ -299,9 +314,9 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
-        scores = pa.array([model.score(t) for t in texts], pa.float64())
-        found = pa.array([[{"start": i, "end": j, "kind": KINDS[k]} for i, j, k in model.hits(t)] for t in texts], spans)
+        hits = [model.hits(t) for t in batch.column(1).to_pylist()]
+        scores = pa.array(map(model.weigh, hits), pa.float64())
+        found = pa.array([[{"start": i, "end": j, "kind": KINDS[k]} for i, j, k in own] for own in hits], spans)
         return pa.RecordBatch.from_arrays([batch.column(0), scores, found], ["doc_id", "score", "hits"])
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id long, score double, hits array<struct<start:int,end:int,kind:string>>", work)
