@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from lexiloom.plans import search_analytics
+
 FLAGSHIP = "trends_daily"
+ALL = search_analytics.QUERIES
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
