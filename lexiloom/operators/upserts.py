@@ -97,9 +97,3 @@ def active_on(day: Column, first: str, last: str) -> Column:
 def in_scope(region: Column, regions: list[str], excepted: list[str]) -> Column:
     """Whether a region is listed, or all are by `*`, and it isn't excepted."""
     return (F.lit("*" in regions) | region.isin(regions)) & ~region.isin(excepted)
-
-
-def even_chunks(df: DataFrame, order: list[str], size: int, total: int) -> DataFrame:
-    """df with `chunk`: near-equal chunks of at most `size` rows in order, of a table of `total` rows. Rows are numbered within ranges."""
-    each = -(-total // max(1, -(-total // size)))
-    return df.withColumn("chunk", F.floor((rank(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1) / each))

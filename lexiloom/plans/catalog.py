@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexiloom.plans import search_analytics
+from lexiloom.plans import search_analytics, search_ranking
 
 FLAGSHIP = "trends_daily"
-ALL = search_analytics.QUERIES
+ALL = search_analytics.QUERIES | search_ranking.QUERIES
 
 
 def queries() -> dict:

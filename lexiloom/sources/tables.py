@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The table `name` of a directory of Parquet tables."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir; one of our own where that is unset, as in tests."""
+    if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
