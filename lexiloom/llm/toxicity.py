@@ -155,17 +155,20 @@ class Model:
             return 1 + found[1]
         return -1
 
-    def hits(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(start, end, index in KINDS) of each hit in the lower-cased text."""
-        low = (text or "").lower()
-        words = set(_WORD.findall(low))
+    def found(self, words: set[str]) -> set[str]:
+        """Those of the words that are hits; `known` then has their kinds."""
         if len(self.met) > CACHE:
             self.met.clear()
             self.known.clear()
         fresh = words - self.met
         self.known.update((w, k) for w in fresh if (k := self.kind(w)) >= 0)
         self.met |= fresh
-        if words.isdisjoint(self.known.keys()):
+        return words & self.known.keys()
+
+    def hits(self, text: str | None) -> list[tuple[int, int, int]]:
+        """(start, end, index in KINDS) of each hit in the lower-cased text."""
+        low = (text or "").lower()
+        if not self.found(set(_WORD.findall(low))):
             return []
         found = [(m.start(), m.end(), self.known[m.group()]) for m in _WORD.finditer(low) if m.group() in self.known]
         return [(i, j, QUOTED if quoted(low, i, j) else k) for i, j, k in found]
@@ -276,7 +279,7 @@ def _weigh(model: Model, rows: DataFrame) -> Model:
     half = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(2)) == 0
 
     def clean_forms(batch: pa.RecordBatch) -> pa.RecordBatch:
-        near = [sorted({w for w in set(_WORD.findall((t or "").lower())) if model.kind(w) >= 2}) for t in batch.column(0).to_pylist()]
+        near = [sorted(w for w in model.found(set(_WORD.findall((t or "").lower()))) if model.known[w] >= 2) for t in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(near, pa.list_(pa.string()))], ["half", "near"])
 
     found = map_batches(rows.filter("toxic = 0").select("text", half.alias("half")), "half boolean, near array<string>", clean_forms)
