@@ -7,6 +7,12 @@ the radius; in a task numpy compares the pairs by exclusive or and bit count.
 Every tile hands on a spanning forest of its links, so no group of copies is
 turned into all its pairs, and no link between different fingerprints is lost.
 
+keep_one, the pipeline's stage, has a rule of its own: texts are near copies if
+their sets of five-word shingles have a Jaccard similarity of 0.8 or more. The
+fingerprints of such texts differ by up to some 20 bits, too many for tiles, so
+candidates are dealt by bands of MinHash values, passed on if their fingerprints
+lie within a wide radius, and each pair is confirmed by its exact similarity.
+
 Defined results: a null text counts as empty; a text of one or two words has
 one shingle, a text without words the fingerprint zero, linked like any other;
 repeated rows keep their rows; rows with a null id link others only through
@@ -35,26 +41,38 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 FINGERPRINTS_A_SPLIT = 4_000_000
 #: Rows and columns of one comparison in memory.
 BLOCK = 2048
+#: The rule of keep_one: words of a shingle, the least similarity of near copies, and the bits by which their fingerprints may differ.
+STAGE_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 24
+#: Bands of MinHash values and values a band (a pair at the least similarity shares a band with probability 0.9996), and the members before it that a member of a bucket meets besides the first.
+BANDS, VALUES, NEIGHBOURS = 20, 5, 4
+_RANDOM = np.random.default_rng(SEED).integers(0, 2**64, (3, BANDS * VALUES), np.uint64) | np.uint64(1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of one text: bit b is set if it is set in over half the shingles' hashes."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles in order; a text without words has none."""
     words = WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        parts = [b" ".join(words)]
+        parts = [b" ".join(words)] if words else []
     else:
         parts = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
-    hashes = np.fromiter((digest(p, SEED) for p in parts), np.uint64, len(parts))
+    return np.fromiter((digest(p, SEED) for p in parts), np.uint64, len(parts))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Bit b is set if it is set in over half the hashes."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65536):  # bounded memory for very long texts
         counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of one text: bit b is set if it is set in over half the shingles' hashes."""
+    return _majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
@@ -153,7 +171,99 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return join_unique(prints, of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """df with the row of the smallest id of each group of near-duplicates. Of repeated rows one stays; rows with a null id all stay."""
-    first = near_duplicates(df, id_col, text_col, radius).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted distinct hashes of a text's five-word shingles."""
+    return np.unique(shingle_hashes(text, STAGE_SHINGLE))
+
+
+def _node(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED)
+
+
+def _bands(own: np.ndarray) -> np.ndarray:
+    """A hash of each band of the set's MinHash values; none for an empty set."""
+    if not len(own):
+        return own
+    low = np.full(BANDS * VALUES, 2**64 - 1, np.uint64)
+    for at in range(0, len(own), 4096):  # bounded memory for very long texts
+        low = np.minimum(low, ((own[at : at + 4096, None] ^ _RANDOM[0]) * _RANDOM[1]).min(axis=0))
+    return (low * _RANDOM[2]).reshape(BANDS, VALUES).sum(axis=1, dtype=np.uint64)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, node (a hash of the set of shingles), fp (the set's SimHash) and bands of each row of docs (doc_id, text)."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+        nodes, prints = (np.fromiter(map(f, sets), np.uint64, len(sets)).view(np.int64) for f in (_node, _majority))
+        bands = [_bands(own) for own in sets]
+        ends = pa.array(np.cumsum([0, *map(len, bands)]), pa.int32())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(prints), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands).view(np.int64)))], ["doc_id", "node", "fp", "bands"])
+
+    return map_batches(docs, "doc_id long, node long, fp long, bands array<long>", work)
+
+
+def candidate_pairs(distinct: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes that share a band and whose fingerprints lie within the wide radius; a pair can come once a band.
+
+    distinct: node, fp, bands, one row a node.
+    A member of a bucket meets the bucket's first and the few before itself, so
+    a large group costs no more than its size.
+    """
+    dealt = distinct.select(F.explode("bands").alias("band"), "node", "fp").repartition("band").sortWithinPartitions("band", "node")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches come sorted: the last bucket's first and last members are carried to the next batch."""
+        carried = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            old = len(carried[0])
+            band, node, fp = (np.concatenate([c, batch.column(k).to_numpy(zero_copy_only=False)]) for k, c in enumerate(carried))
+            at = np.arange(len(band))
+            first = np.maximum.accumulate(np.where(np.diff(band, prepend=~band[0]) != 0, at, 0))
+            found = []
+            for met in (first, *(np.maximum(at - back, first) for back in range(1, NEIGHBOURS + 1))):
+                use = (met < at) & (at >= old) & (np.bitwise_count((fp ^ fp[met]).view(np.uint64)) <= WIDE)
+                found.append((node[met[use]], node[use]))
+            keep = np.unique([first[-1], *range(max(first[-1], len(at) - NEIGHBOURS), len(at))])
+            carried = [band[keep], node[keep], fp[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found, strict=True)], ["a", "b"])
+
+    return dealt.mapInArrow(meet, "a long, b long")
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sets of hashes, each sorted and distinct."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The candidate pairs of distinct (node, rep, fp, bands) whose exact similarity is high enough. Only texts of candidates are read again."""
+    pairs = written(candidate_pairs(distinct).distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = docs.join(distinct.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+    def collect(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(_node, sets), np.uint64, len(sets)).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
+
+    def confirm(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sides = (batch.column(k).to_pylist() for k in (2, 3))
+        near = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= SIMILARITY for x, y in zip(*sides, strict=True)]
+        return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    sets = written(map_batches(chosen.select("doc_id", "text"), "node long, hashes binary", collect).dropDuplicates(["node"]), "sets")
+    both = join_unique(pairs, sets.toDF("a", "own"), "a").join(sets.toDF("b", "other"), "b").select("a", "b", "own", "other")
+    return map_batches(both, "a long, b long", confirm)
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with the row of the smallest id of each group of near copies by five-word shingles. Of repeated rows one stays; rows with a null id all stay and link no others."""
+    docs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    alike = sketches(docs).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    distinct = written(alike, "distinct")
+    grouped = distinct.select("node", "rep").join(components(similar_links(docs, distinct)), "node", "left")
+    first = grouped.groupBy(F.coalesce("component", "node")).agg(F.min("rep").alias(id_col)).select(id_col).distinct()
     return df.filter(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col]).unionByName(df.filter(F.col(id_col).isNull()))

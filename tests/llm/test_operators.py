@@ -199,6 +199,40 @@ def test_simhash_keep_one(awkward, empty):
     assert ids[1] == 1 and ids[2] == 0 and ids[10] == 1 and ids[None] == 2 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_finds_every_pair_of_similar_texts(spark):
+    """Kept are exactly the smallest ids of the components by brute-force five-word similarity, also of texts whose op4 fingerprints lie far apart."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for group in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        for copy in range(3):
+            changed = list(words)
+            for at in rng.choice(150, copy * (1 + group % 4), replace=False):
+                changed[at] = f"new{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(changed)))
+    sets = {i: {tuple(w) for w in zip(*(t.split()[k:] for k in range(5)), strict=False)} for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = {i: i for i in sets}
+    for _ in range(3):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    far = [p for p in links if (simhash.fingerprint(rows[p[0]][1]) ^ simhash.fingerprint(rows[p[1]][1])).bit_count() > 2]
+    assert len(far) > 20
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
+
+
+def test_keep_one_collapses_a_large_group(spark):
+    """A bucket over many batches hands on its first and last members."""
+    base = [f"w{x}" for x in range(200)]
+    rows = [(i, " ".join([*base[: i % 200], f"odd{i}", *base[i % 200 :]])) for i in range(600)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # 5 WARC
 def test_warc_round_trip(spark, tmp_path):
     rows = [(i, f"http://a/{i}", "payload " * 20 + str(i % 4)) for i in range(40)]
