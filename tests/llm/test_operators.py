@@ -416,3 +416,18 @@ def test_license_scan(awkward, empty):
     assert licences.scan(empty).count() == 0
     far = "word " * 3000 + "Licensed under the Apache License, Version 2.0." + " word" * 3000
     assert "Apache-2.0" in {scanner.match(b).licence for _, b in licences.blocks(far)}
+
+
+def test_every_notice_is_found_in_long_prose(spark):
+    """Each template stands word for word in prose of any length; every licence of a block has its row."""
+    rows, want = [], []
+    for i, (licence, template) in enumerate(licences.TEMPLATES):
+        for size in (100, 900, 9000):
+            prose = long_text(size // 8)
+            rows.append((len(rows), f"{prose}. {template.replace('*', 'Jane Q. Doe')} {prose}"))
+            want.append((rows[-1][0], licence))
+    rows.append((len(rows), "Released under the MIT License. " + long_text(100) + " Licensed under the ISC License."))
+    want += [(rows[-1][0], "MIT"), (rows[-1][0], "ISC")]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("licence is not null").collect()
+    assert Counter((r.doc_id, r.licence) for r in got) == Counter(want)
+    assert all(r.saving > 0.3 for r in got)
