@@ -431,3 +431,15 @@ def test_every_notice_is_found_in_long_prose(spark):
     got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("licence is not null").collect()
     assert Counter((r.doc_id, r.licence) for r in got) == Counter(want)
     assert all(r.saving > 0.3 for r in got)
+
+
+@pytest.mark.parametrize(("first", "mark", "last"), [("", "", ""), ("", "# ", ""), ("", "// ", ""), ("/*\n", " * ", "\n */"), ("<!--\n", "", "\n-->"), ("", "-- ", ""), ("", "> ", "")])
+def test_wrapped_notices_are_found(spark, first, mark, last):
+    """Notices wrapped over lines, also in comments, have a row with the line they start at."""
+    wrap = lambda t: [" ".join(t.split()[k : k + 6]) for k in range(0, len(t.split()), 6)]
+    long = {name: t for name, t in licences.TEMPLATES if len(t) > 100}
+    rows = [(i, "import this\n\n" + first + "\n".join(mark + x for x in ["Some words first", *wrap(t)]) + last + "\n\nmore") for i, t in enumerate(long.values())]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("licence is not null").collect()
+    assert sorted((r.doc_id, r.licence, r.line) for r in got) == [(i, name, 3 + first.count("\n")) for i, name in enumerate(long)]
+    apart = "Permission is hereby granted, free of charge,\n\n" + long["MIT"].split(",", 2)[2]
+    assert all(m.licence is None for _, b in licences.blocks(apart) for m in licences.Scanner().matches(b))
