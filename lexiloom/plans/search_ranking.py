@@ -278,7 +278,7 @@ def text_match(s, d):
 
 
 def normalized_text(s, d):
-    return table(s, d, "documents").select("doc_id", T.normalized()("text").alias("normalized"))
+    return table(s, d, "documents").select("doc_id", T.normalized(1 << 30)("text").alias("normalized"))
 
 
 def stream(s, d):

@@ -45,3 +45,11 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_normalized_text_is_whole(spark):
+    from lexiloom.functions.text import normalize
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = {r.doc_id: r.normalized for r in catalog.queries()["normalized_text"](spark, SMALL).collect()}
+    assert got == {i: normalize(t, 1 << 30) for i, t in texts.items()} and max(len(t or "") for t in got.values()) > 64
