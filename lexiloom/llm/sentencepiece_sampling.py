@@ -11,7 +11,9 @@ and however often it is computed.
 
 No piece holds a space after another letter, so segmentations of a text are
 those of its chunks (spaces with the letters after them), and all distinct
-chunks of a batch are filtered at once by numpy.
+chunks of a slice are filtered at once by numpy. A slice is a bounded number of
+letters; a longer text is encoded in runs of its chunks. One chunk, a stretch of
+letters without a space, is filtered whole; its memory grows with its length.
 
 Letters that no piece spells are written as bytes, as is the letter that stands
 for a space in pieces; so decoding gives the text back.
@@ -38,10 +40,10 @@ from lexiloom.llm.common import map_batches
 SPACE = "▁"
 #: Resolution of sampled shares.
 UNITS = 1 << 24
-#: Repeated chunks of a batch from which a worker keeps their lattice.
+#: Repeated chunks of a slice from which a worker keeps their lattice.
 WORTH_KEEPING = 1000
-#: Bytes of text whose distinct chunks share a lattice.
-SLICE_BYTES = 8_000_000
+#: Letters of text whose distinct chunks share a lattice, some 100 MB of a worker's memory.
+SLICE_LETTERS = 1_000_000
 _CHUNK = re.compile(" +[^ ]*")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -154,7 +156,6 @@ class Lattice:
         letters = np.where(text == 0x2581, 0, pieces.letter[text])  # the letter itself is written in bytes
         letters = np.where(text == 32, pieces.letter[0x2581], letters)
         letters[stop] = 0
-        depth = np.arange(len(text)) - np.repeat(self.starts, sizes + 1)
 
         places = np.flatnonzero(~stop)
         node = pieces.first[letters[places]]
@@ -180,32 +181,37 @@ class Lattice:
             node = pieces.step(node, letters[at + length])
             length += 1
         start, end, piece, score = map(np.concatenate, (start, end, piece, score))
-        score = alpha * score
-        order = np.argsort((depth[end] << 40 | end) << 5 | end - start)  # by depth, then place
-        start, end, piece, score = start[order], end[order], piece[order], score[order]
-        total = np.full(len(text) + 1, -np.inf)
-        total[self.starts] = 0.0
+        order = np.argsort(end, kind="stable")  # edges came by length
+        start, end, piece, score = start[order], end[order], piece[order], alpha * score[order]
+
+        # no edge passes over a cut, so sums start anew there: places are filtered in layers of their distance from the cut before
+        size = len(text) + 1
+        cut = np.cumsum(np.bincount(start + 1, minlength=size) - np.bincount(end, minlength=size)) == 0
+        last = np.maximum.accumulate(np.where(cut, np.arange(size), 0))
+        depth = end - last[end - 1]
+        total = np.where(cut, 0.0, -np.inf)
         share = np.empty(len(start))
-        layers = np.searchsorted(depth[end], np.arange(1, depth[end].max(initial=0) + 2))
+        layered = np.argsort(depth, kind="stable")
+        layers = np.searchsorted(depth[layered], np.arange(1, depth.max(initial=0) + 2))
         for low, high in zip(layers[:-1], layers[1:], strict=True):
-            if low == high:
+            edges = layered[low:high]
+            if not len(edges):
                 continue
-            to, weight = end[low:high], total[start[low:high]] + score[low:high]
+            to, weight = end[edges], total[start[edges]] + score[edges]
             heads = np.flatnonzero(np.diff(to, prepend=-1))
             top = np.maximum.reduceat(weight, heads)
             n = np.diff(heads, append=len(to))
             part = np.exp(weight - np.repeat(top, n))
             sums = np.add.reduceat(part, heads)
-            total[to[heads]] = top + np.log(sums)
-            share[low:high] = part / np.repeat(sums, n)
+            total[to[heads]] = np.where(cut[to[heads]], 0.0, top + np.log(sums))
+            share[edges] = part / np.repeat(sums, n)
         weight = np.maximum(1, np.rint(share * UNITS)).astype(np.int64)
-        order = np.argsort(end << 5 | end - start)
-        self.start, self.piece, end, weight = start[order], piece[order], end[order], weight[order]
+        self.start, self.piece = start, piece
         upto = np.cumsum(weight)
         heads = np.flatnonzero(np.diff(end, prepend=-1))
         n = np.diff(heads, append=len(end))
         self.upto = upto - np.repeat(upto[heads] - weight[heads], n)
-        self.first, self.sum = np.zeros(len(text) + 1, np.int64), np.zeros(len(text) + 1, np.int64)
+        self.first, self.sum = np.zeros(size, np.int64), np.zeros(size, np.int64)
         self.first[end[heads]], self.sum[end[heads]] = heads, self.upto[heads + n - 1]
 
     def sample(self, chunk: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,26 +236,56 @@ class Lattice:
 
 
 def encode_texts(texts: list[str | None], keys: list, pieces: Pieces, alpha: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, bounds): the sampled ids of text i are ids[bounds[i]:bounds[i + 1]].
-
-    Chunks that were met twice in a worker's first batch keep their lattice, as
-    they come again; the rest have one for this batch.
+    """(ids, bounds): the sampled ids of text i are ids[bounds[i]:bounds[i + 1]]."""
+    ids, sizes, split, rows, first, held = [], [], [], [], [], 0
+
+    def encode_split() -> None:
+        found, ends = _encode_chunks(split, np.array(rows, np.uint64), np.array(first, np.int64), pieces, alpha)
+        ids.append(found)
+        for size, at in zip(np.diff(ends).tolist(), first, strict=True):
+            if at:
+                sizes[-1] += size
+            else:
+                sizes.append(size)
+
+    for text, key in zip(texts, keys, strict=True):
+        chunks = _CHUNK.findall(" " + text) if text else []
+        upto = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        at = 0
+        while at == 0 or at < len(chunks):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_LETTERS, side="right")))
+            split.append(chunks[at:end])
+            rows.append(xxhash.xxh64_intdigest(repr(key).encode(), seed))
+            first.append(at)
+            held += int(upto[min(end, len(chunks)) - 1] - (upto[at - 1] if at else 0)) if chunks else 0
+            at = end
+            if held >= SLICE_LETTERS:
+                encode_split()
+                split, rows, first, held = [], [], [], 0
+    if split:
+        encode_split()
+    return np.concatenate([np.empty(0, np.int32), *ids]), np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+
+
+def _encode_chunks(split: list[list[str]], rows: np.ndarray, first: np.ndarray, pieces: Pieces, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """encode_texts for runs of chunks of rows (hashes of their keys); first: the place of each run's first chunk in its text.
+
+    Chunks that were met twice in a worker's first slice keep their lattice, as
+    they come again; the rest have one for this slice.
     """
     kept: tuple[dict[str, int], Lattice] | None = pieces.kept.get(alpha)
     known: dict[str, int] = dict(kept[0]) if kept else {}
     old, code = len(known), known.setdefault
-    split = [_CHUNK.findall(" " + t) if t else [] for t in texts]
     codes = np.fromiter((code(c, len(known)) for chunks in split for c in chunks), np.int64)
     if not len(codes):
-        return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        return np.empty(0, np.int32), np.zeros(len(split) + 1, np.int64)
     chunks = list(known)
     if not kept:
         often = [chunks[i] for i in np.flatnonzero(np.bincount(codes) > 1)]
         if len(often) >= WORTH_KEEPING:
             pieces.kept[alpha] = ({c: i for i, c in enumerate(often)}, Lattice(pieces, often, alpha))
     n = np.fromiter(map(len, split), np.int64, len(split))
-    rows = np.fromiter((xxhash.xxh64_intdigest(repr(k).encode(), seed) for k in keys), np.uint64, len(keys))
-    within = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
+    within = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n - first, n)
     random = mixed(np.repeat(rows, n) + mixed(within.astype(np.uint64)))
     found = []
     for lattice, at, shift in ((kept and kept[1], np.flatnonzero(codes < old), 0), (Lattice(pieces, chunks[old:], alpha), np.flatnonzero(codes >= old), old)):
@@ -266,23 +302,25 @@ def encode_texts(texts: list[str | None], keys: list, pieces: Pieces, alpha: flo
         size[lone] = [len(b) for b in spelt]
         who, ids, lone = np.repeat(who, size), np.repeat(ids, size), np.repeat(lone, size)
         ids[lone] = np.concatenate(spelt)
-    per_text = np.bincount(np.repeat(np.arange(len(texts)), n)[who], minlength=len(texts))
+    per_text = np.bincount(np.repeat(np.arange(len(split)), n)[who], minlength=len(split))
     return ids.astype(np.int32), np.concatenate([[0], np.cumsum(per_text)])
 
 
-def encode(df: DataFrame, model_path: str, alpha: float = 0.5, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, text if it is kept (null: empty), and ids (array of int), a sampled segmentation of each text.
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def encode(df: DataFrame, model_path: str, alpha: float = 0.5, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ids (array of int), a sampled segmentation of each text.
 
     alpha: 0 draws all segmentations alike, larger values the likelier ones more often.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, bounds = encode_texts(batch.column(1).to_pylist(), batch.column(0).to_pylist(), pieces_of(model_path), alpha, seed)
-        listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
-        return pa.RecordBatch.from_arrays([batch.column(0), *([batch.column(1)] if keep_text else []), listed], ["doc_id", *(["text"] if keep_text else []), "ids"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
 
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return map_batches(rows, f"doc_id {df.schema[id_col].dataType.simpleString()}, {'text string, ' * keep_text}ids array<int>", work, SLICE_BYTES)
+    return map_batches(_keyed(df, id_col, text_col), f"doc_id {df.schema[id_col].dataType.simpleString()}, ids array<int>", work, SLICE_LETTERS)
 
 
 def decode_ids(ids: np.ndarray, pieces: Pieces) -> str:
@@ -316,11 +354,11 @@ def round_trip(df: DataFrame, model_path: str, alpha: float = 0.5, seed: int = 0
     """doc_id, n_ids, ids_sha256 (of the ids as little-endian 32-bit numbers) and lossless: whether the sampled ids decode to the text."""
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, texts = batch.column(2), batch.column(1).to_pylist()
-        flat, bounds = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-        back = [decode_ids(flat[i:j], pieces_of(model_path)) == t for i, j, t in zip(bounds[:-1], bounds[1:], texts, strict=True)]
-        digests = [hashlib.sha256(flat[i:j].astype("<u4").tobytes()).hexdigest() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        texts, pieces = batch.column(1).to_pylist(), pieces_of(model_path)
+        flat, bounds = encode_texts(texts, batch.column(0).to_pylist(), pieces, alpha, seed)
+        rows = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), texts, strict=True))
+        back = [decode_ids(flat[i:j], pieces) == t for i, j, t in rows]
+        digests = [hashlib.sha256(flat[i:j].astype("<u4").tobytes()).hexdigest() for i, j, _ in rows]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.bool_())], ["doc_id", "n_ids", "ids_sha256", "lossless"])
 
-    coded = encode(df, model_path, alpha, seed, id_col, text_col, keep_text=True)
-    return map_batches(coded, f"doc_id {df.schema[id_col].dataType.simpleString()}, n_ids long, ids_sha256 string, lossless boolean", check)
+    return map_batches(_keyed(df, id_col, text_col), f"doc_id {df.schema[id_col].dataType.simpleString()}, n_ids long, ids_sha256 string, lossless boolean", check, SLICE_LETTERS)

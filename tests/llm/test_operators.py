@@ -84,6 +84,16 @@ def test_sampling_follows_the_lattice_weights():
         assert abs(drawn[s] / n - w / total) < 0.02, s
 
 
+def test_long_texts_are_sampled_in_runs_and_without_spaces(monkeypatch):
+    pieces = sentencepiece_sampling.pieces_of(public_tokenizers.path(catalog.SAMPLING_MODEL))
+    texts = ["one two  three four " * 50, None, "abcdefgh漢字かな" * 22_500, "a" * 3000 + " b", ""]
+    ids, bounds = sentencepiece_sampling.encode_texts(texts, list(range(5)), pieces, 0.5, 0)
+    assert [sentencepiece_sampling.decode_ids(ids[a:b], pieces) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [t or "" for t in texts]
+    monkeypatch.setattr(sentencepiece_sampling, "SLICE_LETTERS", 64)  # a run of some chunks at a time
+    again, ends = sentencepiece_sampling.encode_texts(texts, list(range(5)), pieces, 0.5, 0)
+    assert (again == ids).all() and (ends == bounds).all()
+
+
 # 2 PNG media
 def test_png_round_trip_and_features(awkward, empty):
     rows = media.features(media.to_media(awkward)).collect()
