@@ -1,9 +1,11 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are dealt to shards by ranges of their id, of about equal payload
-bytes, and sorted in each shard. A task streams its shards into gzip members,
-one a record, and rolls to the next file when a file's compressed size reaches
-its target. Headers and digests are made anew. Files are written under a
+Records are dealt to shards by ranges of their id and payload digest, cut at
+running sums of payload bytes over all of them, and sorted in each shard. An id
+and digest with more bytes than a shard (repeated rows, rows without an id) are
+dealt to the shards of their own stretch by URL and copy. Each task streams one
+shard into gzip members, one a record, and rolls to the next file when a file's
+compressed size reaches its target. Headers and digests are made anew. Files are written under a
 temporary name of the attempt; the manifest of the finished attempts names
 those that are then moved to their final names, so a lost or repeated task
 leaves nothing in the archive. Equal input gives equal files.
@@ -27,17 +29,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import fresh_path, join_unique, map_batches, written
 
-#: Ranges of ids whose payload bytes are summed to set the shards' bounds.
-RANGES = 4096
-#: Payload bytes of a shard, and compressed bytes at which a file is full.
-SHARD_BYTES, FILE_BYTES = 32 << 20, 8 << 20
+#: Payload bytes of a shard, bytes that each record counts besides, and compressed bytes at which a file is full.
+SHARD_BYTES, RECORD_BYTES, FILE_BYTES = 32 << 20, 200, 8 << 20
+#: Most shards, as the driver holds a bound for each; larger archives have larger shards.
+MAX_SHARDS = 65_536
 REVISIT_FROM = 100
 LEVEL = 5
 #: Deterministic archives carry no clock time.
@@ -96,42 +99,84 @@ class Roller:
             self.stream = None
 
 
+def _placed(ids: DataFrame, shard_bytes: int) -> DataFrame:
+    """Each distinct key of ids (key, page_id, digest, url, bytes) with its first URL and the shards low to high that its records are dealt to.
+
+    Keys are sorted into ranges; a key's place is the bytes of the ranges before
+    its own and of the keys before it in its range.
+    """
+    keys = ids.groupBy("key", "page_id", "digest").agg(F.min("url").alias("first_url"), F.count("*").alias("n"), F.sum(F.col("bytes") + RECORD_BYTES).alias("weight"))
+    ranged = written(keys.repartitionByRange("key").withColumn("range", F.spark_partition_id()), "keys")
+    sums = ranged.groupBy("range").agg(F.sum("weight").alias("sum"))
+    ahead = sums.select("range", (F.sum("sum").over(Window.orderBy("range")) - F.col("sum")).alias("ahead"))  # one row a range
+    shard_bytes = max(shard_bytes, -(-(sums.agg(F.sum("sum")).first()[0] or 0) // MAX_SHARDS))
+    within = F.sum("weight").over(Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = ranged.join(F.broadcast(ahead), "range").withColumn("end", F.col("ahead") + within)
+    low = F.floor((F.col("end") - F.col("weight")) / shard_bytes).cast("int")
+    high = F.when((F.col("n") > 1) & (F.col("weight") > shard_bytes), F.floor((F.col("end") - 1) / shard_bytes).cast("int")).otherwise(low)
+    return written(at.select("key", "page_id", "digest", "first_url", low.alias("low"), high.alias("high")), "places")
+
+
+def _spread(url: str, copy: Column) -> Column:
+    """The shard of a record whose key has several."""
+    return F.col("low") + F.pmod(F.xxhash64(url) + copy, F.col("high") - F.col("low") + 1).cast("int")
+
+
+def _dealt(pages: DataFrame, places: DataFrame, shard_bytes: int) -> DataFrame:
+    """pages with the shard of each record and the number of copies that a row stands for."""
+    starts = places.groupBy("low").agg(F.min("key").alias("key")).orderBy("key").collect()  # one row a shard
+    bounds, shard = np.array([r["key"] for r in starts], "S81"), np.array([r["low"] for r in starts], np.int32)
+
+    @F.arrow_udf("int")
+    def shard_of(key: pa.Array) -> pa.Array:
+        return pa.array(shard[np.searchsorted(bounds, key.to_numpy(zero_copy_only=False).astype("S81"), side="right") - 1])
+
+    wide = written(places.filter("high > low").select("key", "low", "high"), "wide")  # at most one row a shard
+    if wide.isEmpty():
+        return pages.withColumn("shard", shard_of("key")).withColumn("copies", F.lit(1))
+    light = pages.join(F.broadcast(wide), "key", "left_anti").withColumn("shard", shard_of("key")).withColumn("copies", F.lit(1))
+    alike = pages.join(F.broadcast(wide), "key").groupBy("key", "page_id", "digest", "url", "low", "high").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
+    each = F.greatest(F.lit(1), F.floor(F.lit(shard_bytes) / (F.octet_length("payload") + RECORD_BYTES)))
+    runs = alike.withColumn("each", each).withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("each")))))
+    heavy = runs.withColumn("shard", _spread("url", F.col("run"))).withColumn("copies", F.least("each", F.col("n") - F.col("run") * F.col("each")).cast("int"))
+    return light.unionByName(heavy.select(light.columns))
+
+
 def write_archive(df: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = REVISIT_FROM, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the archive at once; gives its manifest: temp, file, shard, records, bytes, sha256."""
     spark = df.sparkSession
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    ids = written(pages.select("page_id", "digest", F.octet_length("payload").cast("long").alias("bytes")), "payloads")
+    pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    number = F.coalesce(F.concat(F.lit("1"), F.lpad(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0")), F.lit("0" * 17))
+    pages = pages.withColumn("key", F.concat(number, "digest"))  # sorts as id and digest do, null ids first
+    ids = written(pages.select("key", "page_id", "digest", "url", F.octet_length("payload").cast("long").alias("bytes")), "payloads")
 
     groups = ids.filter((F.col("bytes") >= revisit_from) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
     repeated = written(groups.filter("n > 1").select("digest", "refers_to"), "repeated")
-    again = join_unique(ids.filter("page_id is not null"), repeated, "digest").select("page_id", "digest", "refers_to").distinct()
-
-    ends = ids.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
-    width = ((ends["high"] - ends["low"]) // RANGES + 1) if ends["low"] is not None else 1
-    at_range = F.coalesce(F.floor((F.col("page_id") - F.lit(ends["low"])) / F.lit(width)), F.lit(0)).cast("int")
-    sums = ids.groupBy(at_range.alias("range")).agg(F.sum("bytes").alias("bytes"))
-    before = F.sum("bytes").over(Window.orderBy("range")) - F.col("bytes")  # one row a range
-    bounds = written(sums.select("range", F.floor(before / shard_bytes).cast("int").alias("shard")), "bounds")
+    places = _placed(ids, shard_bytes)
+    again = join_unique(places.filter("page_id is not null"), repeated, "digest")
 
-    marks = again.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "refers_to")
-    rows = marks.unionByName(pages.select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to")))
-    shards = 1 + (bounds.agg(F.max("shard")).first()[0] or 0)
-    dealt = rows.withColumn("range", at_range).join(F.broadcast(bounds), "range").drop("range").repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    # a mark goes to each shard of its key; `home` is the shard of the key's first record
+    marks = again.withColumn("home", _spread("first_url", F.lit(0))).withColumn("shard", F.explode(F.sequence("low", "high")))
+    marks = marks.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "refers_to", "home", F.lit(1).alias("copies"), "shard")
+    records = _dealt(pages, places, shard_bytes).select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("int").alias("home"), "copies", "shard")
+    shards = 1 + (places.agg(F.max("high")).first()[0] or 0)
+    dealt = marks.unionByName(records).repartitionById(shards, "shard").sortWithinPartitions("page_id", "digest", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, marked, stored = None, (None, None), (None, None)
         for batch in batches:
-            columns = (batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "digest", "kind", "url", "payload", "refers_to", "shard"))
-            for page_id, digest, kind, url, text, refers_to, shard in zip(*map(_values, columns), strict=True):
+            columns = (batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "digest", "kind", "url", "payload", "refers_to", "home", "copies", "shard"))
+            for page_id, digest, kind, url, text, refers_to, at, copies, shard in zip(*map(_values, columns), strict=True):
                 if kind == 0:  # a mark comes before the pages with its id and digest
-                    marked, to = (page_id, digest), refers_to
+                    marked, to, home = (page_id, digest), refers_to, at
                     continue
                 roller = roller or Roller(out_dir, file_bytes)
                 key = (page_id, digest)
-                revisit = page_id is not None and marked == key and (to != page_id or stored == key)
-                stored = key
-                roller.add(shard, page_record(page_id, url, text.encode("utf-8", "surrogatepass"), digest, to if revisit else None))
+                for _ in range(copies):
+                    first = page_id is None or marked != key or (to == page_id and home == shard and stored != key)
+                    stored = key
+                    roller.add(shard, page_record(page_id, url, text.encode("utf-8", "surrogatepass"), digest, None if first else to))
         if roller is not None:
             roller.close()
             rows = list(zip(*roller.done, strict=True))

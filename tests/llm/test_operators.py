@@ -269,6 +269,27 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r.file: r.sha256 for r in manifest.collect()} == names[1]
 
 
+def test_warc_shards_stay_even_with_odd_ids(spark, tmp_path):
+    """One far id, a repeated row and rows without an id, each a third of the bytes or more than a shard, don't make one shard large."""
+    text = [f"{i} " + "payload " * 50 for i in range(300)]
+    rows = [(i, f"u{i}", text[i]) for i in range(300)] + [(-(2**62), "far", "far " * 100), (2**62, None, "far " * 101)]
+    rows += [(7, "u7", text[7])] * 150 + [(7, f"v{i}", text[7]) for i in range(50)] + [(None, f"n{i % 3}", text[9]) for i in range(150)] + [(None, None, None)] * 5
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    digests = []
+    for name in "ab":
+        manifest = warc.write_archive(pages.repartition(4), f"file://{tmp_path}/{name}", shard_bytes=20_000)
+        digests.append({r.file: r.sha256 for r in manifest.collect()})
+    assert digests[0] == digests[1]
+    sizes = [r.n for r in manifest.groupBy("shard").agg(F.sum("records").alias("n")).collect()]
+    assert sum(sizes) == len(rows) and len(sizes) >= 12 and max(sizes) <= 120
+    got = warc.read_archive(spark, f"file://{tmp_path}/b").collect()
+    assert Counter((r.page_id, r.payload_digest) for r in got) == Counter((i, hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h in rows)
+    assert Counter(r.url for r in got if r.page_id == 7) == Counter({"u7": 151} | {f"v{i}": 1 for i in range(50)})
+    sevens = [r for r in got if r.page_id == 7]
+    assert [r.record_type for r in sevens].count("response") == 1 and all(r.refers_to == 7 for r in sevens if r.record_type == "revisit")
+    assert all(r.record_type == "response" for r in got if r.page_id != 7)
+
+
 def test_warc_of_nothing(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
