@@ -347,6 +347,35 @@ def test_nearest_neighbours_recall_and_edges(spark):
     assert collision_ann.nearest(frame.filter("vec_id < 0"), F.col("vec_id") == 0, 5).count() == 0
 
 
+def test_nearest_neighbours_over_several_shards_and_passes(spark, monkeypatch):
+    monkeypatch.setattr(collision_ann, "SHARD_ROWS", 150)
+    monkeypatch.setattr(collision_ann, "PASSING", 4)
+    frame = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    rows = frame.orderBy("vec_id").collect()
+    ids, unit = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    hits, queries = 0, [i for i in ids if i % 50 == 0]
+    found = defaultdict(set)
+    for r in collision_ann.nearest(frame, F.col("vec_id") % 50 == 0, 5).collect():
+        found[r.query_id].add(r.vec_id)
+    for q in queries:
+        cosine = unit @ unit[np.flatnonzero(ids == q)[0]]
+        hits += len(found[q] & {int(ids[i]) for i in [j for j in np.lexsort((ids, -cosine)) if ids[j] != q][:5]})
+    assert len(found) == len(queries) and hits >= 0.9 * 5 * len(queries)
+
+
+def test_nearest_neighbours_of_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.standard_normal((60, 8)), 1)]
+    rows += [(0, (np.array(rows[9][1]) * 1e200).tolist()), (100, (np.array(rows[9][1]) * 1e-200).tolist()), (101, [1.7e308] * 8), (150, [5e-324] * 8)]
+    got = collision_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 2).collect()
+    best = defaultdict(dict)
+    for r in got:
+        best[r.query_id][r["rank"]] = (r.vec_id, round(r.score, 12))
+    assert set(best[0].values()) == {(10, 1.0), (100, 1.0)} and set(best[100].values()) == {(0, 1.0), (10, 1.0)}
+    assert best[150][1] == (101, 1.0)
+
+
 # 8 toxicity
 def test_toxicity_on_held_out_rows(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
