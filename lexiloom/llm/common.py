@@ -86,17 +86,21 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return bounds - bounds[0], coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def hot_keys(left: DataFrame, key: str) -> DataFrame:
+    """The keys with more than HOT_SHARE of the rows of left, a written table; at most 1 / HOT_SHARE of them."""
+    total = left.count()
+    return written(left.groupBy(key).count().filter(F.col("count") > total * HOT_SHARE).select(key), "hot-keys")
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """left join right on one key, where right has one row a key and left may have hot keys.
 
-    The hot keys' rows of right, at most 1 / HOT_SHARE of them, are broadcast;
-    the rest is a plain shuffled join. left should be a written table, as it is
-    read three times.
+    The hot keys' rows of right are broadcast; the rest is a plain shuffled join.
+    left should be a written table, as it is read several times; hot, its hot
+    keys, can be given where one table is joined again and again.
     """
-    total = left.count()
-    hot = left.groupBy(key).count().filter(F.col("count") > total * HOT_SHARE).select(key)
-    hot = written(hot, "hot-keys")
-    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
+    hot = hot_keys(left, key) if hot is None else hot
     if hot.isEmpty():
-        return rest
+        return left.join(right, key, how)
+    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
     return rest.unionByName(left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key, how))

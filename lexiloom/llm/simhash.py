@@ -32,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import join_unique, map_batches, written
+from lexiloom.llm.common import hot_keys, join_unique, map_batches, written
 
 #: The fixed values of the fingerprint.
 SEED, SHINGLE, BITS = 42, 3, 64
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Fingerprints of one tile that one task compares; larger tables deal each tile to more tasks.
+#: Fingerprints of one tile that one task compares; larger tiles are split.
 FINGERPRINTS_A_SPLIT = 4_000_000
 #: Rows and columns of one comparison in memory.
 BLOCK = 2048
@@ -45,6 +45,8 @@ BLOCK = 2048
 STAGE_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 24
 #: Bands of MinHash values and values a band (a pair at the least similarity shares a band with probability 0.9996), and the members before it that a member of a bucket meets besides the first.
 BANDS, VALUES, NEIGHBOURS = 20, 5, 4
+#: A column of keep_one's own.
+DIGEST = "digest of the text in keep_one"
 _RANDOM = np.random.default_rng(SEED).integers(0, 2**64, (3, BANDS * VALUES), np.uint64) | np.uint64(1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -109,17 +111,18 @@ def tile_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     Each fingerprint is at home in one tile and split, and visits the splits
     and neighbouring tiles that come before its own, so each pair meets once.
     """
-    splits = 1 + distinct.count() // FINGERPRINTS_A_SPLIT
     # a quarter of 65 in base 32 leaves room for neighbours below 0 and above 16
     section = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF)) for k in range(4)]
     home = sum(((s + 8).cast("long") * 32**k for k, s in enumerate(section[1:], 1)), (section[0] + 8).cast("long"))
     steps = sorted({sum(x * 32**k for k, x in enumerate(d)) for d in product(range(-radius, radius + 1), repeat=4) if 0 < sum(map(abs, d)) <= radius})
     before = [s for s in steps if s < 0]
-    own = F.pmod(F.xxhash64("fp"), F.lit(splits)).cast("int")
-    rows = distinct.select("fp", home.alias("home"), own.alias("own"))
-    here = rows.select(F.col("home").alias("tile"), F.col("own").alias("split"), F.lit(0).alias("visit"), "fp")
-    visits = rows.select(F.explode(F.array(*[F.col("home") + s for s in before])).alias("tile"), "fp").select("tile", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), F.lit(1).alias("visit"), "fp")
-    within = rows.filter("own > 0").select(F.col("home").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("split"), F.lit(1).alias("visit"), "fp")
+    rows = distinct.select("fp", home.alias("tile"))
+    tiles = rows.groupBy("tile").agg((1 + F.floor(F.count("*") / FINGERPRINTS_A_SPLIT)).cast("int").alias("splits"))
+    tiles = F.broadcast(written(tiles, "tiles"))  # 17 ** 4 rows at most
+    homes = rows.join(tiles, "tile").select("tile", F.pmod(F.xxhash64("fp"), F.col("splits")).cast("int").alias("own"), "fp")
+    here = homes.select("tile", F.col("own").alias("split"), F.lit(0).alias("visit"), "fp")
+    visits = rows.select(F.explode(F.array(*[F.col("tile") + s for s in before])).alias("tile"), "fp").join(tiles, "tile").select("tile", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), F.lit(1).alias("visit"), "fp")
+    within = homes.filter("own > 0").select("tile", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("split"), F.lit(1).alias("visit"), "fp")
     dealt = here.union(visits).union(within).repartition("tile", "split").sortWithinPartitions("tile", "split", "visit")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,10 +153,11 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = written(links.select(F.col("a").alias("node"), F.col("b").alias("near")).union(links.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy("node").agg(F.least("node", F.min("near")).alias("component")), "labels")
+    hubs = hot_keys(both, "near")
     while True:
-        spread = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.min("component").alias("found"))
-        best = labels.join(spread, "node").select("node", "component", F.least("component", "found").alias("best"))
-        jumped = best.join(labels.select(F.col("node").alias("best"), F.col("component").alias("far")), "best", "left")
+        spread = join_unique(both, labels.withColumnRenamed("node", "near"), "near", hot=hubs).groupBy("node").agg(F.min("component").alias("found"))
+        best = written(labels.join(spread, "node").select("node", "component", F.least("component", "found").alias("best")), "best")
+        jumped = join_unique(best, labels.select(F.col("node").alias("best"), F.col("component").alias("far")), "best", "left")
         changes = Observation()
         after = jumped.select("node", F.least("best", F.coalesce("far", "best")).alias("to"), "component").observe(changes, F.count_if(F.col("to") < F.col("component")).alias("n"))
         labels = written(after.select("node", F.col("to").alias("component")), "labels")
@@ -165,9 +169,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, fingerprint (16 hex digits) and component_id (smallest id reachable by links), a row for each row of df."""
     prints = written(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    linked = distinct.join(components(tile_links(distinct, radius)), F.col("fp") == F.col("node"))
+    linked = written(distinct.join(components(tile_links(distinct, radius)), F.col("fp") == F.col("node")).select("fp", "component", "rep"), "linked")
     roots = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = distinct.join(linked.join(roots, "component").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    of = distinct.join(join_unique(linked, roots, "component").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return join_unique(prints, of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -260,10 +264,16 @@ def similar_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with the row of the smallest id of each group of near copies by five-word shingles. Of repeated rows one stays; rows with a null id all stay and link no others."""
+    """df with the row of the smallest id of each group of near copies by five-word shingles.
+
+    Of rows with equal id and text one stays; where different texts share a kept
+    id, each of them stays. Rows with a null id all stay and link no others.
+    """
     docs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     alike = sketches(docs).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     distinct = written(alike, "distinct")
     grouped = distinct.select("node", "rep").join(components(similar_links(docs, distinct)), "node", "left")
     first = grouped.groupBy(F.coalesce("component", "node")).agg(F.min("rep").alias(id_col)).select(id_col).distinct()
-    return df.filter(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col]).unionByName(df.filter(F.col(id_col).isNull()))
+    kept = df.filter(F.col(id_col).isNotNull()).join(first, id_col, "left_semi")
+    kept = kept.select(*df.columns, F.sha2(F.coalesce(text_col, F.lit("")), 256).alias(DIGEST)).dropDuplicates([id_col, DIGEST]).drop(DIGEST)
+    return kept.unionByName(df.filter(F.col(id_col).isNull()))

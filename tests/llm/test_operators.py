@@ -189,7 +189,7 @@ def brute_components(rows):
 def test_simhash_components_equal_brute_force(spark, awkward, documents, monkeypatch, splits):
     docs = documents.select("doc_id", "text").unionByName(awkward.select(F.col("doc_id") + 1_000_000, "text").toDF("doc_id", "text"))
     if splits > 1:
-        monkeypatch.setattr(simhash, "FINGERPRINTS_A_SPLIT", docs.count() // splits)
+        monkeypatch.setattr(simhash, "FINGERPRINTS_A_SPLIT", 1)  # as many splits as a tile has fingerprints
     got = Counter(map(tuple, simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id").collect()))
     assert got == brute_components([tuple(r) for r in docs.collect()])
 
@@ -203,6 +203,19 @@ def test_simhash_links_dense_near_fingerprints(spark):
     assert len(set(got.values())) == 1
 
 
+def test_components_with_a_hub_and_a_chain(spark):
+    """A hub with half of all links, a chain and a pair; components are those of union-find."""
+    links = [(1000, i) for i in range(2000) if i != 1000] + [(i, i + 1) for i in range(5000, 5040)] + [(-5, 9999)]
+    got = {r.node: r.component for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(2000)} | {i: 5000 for i in range(5000, 5041)} | {-5: -5, 9999: -5}
+
+
+def test_keep_one_keeps_different_texts_of_one_id(spark):
+    rows = [(1, "one two three four five six"), (1, "an other text of some more words here"), (1, "one two three four five six"), (2, "one two three four five six")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter(set(rows[:2]))
+
+
 def test_simhash_keep_one(awkward, empty):
     kept = simhash.keep_one(awkward).collect()
     ids = Counter(r.doc_id for r in kept)
