@@ -76,7 +76,8 @@ def fuzzy(s, d):
 
 
 # --- vectors ---------------------------------------------------------------
-ASK = 20
+#: Queries of vector searches: every row whose id is divisible by this.
+EVERY = 50
 
 
 def vecs(s, d, dims=None):
@@ -84,9 +85,18 @@ def vecs(s, d, dims=None):
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), v.alias("v"))
 
 
-def dots(s, d, k=None, dims=None):
+def dots(s, d, k, dims=None):
     rows = vecs(s, d, dims)
-    return V.scores(rows.filter(F.col("id") < ASK).withColumnRenamed("id", "query_id"), rows, k)
+    return V.scores(asking(rows), rows, k)
+
+
+def asking(rows):
+    return rows.filter(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id")
+
+
+def label_dots(s, d, dims=None):
+    rows = vecs(s, d, dims).join(labels(s, d), "id")
+    return V.best_per(V.scores(asking(rows), rows, per="label"), "label").withColumn("label", F.col("label").cast("int"))
 
 
 def labels(s, d):
@@ -96,7 +106,7 @@ def labels(s, d):
 def dots_sql(name: str = "dots", dims: int | None = None) -> str:
     v = "CAST(embedding AS DOUBLE[])" if dims is None else f"CAST(embedding AS DOUBLE[])[1:{dims}]"
     dot = "list_dot_product(q.v, r.v)" + ("" if dims is None else " / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(r.v, r.v))")
-    return f"{name}_v AS (SELECT vec_id AS id, label, {v} AS v FROM embeddings), {name} AS (SELECT q.id AS query_id, r.id, r.label, {dot} AS dot FROM {name}_v q, {name}_v r WHERE q.id < {ASK} AND q.id <> r.id)"
+    return f"{name}_v AS (SELECT vec_id AS id, label, {v} AS v FROM embeddings), {name} AS (SELECT q.id AS query_id, r.id, r.label, {dot} AS dot FROM {name}_v q, {name}_v r WHERE q.id % {EVERY} = 0 AND q.id <> r.id)"
 
 
 def top_list(s, d, k=10, dims=None):
@@ -107,6 +117,7 @@ def list_sql(name: str, source: str, k: int = 10) -> str:
     return f"{name} AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, id) AS place, round(dot, 6) AS score FROM {source} QUALIFY place <= {k})"
 
 
+CANDIDATE_ROWS = "cand AS (SELECT query_id, id, 'text' AS tier FROM t UNION ALL SELECT query_id, id, 'glyph' FROM (SELECT * FROM g WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM t) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, id) <= 3))"
 LISTS = f"{dots_sql('d1')}, {dots_sql('d2', 16)}, {list_sql('a', 'd1')}, {list_sql('b', 'd2')}"
 
 
@@ -116,17 +127,60 @@ def two(s, d):
 
 def fused_input(s, d):
     a, b = two(s, d)
-    return R.lists(("full", 1.0, a), ("short", 0.5, b))
+    return R.lists(("full", 1.0, False, a), ("short", 0.5, True, b))
+
+
+def exempt(s, d):
+    return top_list(s, d).filter("place = 10").select("query_id", "id")
+
+
+def families(s, d):
+    """Ten ids in a row are a family."""
+    return vecs(s, d).select("id", F.floor(F.col("id") / 10).alias("family"))
+
+
+def trusted(s, d):
+    return R.level_and_gap(two(s, d)[1], 0.3, 0.9, 0.02, 0.3)
+
+
+def fused_modes(s, d):
+    a, b = two(s, d)
+    modes = [R.fuse(a, b, trusted(s, d), learned=learned).select("query_id", "id", "place", F.lit(name).alias("mode")) for name, learned in (("learned", True), ("weighted", False))]
+    return modes[0].unionByName(modes[1])
+
+
+def reactions(s, d):
+    a, b = two(s, d)
+    lists = {"textEmoji": a.filter("place <= 1"), "prior": b.filter("place <= 4"), "alias": a, "neighbours": b}
+    return R.reactions(lists, families(s, d), close=0.8)
+
+
+def photos(s, d):
+    a, b = two(s, d)
+    return R.photos(a.filter("place <= 2"), a, b, families(s, d))
 
 
 def centered_top(s, d):
-    return V.top(V.centered(dots(s, d)).withColumn("centered", F.round("centered", 6)), 5, "centered").select("query_id", "id", "centered", "place")
+    return V.centered(label_dots(s, d)).select("query_id", "label", F.round("centered", 6).alias("centered"))
+
+
+def candidate_rows(s, d):
+    return V.two_tier(dots(s, d, 6), dots(s, d, 9, 8), 6, 3)
 
 
 def policy(s, d):
-    both = dots(s, d).join(V.centered(dots(s, d, dims=8)).select("query_id", "id", "centered"), ["query_id", "id"])
-    scored = both.withColumn("score", F.floor(F.round(F.col("dot") + 0.25 * F.col("centered"), 9) * 1000 + 0.5) / 1000)
-    return V.top(scored, 5, "score").select("query_id", "id", "score", "place")
+    rows, short = vecs(s, d), vecs(s, d, 8)
+    pairs = V.pair_dots(candidate_rows(s, d).drop("tier"), asking(rows), rows, "dot")
+    both = V.pair_dots(pairs, asking(short), short, "glyph").join(V.means(asking(short), short), "query_id")
+    score = F.floor(F.round(F.col("dot") + 0.25 * (F.col("glyph") - F.col("mean")), 9) * 1000 + 0.5) / 1000
+    return V.top(both.withColumn("score", score), 5, "score").select("query_id", "id", "score", "place")
+
+
+def copied(s, d):
+    """The vectors, and three copies of every tenth."""
+    rows = vecs(s, d)
+    extra = rows.filter("id % 10 = 0").withColumn("copy", F.explode(F.array(*map(F.lit, (1, 2, 3))).cast("array<long>")))
+    return rows.unionByName(extra.select((F.col("id") + 1_000_000_000 * F.col("copy")).alias("id"), "v"))
 
 
 def quantized(s, d):
@@ -141,11 +195,19 @@ def rerank(s, d):
 
 
 CONF = "conf AS (SELECT query_id, round(greatest(greatest(0e0, least(1e0, (top - 0.3e0) / (0.9e0 - 0.3e0))), greatest(0e0, least(1e0, (coalesce(top - rest, 0e0) - 0.02e0) / (0.3e0 - 0.02e0)))), 6) AS confidence FROM (SELECT query_id, max(score) FILTER (WHERE place = 1) AS top, avg(score) FILTER (WHERE place BETWEEN 2 AND 5) AS rest FROM b GROUP BY 1))"
-RERANK = f"""WITH {LISTS}, {CONF}, ac AS (SELECT query_id, max(score) AS ac FROM a GROUP BY 1), e AS (SELECT query_id, max(score) AS best, min(score) AS lowest FROM b GROUP BY 1),
+RERANK_CTES = (LISTS, CONF, """ac AS (SELECT query_id, max(score) AS ac FROM a GROUP BY 1), e AS (SELECT query_id, max(score) AS best, min(score) AS lowest FROM b GROUP BY 1),
  j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, a.score AS s1, a.place AS p1, b.score AS s2, b.place AS p2 FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id),
  f AS (SELECT j.*, ac, best, coalesce(s2, lowest - 0.02e0, 0e0) AS sc, confidence FROM j LEFT JOIN ac USING (query_id) LEFT JOIN e USING (query_id) LEFT JOIN conf USING (query_id)),
- l AS (SELECT query_id, id, p1, p2, round(CASE WHEN s1 IS NULL THEN 0e0 ELSE -0.334e0 END + coalesce(s1, 0e0) * 1.59e0 + CASE WHEN s1 IS NULL THEN 0e0 ELSE 1 / p1 END * 1.899e0 + CASE WHEN s1 IS NULL THEN 0e0 ELSE s1 / ac END * 0.3387e0 + sc * 10.67e0 + (best - sc) * -7.255e0 + coalesce(s1, 0e0) * ac * 1.838e0 + sc * confidence * 3.632e0, 6) AS learned, coalesce(s1, 0e0) >= 0.9e0 AS pinned FROM f)
- SELECT query_id, id, learned, pinned, row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, CASE WHEN pinned THEN p1 END, learned DESC, p1 NULLS LAST, p2 NULLS LAST) AS place FROM l QUALIFY place <= 10"""
+ l AS (SELECT query_id, id, p1, p2, round(CASE WHEN s1 IS NULL THEN 0e0 ELSE -0.334e0 END + coalesce(s1, 0e0) * 1.59e0 + CASE WHEN s1 IS NULL THEN 0e0 ELSE 1 / p1 END * 1.899e0 + CASE WHEN s1 IS NULL THEN 0e0 ELSE s1 / ac END * 0.3387e0 + sc * 10.67e0 + (best - sc) * -7.255e0 + coalesce(s1, 0e0) * ac * 1.838e0 + sc * confidence * 3.632e0, 6) AS learned, coalesce(s1, 0e0) >= 0.9e0 AS pinned FROM f)""")
+RERANKED = "SELECT query_id, id, learned, pinned, row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, CASE WHEN pinned THEN p1 END, learned DESC, p1 NULLS LAST, p2 NULLS LAST) AS place FROM l QUALIFY place <= 10"
+#: A full ranking by pins, floor and weighted reciprocal ranks; w holds each query's weights and floor.
+RECIPROCAL = "SELECT query_id, id, fused, place FROM (SELECT query_id, id, fused, row_number() OVER (PARTITION BY query_id ORDER BY tier, CASE WHEN tier = 0 THEN pa END, fused DESC, pa NULLS LAST, pb NULLS LAST) AS place FROM (SELECT j.*, CASE WHEN s1 >= {pin} THEN 0 WHEN s1 >= fl THEN 1 ELSE 2 END AS tier, CASE WHEN s1 >= {pin} THEN NULL ELSE round(coalesce(wa / (60 + pa), 0e0) + coalesce(wb / (60 + pb), 0e0), 9) END AS fused FROM (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, a.score AS s1, a.place AS pa, b.place AS pb FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id) j JOIN w USING (query_id))) WHERE place <= 10"
+
+
+def fused_sql(k: int, floor: float, scale: float, limit: int = 10) -> str:
+    """Evidence fusion of the rows u (query_id, id, place, source, list_ix, part), ids ex without a floor; ten ids in a row are a family."""
+    return f"SELECT query_id, id, score, source, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, born, ord) AS place FROM (SELECT *, floor(least(1e0, total / {scale}e0) * 1000 + 0.5e0) / 1000 AS score FROM (SELECT query_id, id, round(sum(part), 9) AS total, first(source ORDER BY part DESC, list_ix) AS source, min(list_ix) AS born, first(place ORDER BY list_ix) AS ord FROM u GROUP BY 1, 2) t WHERE total >= {floor}e0 OR (query_id, id) IN (SELECT (query_id, id) FROM ex) QUALIFY row_number() OVER (PARTITION BY query_id, id // 10 ORDER BY total DESC, born, ord) = 1) QUALIFY place <= {limit}"
+
 
 
 def demote(s, d):
@@ -153,7 +215,7 @@ def demote(s, d):
 
 
 def editorial(s, d):
-    picks = vecs(s, d).filter(F.col("id") < ASK).select(F.col("id").alias("query_id"), (F.col("id") + 100).alias("id"), (F.col("id") % 2 == 0).alias("lead"), F.lit(1).cast("long").alias("pos"))
+    picks = vecs(s, d).filter(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), (F.col("id") + 100).alias("id"), (F.col("id") % 2 == 0).alias("lead"), F.lit(1).cast("long").alias("pos"))
     return R.inserted(top_list(s, d), picks).select("query_id", "id", "tier", "place")
 
 
@@ -266,7 +328,7 @@ def clauses(s, d):
 
 
 def text_windows(s, d):
-    w = T.windows(F.slice(T.tokens(T.ascii_normalized(F.col("text"), 1 << 30)), 1, 12))
+    w = T.windows(T.tokens(T.ascii_normalized(F.col("text"), 1 << 30)))
     return said(s, d).select("conv_id", "turn", F.size(w).cast("long").alias("n_windows"), F.array_min(w).alias("least"), F.array_max(w).alias("most"))
 
 
@@ -310,37 +372,58 @@ QUERIES = {
     "fuzzy_candidates": (fuzzy, None),
     "vector_topk": (top_list, simple("SELECT * FROM l", dots_sql(), list_sql("l", "dots"))),
     "truncated_topk": (lambda s, d: top_list(s, d, 5, 16), simple("SELECT * FROM l", dots_sql(dims=16), list_sql("l", "dots", 5))),
-    "vector_best_per_label": (lambda s, d: V.best_per(dots(s, d), labels(s, d)).withColumn("dot", F.round("dot", 6)), simple("SELECT query_id, label, round(max(dot), 6) AS dot FROM dots GROUP BY ALL", dots_sql())),
-    "centered_scores": (centered_top, simple("SELECT query_id, id, c AS centered, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS place FROM (SELECT query_id, id, round(dot - avg(dot) OVER (PARTITION BY query_id), 6) AS c FROM dots) QUALIFY place <= 5", dots_sql())),
-    "semantic_rows": (
-        lambda s, d: V.two_tier(dots(s, d), dots(s, d, dims=8), 6, 3),
-        simple("SELECT query_id, id, 'text' AS tier FROM t UNION ALL SELECT query_id, id, 'glyph' FROM (SELECT * FROM g WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM t) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, id) <= 3)", dots_sql(), dots_sql("g", 8), list_sql("t", "dots", 6)),
-    ),
+    "vector_best_per_label": (lambda s, d: label_dots(s, d).withColumn("dot", F.round("dot", 6)), simple("SELECT query_id, label, round(max(dot), 6) AS dot FROM dots GROUP BY ALL", dots_sql())),
+    "centered_scores": (centered_top, simple("SELECT query_id, label, round(dot - avg(dot) OVER (PARTITION BY query_id), 6) AS centered FROM (SELECT query_id, label, max(dot) AS dot FROM dots GROUP BY ALL)", dots_sql())),
+    "semantic_rows": (candidate_rows, simple("SELECT * FROM cand", dots_sql(), dots_sql("g", 8), list_sql("t", "dots", 6), CANDIDATE_ROWS)),
     "semantic_policy": (
         policy,
-        simple("SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM p QUALIFY place <= 5", dots_sql(), dots_sql("g", 8), "p AS (SELECT dots.query_id, dots.id, floor(round(dots.dot + 0.25e0 * c, 9) * 1000 + 0.5e0) / 1000 AS score FROM dots JOIN (SELECT query_id, id, dot - avg(dot) OVER (PARTITION BY query_id) AS c FROM g) x ON x.query_id = dots.query_id AND x.id = dots.id)"),
+        simple("SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM p QUALIFY place <= 5", dots_sql(), dots_sql("g", 8), list_sql("t", "dots", 6), CANDIDATE_ROWS, "p AS (SELECT dots.query_id, dots.id, floor(round(dots.dot + 0.25e0 * c, 9) * 1000 + 0.5e0) / 1000 AS score FROM dots JOIN cand USING (query_id, id) JOIN (SELECT query_id, id, dot - avg(dot) OVER (PARTITION BY query_id) AS c FROM g) x ON x.query_id = dots.query_id AND x.id = dots.id)"),
     ),
     "quantized_roundtrip": (
         quantized,
         "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT *, list_max(list_transform(v, lambda x: abs(x))) / 127 AS scale FROM v), q AS (SELECT *, list_transform(v, lambda x: floor(x / scale + 0.5e0)) AS q FROM s) SELECT vec_id, round(scale, 9) AS scale, CAST(list_sum(q) AS BIGINT) AS q_sum, round(list_max(list_transform(list_zip(v, q), lambda p: abs(p[1] - p[2] * scale))), 6) AS max_error, array_to_string(list_transform(v, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '') AS signs FROM q",
     ),
-    "degenerate_vectors": (lambda s, d: V.degenerate(vecs(s, d), 1, 2), "SELECT printf('%.3f', floor(CAST(embedding[1] AS DOUBLE) * 1000 + 0.5e0) / 1000) AS key, CAST(count(DISTINCT vec_id) AS BIGINT) AS n FROM embeddings GROUP BY 1 HAVING count(DISTINCT vec_id) >= 2"),
+    "degenerate_vectors": (
+        lambda s, d: V.degenerate(copied(s, d)),
+        "SELECT array_to_string(list_transform(embedding[1:24], lambda x: printf('%.3f', floor(CAST(x AS DOUBLE) * 1000 + 0.5e0) / 1000)), ',') AS key, CAST(count(DISTINCT vec_id) AS BIGINT) AS n FROM (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000 * c, embedding FROM embeddings, (SELECT unnest([1, 2, 3]) AS c) WHERE vec_id % 10 = 0) GROUP BY 1 HAVING count(DISTINCT vec_id) >= 4",
+    ),
     "semantic_confidence": (lambda s, d: R.level_and_gap(two(s, d)[1], 0.3, 0.9, 0.02, 0.3), simple("SELECT * FROM conf", LISTS, CONF)),
-    "rrf_fusion": (lambda s, d: R.reciprocal(fused_input(s, d)), simple("SELECT query_id, id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS place FROM (SELECT query_id, id, round(sum(w / (60 + place)), 9) AS fused FROM (SELECT *, 1e0 AS w FROM a UNION ALL SELECT *, 0.5e0 FROM b) GROUP BY 1, 2) QUALIFY place <= 10", LISTS)),
+    "rrf_fusion": (
+        lambda s, d: R.reciprocal(*two(s, d), semantic_weight=0.5, pin=0.6, floor=0.5),
+        simple(RECIPROCAL.format(wa="1e0", wb="0.5e0", floor="0.5e0", pin="0.6e0"), LISTS, "w AS (SELECT DISTINCT query_id, 1e0 AS wa, 0.5e0 AS wb, 0.5e0 AS fl FROM a)"),
+    ),
+    "fuse_modes": (
+        fused_modes,
+        simple(
+            "SELECT query_id, id, place, 'weighted' AS mode FROM (" + RECIPROCAL.format(pin="0.9e0") + ") UNION ALL SELECT query_id, id, place, 'learned' FROM learned",
+            *RERANK_CTES,
+            "w AS (SELECT c.query_id, 0.4e0 + ac AS wa, 0.4e0 + 0.6e0 * confidence AS wb, CASE WHEN ac >= 0.6e0 THEN ac - 0.1e0 END AS fl FROM conf c JOIN ac USING (query_id))",
+            "learned AS (" + RERANKED + ")",
+        ),
+    ),
     "evidence_fusion": (
-        lambda s, d: R.evidence(fused_input(s, d), labels(s, d).withColumnRenamed("label", "family")),
+        lambda s, d: R.evidence(fused_input(s, d), families(s, d), scale=1.5, exempt=exempt(s, d)),
+        simple(fused_sql(8, 0.35, 1.5), LISTS, "u AS (SELECT *, 'full' AS source, 0 AS list_ix, 1e0 * 9 / (8 + place) AS part FROM a UNION ALL SELECT *, 'short', 1, 0.5e0 * 9 / (8 + place) * score FROM b)", "ex AS (SELECT query_id, id FROM a WHERE place = 10)"),
+    ),
+    "reaction_ranking": (
+        reactions,
         simple(
-            "SELECT query_id, id, round(total / greatest(1e0, top), 6) AS total, source, row_number() OVER (PARTITION BY query_id ORDER BY round(total / greatest(1e0, top), 6) DESC, id) AS place FROM (SELECT *, max(total) OVER (PARTITION BY query_id) AS top FROM f) QUALIFY place <= 10",
+            fused_sql(8, 0.35, 2.0),
             LISTS,
-            "u AS (SELECT *, 'full' AS source, 1e0 * 9 / (8 + place) AS part FROM a UNION ALL SELECT *, 'short', 0.5e0 * 9 / (8 + place) FROM b), t AS (SELECT query_id, id, round(sum(part), 9) AS total, first(source ORDER BY part DESC, source) AS source FROM u GROUP BY 1, 2 HAVING round(sum(part), 9) >= 0.35e0), f AS (SELECT t.* FROM t JOIN embeddings e ON e.vec_id = t.id QUALIFY row_number() OVER (PARTITION BY query_id, e.label ORDER BY total DESC, id) = 1)",
-        ),
+            "u AS (SELECT *, 'textEmoji' AS source, 0 AS list_ix, 1e0 * 9 / (8 + place) AS part FROM a WHERE place <= 1 UNION ALL SELECT *, 'prior', 2, 0.5e0 * 9 / (8 + place) FROM b WHERE place <= 4 UNION ALL SELECT *, 'alias', 3, 0.6e0 * 9 / (8 + place) * score FROM a UNION ALL SELECT *, 'neighbours', 4, 0.3e0 * 9 / (8 + place) FROM b UNION ALL SELECT query_id, id, p, score, 'closeNeighbours', 5, 0.5e0 * 9 / (8 + p) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS p FROM b WHERE score >= 0.8e0))",
+            "ex AS (SELECT query_id, id FROM b WHERE place <= 4)",
+        ).replace("UNION ALL SELECT query_id, id, p, score,", "UNION ALL SELECT query_id, id, p AS place, score,"),
+    ),
+    "photo_ranking": (
+        photos,
+        simple(fused_sql(8, 0.46, 2.0), LISTS, "u AS (SELECT *, 'proposed' AS source, 0 AS list_ix, 1e0 * 9 / (8 + place) AS part FROM a WHERE place <= 2 UNION ALL SELECT *, 'keyword', 1, 0.5e0 * 9 / (8 + place) * score FROM a WHERE score >= 0.5e0 UNION ALL SELECT *, 'caption', 2, 0.5e0 * 9 / (8 + place) FROM b)", "ex AS (SELECT query_id, id FROM a WHERE false)"),
     ),
-    "learned_rerank": (rerank, RERANK),
+    "learned_rerank": (rerank, simple(RERANKED, *RERANK_CTES)),
     "demote_partition": (demote, simple("SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY label % 2 = 1, place) AS place FROM l JOIN embeddings e ON e.vec_id = l.id", dots_sql(), list_sql("l", "dots"))),
     "custom_first": (custom, simple("SELECT query_id, id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, was, id) AS place FROM (SELECT query_id, id, place AS was, 0 AS tier FROM a WHERE place <= 2 UNION ALL SELECT query_id, id, place, 1 FROM b) QUALIFY place <= 10", LISTS)),
     "editorial_insert": (
         editorial,
-        simple("SELECT query_id, id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, was, id) AS place FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY tier, was) = 1) QUALIFY place <= 10", dots_sql(), list_sql("l", "dots"), f"u AS (SELECT vec_id AS query_id, vec_id + 100 AS id, CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 2 END AS tier, 1 AS was FROM embeddings WHERE vec_id < {ASK} UNION ALL SELECT query_id, id, CASE WHEN place = 1 THEN 1 ELSE 3 END, place FROM l)"),
+        simple("SELECT query_id, id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, was, id) AS place FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY tier, was) = 1) QUALIFY place <= 10", dots_sql(), list_sql("l", "dots"), f"u AS (SELECT vec_id AS query_id, vec_id + 100 AS id, CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 2 END AS tier, 1 AS was FROM embeddings WHERE vec_id % {EVERY} = 0 UNION ALL SELECT query_id, id, CASE WHEN place = 1 THEN 1 ELSE 3 END, place FROM l)"),
     ),
     "recall_mrr": (lambda s, d: E.recall_mrr(E.first_relevant(judged_rows(s, d))), simple(f"SELECT {METRICS} FROM first", JUDGED)),
     "recall_mrr_by_label": (by_label, simple(f"SELECT want, {METRICS} FROM first GROUP BY want", JUDGED)),
@@ -372,7 +455,7 @@ QUERIES = {
     "clause_split": (clauses, "WITH c AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.,;:!?\\n]+'), lambda x: trim(x)), lambda x: len(regexp_split_to_array(x, ' +')) >= 2) AS p FROM conversations WHERE role = 'user') SELECT conv_id, turn, CAST(len(p) AS BIGINT) AS n_clauses, coalesce(p[1], '') AS first_clause FROM c"),
     "text_windows": (
         text_windows,
-        f"WITH t AS (SELECT conv_id, turn, list_filter(string_split({norm_sql('text', 1 << 30)}, ' '), lambda x: x <> '')[1:12] AS t FROM conversations WHERE role = 'user'), w AS (SELECT conv_id, turn, flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, greatest(len(t) - n + 2, 1)), lambda i: array_to_string(t[i : i + n - 1], ' ')))) AS w FROM t) SELECT conv_id, turn, CAST(len(w) AS BIGINT) AS n_windows, list_min(w) AS least, list_max(w) AS most FROM w",
+        f"WITH t AS (SELECT conv_id, turn, list_filter(string_split({norm_sql('text', 1 << 30)}, ' '), lambda x: x <> '') AS t FROM conversations WHERE role = 'user'), w AS (SELECT conv_id, turn, flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, greatest(len(t) - n + 2, 1)), lambda i: array_to_string(t[i : i + n - 1], ' ')))) AS w FROM t) SELECT conv_id, turn, CAST(len(w) AS BIGINT) AS n_windows, list_min(w) AS least, list_max(w) AS most FROM w",
     ),
     "text_match_diversified": (text_match, None),
     "normalized_text": (normalized_text, None),

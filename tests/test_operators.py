@@ -45,7 +45,23 @@ def test_privacy_rules_in_order(spark):
 
 
 def test_normalize():
-    assert [T.normalize(t) for t in ("Crème  BRÛLÉE!", "don't", "C++ +1", "straße 🦊 ﬁn", None)] == ["creme brulee", "dont", "c +1", "strasse fin", None]
+    cases = {
+        "Crème  BRÛLÉE!": "creme brulee", "don't": "dont", "don`t": "dont", "don\u2019t": "dont", "don\u2018t": "don t", "o\u02bcclock": "o\u02bcclock", "C++ +1": "c +1", "straße 🦊 ﬁn": "strasse fin", None: None,
+        "\u0645\u064e\u0631\u0652\u062d\u064e\u0628\u0627": "\u0645\u0631\u062d\u0628\u0627", "\u0645\u0640\u0640\u0631": "\u0645\u0631", "\u05e9\u05c1\u05b8\u05dc\u05d5\u05b9\u05dd": "\u05e9\u05dc\u05d5\u05dd",
+        "1\ufe0f\u20e3 go": "1 go", "doğum günü İIı": "dogum gunu iii", "पिज़्ज़ा": "पिज\u093c्ज\u093cा", "が\u304b\u3099": "がが", "한국": "한국", "🇫🇷 paris": "paris", "ё": "е",
+    }
+    assert {t: T.normalize(t) for t in cases} == cases
+    assert T.normalize("a" * 63 + " b") == "a" * 63 and T.normalize("𝔸" * 70) == "a" * 64 and T.normalize("𐐨" * 70) == "𐐨" * 32
+
+
+def test_embedding_text():
+    assert [T.embedding_text(t) for t in ("  Crème\tBRÛLÉE! 🦊\ufeff", None)] == ["crème brûlée! 🦊", None]
+    assert T.embedding_text("🦊" * 40) == "🦊" * 32 and T.embedding_text("a" + "🦊" * 40) == "a" + "🦊" * 31
+
+
+def test_blocked_phrases(spark):
+    rows = spark.createDataFrame([("such a bad word",), ("badly worded",), ("bad-word",)], "t string")
+    assert [r.r for r in rows.select(T.privacy_reason(F.col("t"), ["bad word"]).alias("r")).collect()] == ["blocked", None, "blocked"]
 
 
 def test_fuzzy_equals_all_pairs(spark):
@@ -68,10 +84,10 @@ def test_prefix_quality(spark):
 def test_fusion_values(spark):
     a = spark.createDataFrame([(1, 7, 1, 0.9), (1, 8, 2, 0.5)], "query_id long, id long, place long, score double")
     b = spark.createDataFrame([(1, 7, 1, 0.8)], "query_id long, id long, place long, score double")
-    top = R.reciprocal(R.lists(("a", 1, a), ("b", 1, b))).filter("place = 1").first()
+    top = R.reciprocal(a, b, pin=0.95).filter("place = 1").first()
     assert (top.id, top.fused) == (7, pytest.approx(2 / 61, abs=1e-9))
     family = spark.createDataFrame([(7, 1), (8, 2)], "id long, family int")
-    kept = {r.id: r.total for r in R.evidence(R.lists(("a", 0.5, a)), family).collect()}
+    kept = {r.id: r.score for r in R.evidence(R.lists(("a", 0.5, False, a)), family).collect()}
     assert kept == {7: pytest.approx(0.5), 8: pytest.approx(0.45)}
 
 
