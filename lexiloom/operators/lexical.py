@@ -18,7 +18,8 @@ FIELDS = {"name": 1.0, "shortcode": 0.95, "keyword": 0.85, "alias": 0.8, "typo":
 #: Fixed values of the scoring rules.
 PREFIX_BASE, PREFIX_SHARE, PREFIX_OF_WORD, SQUEEZE, TYPO, TYPO_SHORT, TYPO_TWO = 0.6, 0.35, 0.5, 0.85, 0.8, 0.7, 0.65
 MIN_COVERAGE, LENGTH_BASE, LENGTH_SHARE, EXACT_MANY, INEXACT, BONUS, MAX_BONUS, REJOINED = 0.34, 0.6, 0.4, 1.1, 0.9, 0.02, 0.06, 0.95
-MAX_PREFIX_WORDS = 400
+#: Words that a prefix completes to (the first so many in order), and the letters of a token that counts as short.
+MAX_PREFIX_WORDS, SHORT_TYPO = 400, 5
 
 
 def phrases(catalog: DataFrame, item: str, fields: dict[str, str]) -> DataFrame:
@@ -64,74 +65,22 @@ def squeeze_candidates(asked: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def fuzzy_candidates(asked: DataFrame, vocab: DataFrame) -> DataFrame:
-    """qtoken, token, quality, edits of the words within a token's edits that share its first letter."""
+    """qtoken, token, quality, edits of the words within a token's edits that begin alike, or with their first two letters swapped.
+
+    Words meet by first letter and length; edits are counted once a pair.
+    """
     k = max_edits(F.col("qtoken"))
     words = vocab.select("token", F.left("token", F.lit(1)).alias("head"), F.length("token").alias("size"))
     wanted = asked.select("qtoken").distinct().withColumn("k", k).filter("k > 0")
-    blocks = wanted.select("qtoken", "k", F.left("qtoken", F.lit(1)).alias("head"), F.explode(F.sequence(F.length("qtoken") - F.col("k"), F.length("qtoken") + F.col("k"))).alias("size"))
-    near = blocks.join(words, ["head", "size"]).filter(F.levenshtein("qtoken", "token") <= 2 * F.col("k")).withColumn("edits", osa_distance("qtoken", "token"))
-    quality = F.when(F.col("edits") == 2, TYPO_TWO).when(F.length("qtoken") < 5, TYPO_SHORT).otherwise(TYPO)
+    first, second = (lambda c, n: F.substring(c, n, 1)), F.substring("qtoken", 2, 1)
+    heads = F.explode(F.array_distinct(F.array(first("qtoken", 1), second))).alias("head")
+    blocks = wanted.select("qtoken", "k", heads).select("*", F.explode(F.sequence(F.length("qtoken") - F.col("k"), F.length("qtoken") + F.col("k"))).alias("size"))
+    alike = (first("qtoken", 1) == first("token", 1)) | ((first("qtoken", 1) == first("token", 2)) & (second == first("token", 1)))
+    near = blocks.join(words, ["head", "size"]).filter(alike & (F.levenshtein("qtoken", "token") <= 2 * F.col("k"))).withColumn("edits", osa_distance("qtoken", "token"))
+    quality = F.when(F.col("edits") == 2, TYPO_TWO).when(F.length("qtoken") <= SHORT_TYPO, TYPO_SHORT).otherwise(TYPO)
     return near.filter((F.col("edits") > 0) & (F.col("edits") <= F.col("k"))).select("qtoken", "token", quality.alias("quality"), "edits")
 
 
-def candidates(asked: DataFrame, vocab: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """qtoken, token, quality, whole: exact, prefix and squeezed words; misspellings where a token has no exact word and begins none."""
-    exact = asked.select("qtoken").distinct().join(vocab.select(F.col("token").alias("qtoken")), "qtoken").select("qtoken", F.col("qtoken").alias("token"), F.lit(1.0).alias("quality"), F.lit(1).alias("whole"))
-    prefix = prefix_candidates(asked, vocab).withColumn("whole", F.lit(0))
-    found = exact.unionByName(prefix)
-    squeezed = squeeze_candidates(asked, vocab).withColumn("whole", F.lit(0))
-    rest = squeezed
-    if fuzzy:
-        lost = asked.join(found.select("qtoken").distinct(), "qtoken", "left_anti")
-        rest = rest.unionByName(fuzzy_candidates(lost, vocab).drop("edits").withColumn("whole", F.lit(0)))
-    return found.unionByName(rest).groupBy("qtoken", "token").agg(F.max("quality").alias("quality"), F.max("whole").alias("whole"))
-
-
-def search(queries: DataFrame, index: DataFrame, limit: int = 8, fuzzy: bool = True) -> DataFrame:
-    """query_id, place, item, score, phrase: the best items of each query."""
-    posts = postings(index)
-    vocab = vocabulary(posts)
-    asked = query_tokens(queries)
-    cands = candidates(asked, vocab, fuzzy)
-    top_idf = vocab.agg(F.max("idf").alias("top_idf"))
-    # a token weighs as its best word, or as the rarest word if it has none
-    best = cands.join(vocab.select("token", "idf"), "token").groupBy("qtoken").agg(F.min_by("idf", F.struct(-F.col("quality"), "token")).alias("idf"))
-    weighed = asked.join(best, "qtoken", "left").join(F.broadcast(top_idf)).select("query_id", "pos", "qtoken", "n_query", F.coalesce("idf", "top_idf").alias("w"), F.col("idf").isNull().cast("int").alias("unknown"))
-    totals = weighed.groupBy("query_id").agg(F.sum("w").alias("total"), F.max("unknown").alias("has_unknown"))
-    hits = weighed.join(cands, "qtoken").join(posts, "token")
-    per_token = hits.groupBy("query_id", "item", "phrase", "field_ix", "weight", "n_tokens", "n_query", "pos", "w").agg(F.max("quality").alias("quality"), F.max("whole").alias("whole"))
-    sums = per_token.groupBy("query_id", "item", "phrase", "field_ix", "weight", "n_tokens", "n_query").agg(F.sum(F.col("quality") * F.col("w")).alias("got"), F.count("*").alias("matched"), F.sum("whole").alias("exact"))
-    scored = sums.join(totals, "query_id").withColumn("coverage", F.col("got") / F.col("total")).filter(F.col("coverage") >= MIN_COVERAGE)
-    scored = scored.filter(~((F.col("has_unknown") == 1) & (F.col("matched") == 1) & (F.col("exact") == 0)))
-    factor = F.when(F.col("exact") == F.col("n_query"), F.when(F.col("n_query") >= 2, EXACT_MANY).otherwise(1.0)).otherwise(INEXACT)
-    score = F.col("weight") * F.col("coverage") * (LENGTH_BASE + LENGTH_SHARE * F.least(F.lit(1.0), F.col("matched") / F.col("n_tokens"))) * factor
-    per_item = scored.withColumn("s", F.round(score, 9)).groupBy("query_id", "item").agg(F.max("s").alias("s"), F.min_by("phrase", F.struct(-F.col("s"), "field_ix", "phrase")).alias("phrase"), F.count("*").alias("n_evidence"))
-    final = F.least(F.lit(1.0), F.col("s") + F.least(F.lit(MAX_BONUS), BONUS * (F.col("n_evidence") - 1)))
-    placed = per_item.withColumn("score", F.round(final, 6)).withColumn("place", rank(Window.partitionBy("query_id").orderBy(F.desc("score"), "item")))
-    return placed.filter(F.col("place") <= limit).select("query_id", "place", "item", "score", "phrase")
-
-
-def confidence(results: DataFrame, sure: float = 0.6) -> DataFrame:
-    """query_id, confidence (the top score) and whether it is sure."""
-    return results.groupBy("query_id").agg(F.max("score").alias("confidence")).withColumn("sure", F.col("confidence") >= sure)
-
-
-def split_word_repair(queries: DataFrame, vocab: DataFrame) -> DataFrame:
-    """query_id, q: queries whose first pair of neighbours that make one word is joined."""
-    asked = query_tokens(queries)
-    pairs = asked.withColumn("next", F.lead("qtoken").over(Window.partitionBy("query_id").orderBy("pos"))).filter("next is not null").withColumn("token", F.concat("qtoken", "next"))
-    first = pairs.join(vocab.select("token"), "token").groupBy("query_id").agg(F.min("pos").alias("at"))
-    rest = asked.join(first, "query_id")
-    joined = rest.withColumn("piece", F.when(F.col("pos") == F.col("at") + 1, F.col("qtoken")).otherwise(F.concat(F.lit(" "), "qtoken")))
-    return joined.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p")).select("query_id", F.trim(F.concat_ws("", F.col("p.piece"))).alias("q"))
-
-
-def capped_below(results: DataFrame, strong: Column, score: str = "score") -> DataFrame:
-    """No result that isn't strong scores above its query's lowest strong one."""
-    least = F.min(F.when(strong, F.col(score))).over(Window.partitionBy("query_id"))
-    return results.withColumn(score, F.when(~strong & least.isNotNull(), F.least(F.col(score), least)).otherwise(F.col(score)))
-
-
 def contained_phrases(texts: DataFrame, phrases_: DataFrame, id_col: str, toks: Column, most: int = 4) -> DataFrame:
     """id, phrase: phrases that stand in a text as whole words, by an equi-join on its windows."""
     from lexiloom.functions.text import windows

@@ -49,26 +49,6 @@ ASKED = f"""names AS (SELECT min(p_partkey) AS query_id, p_name, string_split(p_
  prefix AS (SELECT qtoken, token, (0.6e0 + 0.35e0 * length(qtoken) / length(token)) * CASE WHEN max(token = qtoken) OVER (PARTITION BY qtoken) THEN 0.5e0 ELSE 1e0 END AS quality FROM (SELECT q1.qtoken, token FROM q1 JOIN vocab ON starts_with(token, qtoken) QUALIFY row_number() OVER (PARTITION BY qtoken ORDER BY token) <= 400)),
  squeeze AS (SELECT qtoken, token, 0.85e0 AS quality FROM q1 JOIN vocab ON token <> qtoken AND length(token) < length(qtoken) AND right(token, 1) = right(qtoken, 1) AND qtoken = token || repeat(right(token, 1), CAST(length(qtoken) - length(token) AS BIGINT)) AND (length(token) < 2 OR right(token, 1) <> token[-2])),
  cands AS (SELECT qtoken, token, max(quality) AS quality, max(whole) AS whole FROM (SELECT qtoken, qtoken AS token, 1.0e0 AS quality, 1 AS whole FROM q1 WHERE qtoken IN (SELECT token FROM vocab) UNION ALL SELECT qtoken, token, quality, 0 FROM prefix WHERE token <> qtoken UNION ALL SELECT *, 0 FROM squeeze) GROUP BY ALL)"""
-FOUND = """best AS (SELECT qtoken, first(idf ORDER BY quality DESC, token) AS idf FROM cands JOIN vocab USING (token) GROUP BY qtoken),
- weighed AS (SELECT a.*, coalesce(idf, (SELECT max(idf) FROM vocab)) AS w, CASE WHEN idf IS NULL THEN 1 ELSE 0 END AS unknown FROM asked a LEFT JOIN best USING (qtoken)),
- totals AS (SELECT query_id, sum(w) AS total, max(unknown) AS has_unknown FROM weighed GROUP BY 1),
- pt AS (SELECT query_id, item, phrase, field_ix, weight, n_tokens, n_query, pos, w, max(quality) AS quality, max(whole) AS whole FROM weighed JOIN cands USING (qtoken) JOIN posts USING (token) GROUP BY ALL),
- sums AS (SELECT query_id, item, phrase, field_ix, weight, n_tokens, n_query, sum(quality * w) AS got, count(*) AS matched, sum(whole) AS exact FROM pt GROUP BY ALL),
- scored AS (SELECT *, round(weight * (got / total) * (0.6e0 + 0.4e0 * least(1.0e0, matched / n_tokens)) * CASE WHEN exact = n_query THEN CASE WHEN n_query >= 2 THEN 1.1e0 ELSE 1e0 END ELSE 0.9e0 END, 9) AS s FROM sums JOIN totals USING (query_id) WHERE got / total >= 0.34e0 AND NOT (has_unknown = 1 AND matched = 1 AND exact = 0)),
- per_item AS (SELECT query_id, item, first(phrase ORDER BY s DESC, field_ix, phrase) AS phrase, round(least(1.0e0, max(s) + least(0.06e0, 0.02e0 * (count(*) - 1))), 6) AS score FROM scored GROUP BY 1, 2),
- found AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS place, item, score, phrase FROM per_item QUALIFY place <= 8)"""
-
-
-def results(s, d):
-    return L.search(asked(s, d), index_of(s, d), fuzzy=False)
-
-
-def split_queries(s, d):
-    names = table(s, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("query_id"))
-    second = F.split("p_name", " ")[1]
-    return names.select("query_id", F.concat_ws(" ", F.split("p_name", " ")[0], F.left(second, F.lit(2)), F.substr(second, F.lit(3))).alias("q"))
-
-
 def fuzzy(s, d):
     words = L.query_tokens(asked(s, d)).select("qtoken").distinct()
     wrong = words.select(F.concat(F.left("qtoken", F.lit(1)), F.substr("qtoken", F.lit(3), F.lit(1)), F.substr("qtoken", F.lit(2), F.lit(1)), F.substr("qtoken", F.lit(4))).alias("qtoken"))
@@ -332,13 +312,6 @@ def text_windows(s, d):
     return said(s, d).select("conv_id", "turn", F.size(w).cast("long").alias("n_windows"), F.array_min(w).alias("least"), F.array_max(w).alias("most"))
 
 
-def text_match(s, d):
-    names = F.broadcast(s.createDataFrame(list(enumerate(CUES)), "item int, phrase string"))
-    texts = said(s, d).withColumn("query_id", F.xxhash64("conv_id", "turn", "text"))
-    hits = L.contained_phrases(texts, names, "query_id", T.tokens(T.ascii_normalized(F.col("text"), 1 << 30)), 2)
-    return L.diversified(hits.select("query_id", "item", "phrase", F.lit(1.0).alias("score"), F.left("phrase", F.lit(1)).alias("window")), "window")
-
-
 def normalized_text(s, d):
     return table(s, d, "documents").select("doc_id", T.normalized(1 << 30)("text").alias("normalized"))
 
@@ -359,16 +332,9 @@ QUERIES = {
     "vocab_postings": (lambda s, d: L.postings(index_of(s, d)).groupBy("token", "field_ix").agg(F.count("*").alias("n")), simple("SELECT token, field_ix, CAST(count(*) AS BIGINT) AS n FROM posts GROUP BY ALL", INDEX)),
     "token_idf": (lambda s, d: vocab_of(s, d).withColumn("idf", F.round("idf", 6)), simple("SELECT token, df, round(idf, 6) AS idf FROM vocab", INDEX)),
     "token_mask": (lambda s, d: L.postings(index_of(s, d)).groupBy("token").agg(F.bit_or(F.expr("shiftleft(1, field_ix)")).alias("mask")), simple("SELECT token, CAST(bit_or(CAST(1 AS INT) << field_ix) AS INT) AS mask FROM posts GROUP BY 1", INDEX)),
-    "exact_token_match": (lambda s, d: L.candidates(L.query_tokens(asked(s, d)), vocab_of(s, d), False).filter("whole = 1").select("qtoken", "token"), simple("SELECT qtoken, token FROM cands WHERE whole = 1", INDEX, ASKED)),
+    "exact_token_match": (lambda s, d: L.query_tokens(asked(s, d)).select("qtoken").distinct().join(vocab_of(s, d).select(F.col("token").alias("qtoken")), "qtoken"), simple("SELECT qtoken FROM cands WHERE whole = 1", INDEX, ASKED)),
     "prefix_candidates": (lambda s, d: L.prefix_candidates(L.query_tokens(asked(s, d)), vocab_of(s, d)).withColumn("quality", F.round("quality", 6)), simple("SELECT qtoken, token, round(quality, 6) AS quality FROM prefix WHERE token <> qtoken", INDEX, ASKED)),
     "squeeze_candidates": (lambda s, d: L.squeeze_candidates(L.query_tokens(asked(s, d)), vocab_of(s, d)), simple("SELECT qtoken, token, quality FROM squeeze", INDEX, ASKED)),
-    "lexical_search_topk": (results, simple("SELECT * FROM found", INDEX, ASKED, FOUND)),
-    "lexical_confidence": (lambda s, d: L.confidence(results(s, d)), simple("SELECT query_id, max(score) AS confidence, max(score) >= 0.6e0 AS sure FROM found GROUP BY 1", INDEX, ASKED, FOUND)),
-    "lexical_capped": (
-        lambda s, d: L.capped_below(results(s, d), F.col("item") % 3 == 0).select("query_id", "item", "score"),
-        simple("SELECT query_id, item, CASE WHEN item % 3 <> 0 AND m IS NOT NULL THEN least(score, m) ELSE score END AS score FROM (SELECT *, min(CASE WHEN item % 3 = 0 THEN score END) OVER (PARTITION BY query_id) AS m FROM found)", INDEX, ASKED, FOUND),
-    ),
-    "split_word_repair": (lambda s, d: L.split_word_repair(split_queries(s, d), vocab_of(s, d)), "SELECT min(p_partkey) AS query_id, p_name AS q FROM part GROUP BY p_name"),
     "fuzzy_candidates": (fuzzy, None),
     "vector_topk": (top_list, simple("SELECT * FROM l", dots_sql(), list_sql("l", "dots"))),
     "truncated_topk": (lambda s, d: top_list(s, d, 5, 16), simple("SELECT * FROM l", dots_sql(dims=16), list_sql("l", "dots", 5))),
@@ -385,7 +351,7 @@ QUERIES = {
     ),
     "degenerate_vectors": (
         lambda s, d: V.degenerate(copied(s, d)),
-        "SELECT array_to_string(list_transform(embedding[1:24], lambda x: printf('%.3f', floor(CAST(x AS DOUBLE) * 1000 + 0.5e0) / 1000)), ',') AS key, CAST(count(DISTINCT vec_id) AS BIGINT) AS n FROM (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000 * c, embedding FROM embeddings, (SELECT unnest([1, 2, 3]) AS c) WHERE vec_id % 10 = 0) GROUP BY 1 HAVING count(DISTINCT vec_id) >= 4",
+        "SELECT array_to_string(list_transform(embedding[1:24], lambda x: printf('%.3f', floor(CAST(x AS DOUBLE) * 1000 + 0.5e0) / 1000)), ',') AS key, CAST(count(DISTINCT vec_id) AS BIGINT) AS n FROM (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + CAST(1000000000 AS BIGINT) * c, embedding FROM embeddings, (SELECT unnest([1, 2, 3]) AS c) WHERE vec_id % 10 = 0) GROUP BY 1 HAVING count(DISTINCT vec_id) >= 4",
     ),
     "semantic_confidence": (lambda s, d: R.level_and_gap(two(s, d)[1], 0.3, 0.9, 0.02, 0.3), simple("SELECT * FROM conf", LISTS, CONF)),
     "rrf_fusion": (
@@ -457,7 +423,6 @@ QUERIES = {
         text_windows,
         f"WITH t AS (SELECT conv_id, turn, list_filter(string_split({norm_sql('text', 1 << 30)}, ' '), lambda x: x <> '') AS t FROM conversations WHERE role = 'user'), w AS (SELECT conv_id, turn, flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, greatest(len(t) - n + 2, 1)), lambda i: array_to_string(t[i : i + n - 1], ' ')))) AS w FROM t) SELECT conv_id, turn, CAST(len(w) AS BIGINT) AS n_windows, list_min(w) AS least, list_max(w) AS most FROM w",
     ),
-    "text_match_diversified": (text_match, None),
     "normalized_text": (normalized_text, None),
     "stream_query_daily": (stream, None),
 }
