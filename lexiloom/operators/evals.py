@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.sources.tables import kept
+
 
 def first_relevant(rows: DataFrame) -> DataFrame:
     """query_id, first: the place of the first relevant result, 0 if there is none."""
@@ -30,11 +36,160 @@ def precision(rows: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, value: str, shares: list[float], *by: str) -> DataFrame:
-    """The value at index floor(share * n) of the sorted values, the last at most: exact, by ranks within groups."""
+    """The value at index floor(share * n) of the sorted values, the last at most: exact.
+
+    Rows are counted by group and value before anything is sorted; the counts are
+    sorted into ranges of group and value, so that a group with most of the rows
+    is spread over tasks, and running sums over ranges (a row each) and within
+    them give each value its ranks.
+    """
+    keys = [F.col(c) for c in by]
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    ranged = kept(counts.repartitionByRange(*keys, F.col(value)).withColumn("range", F.spark_partition_id()), "values")
+    sums = ranged.groupBy(*by, "range").agg(F.sum("n").alias("here"))
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    rows = df.filter(F.col(value).isNotNull()).select(*by, value, F.row_number().over(whole.orderBy(value)).alias("at"), F.count("*").over(whole).alias("n"))
-    place = lambda p: F.least(F.col("n"), F.floor(F.lit(p) * F.col("n")) + 1)
-    return rows.groupBy(*by).agg(*[F.max(F.when(F.col("at") == place(p), F.col(value))).alias(f"p{round(100 * p)}") for p in shares])
+    ahead = sums.withColumn("ahead", F.sum("here").over(whole.orderBy("range")) - F.col("here")).withColumn("total", F.sum("here").over(whole)).drop("here")
+    matching = [F.col(f"v.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, "range")]
+    rows = ranged.alias("v").join(ahead.alias("s"), reduce(lambda x, y: x & y, matching)).select("v.*", "s.ahead", "s.total")
+    last = F.col("ahead") + F.sum("n").over(Window.partitionBy(*by, "range").orderBy(value))
+    placed = rows.withColumn("last", last)
+    at = lambda p: F.least(F.col("total"), F.floor(F.lit(p) * F.col("total")) + 1)
+    inside = lambda p: (F.col("last") >= at(p)) & (F.col("last") - F.col("n") < at(p))
+    return placed.groupBy(*by).agg(*[F.max(F.when(inside(p), F.col(value))).alias(f"p{round(100 * p)}") for p in shares])
+
+
+def calibrated(judged: DataFrame, value: str, hit: str) -> DataFrame:
+    """floor and ceiling, in hundredths: the quartile of the misses' values and the median of the hits', at least 0.05 apart; 1 and 1.05 without hits."""
+    cents = lambda x: F.floor(F.round(x, 9) * 100 + 0.5) / 100
+    found = nearest_rank(judged.select(F.col(hit).alias("hit"), value), value, [0.25, 0.5], "hit")
+    one = found.agg(F.max(F.when(F.col("hit"), F.col("p50"))).alias("top"), F.max(F.when(~F.col("hit"), F.col("p25"))).alias("low"))
+    ceiling = F.when(F.col("top").isNull(), 1.05).otherwise(cents(F.col("top")))
+    low = F.coalesce(cents(F.col("low")), ceiling - 0.15)
+    return one.select(F.when(F.col("top").isNull(), 1.0).otherwise(cents(F.least(low, ceiling - 0.05))).alias("floor"), ceiling.alias("ceiling"))
+
+
+def forbidden(rows: DataFrame, banned: Column, k: int = 3) -> DataFrame:
+    """query_id, forbid: whether a banned result stands among the first k."""
+    return rows.groupBy("query_id").agg(F.max(banned & (F.col("place") <= k)).alias("forbid"))
+
+
+def ceilings(answers: DataFrame, k: int = 4) -> DataFrame:
+    """query_id, ceiling: the best precision at k that so many answers (query_id, answer) allow."""
+    return answers.groupBy("query_id").agg((F.least(F.lit(k), F.count_distinct("answer")) / k).alias("ceiling"))
+
+
+def rank_of(rows: DataFrame, answers: DataFrame, fold: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """query_id, rank of the first acceptable id, 0 without one; fold maps both sides first. rows: query_id, place, id; answers: query_id, answer."""
+    wanted = answers.select("query_id", fold(F.col("answer")).alias("key")).distinct()
+    met = rows.withColumn("key", fold(F.col("id"))).join(wanted, ["query_id", "key"], "left_semi")
+    return rows.select("query_id").distinct().join(met.groupBy("query_id").agg(F.min("place").alias("rank")), "query_id", "left").fillna(0, ["rank"])
+
+
+def with_totals(judged: DataFrame, by: str) -> DataFrame:
+    """recall_mrr() by a column, in all (null) and as the mean over its values (`macro` is true)."""
+    own = recall_mrr(judged, by)
+    every = recall_mrr(judged).select(F.lit(None).cast(own.schema[by].dataType).alias(by), *own.columns[1:])
+    mean = own.agg(F.lit(None).cast(own.schema[by].dataType).alias(by), F.sum("n").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in own.columns[2:]])
+    return own.unionByName(every).withColumn("macro", F.lit(False)).unionByName(mean.withColumn("macro", F.lit(True)))
+
+
+def fidelity(shown: DataFrame, model: DataFrame, k: int = 10) -> DataFrame:
+    """queries and share: how much of what is shown among the first k (query_id, id, place) stands in the model's own first k."""
+    a, b = (df.filter(F.col("place") <= k).select("query_id", "id") for df in (shown, model))
+    hits = a.join(b.withColumn("own", F.lit(1)), ["query_id", "id"], "left").groupBy("query_id").agg((F.count("own") / k).alias("share"))
+    return hits.agg(F.count("*").alias("queries"), F.round(F.avg("share"), 6).alias("share"))
+
+
+def noise(rows: DataFrame, odd: Column, k: int = 5) -> DataFrame:
+    """queries and share of them with an odd result among the first k."""
+    one = rows.groupBy("query_id").agg(F.max((odd & (F.col("place") <= k)).cast("double")).alias("hit"))
+    return one.agg(F.count("*").alias("queries"), F.round(F.avg("hit"), 6).alias("share"))
+
+
+def severity(first: Column) -> Column:
+    """How bad a rank is: none at all is worst."""
+    return F.when(first == 0, 1 << 30).otherwise(F.coalesce(first, F.lit(0)))
+
+
+def worst_misses(judged: DataFrame, other: DataFrame, k: int = 5, limit: int = 10) -> DataFrame:
+    """query_id, first, other: queries without a relevant result among the first k, worst first, then by how bad another run (query_id, first) is."""
+    missed = judged.filter((F.col("first") == 0) | (F.col("first") > k)).join(other.select("query_id", F.col("first").alias("other")), "query_id", "left")
+    return missed.orderBy(F.desc(severity(F.col("first"))), F.desc(severity(F.col("other"))), "query_id").limit(limit).select("query_id", "first", "other")
+
+
+def rejudged(runs: DataFrame, answers: DataFrame) -> DataFrame:
+    """run, query_id, rank: stored lists (run, query_id, place, id) by today's answers."""
+    keyed = runs.select(F.struct("run", "query_id").alias("query_id"), "place", "id")
+    wanted = runs.select("run", "query_id").distinct().join(answers, "query_id").select(F.struct("run", "query_id").alias("query_id"), "answer")
+    return rank_of(keyed, wanted).select("query_id.*", "rank")
+
+
+def failure(mode: str) -> Column:
+    """The kind of a failure by the first rule that holds, null for a hit.
+
+    Columns: rank (in the mode's list), folded (the rank with variants folded),
+    alias_rank, semantic_rank, fused_rank, gate, disputed, pictures, romanized,
+    unspaced, capped, matched (the best phrase), q (normalised), unknown and n_tokens.
+    """
+    hit = lambda c: F.coalesce(F.col(c).between(1, 5), F.lit(False))
+    rules = F.when(hit("rank"), None).when(F.col("pictures"), "emoji-in-query").when(hit("folded"), "gendered-label").when(F.col("disputed"), "disputed-label")
+    if mode == "gated":
+        rules = rules.when(~F.col("gate") & hit("fused_rank"), "gate-skipped")
+    if mode != "alias":
+        rules = rules.when(hit("alias_rank"), "fusion-dropped-alias").when(hit("semantic_rank"), "fusion-dropped-semantic")
+    rules = rules.when(F.col("romanized"), "romanized").when(F.col("unspaced"), "unsegmented-script").when(F.col("capped"), "collision-capped")
+    rules = rules.when(F.col("matched").isNull(), "no-match").when(F.col("unknown") > 0, "unknown-word").when(F.col("matched") == F.col("q"), "exact-phrase-other-item")
+    return rules.when(F.col("n_tokens") >= 2, "phrase-partial").otherwise("word-sense")
+
+
+def chunk_of(number: Column, total: Column, size: int) -> Column:
+    """The chunk, from 0, of row `number` (from 0) when `total` rows are cut into ceil(total / size) chunks of near-equal length."""
+    return F.floor(number / F.ceil(total / F.ceil(total / size)))
+
+
+def integrity(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """Keys whose output is missing, repeated or unexpected, and what is wrong."""
+    counts = actual.groupBy(key).agg(F.count("*").alias("n"))
+    both = expected.select(key).distinct().withColumn("wanted", F.lit(True)).join(counts, key, "full")
+    wrong = F.when(F.col("n").isNull(), "missing").when(F.col("wanted").isNull(), "unexpected").when(F.col("n") > 1, "duplicated")
+    return both.select(key, wrong.alias("problem")).filter("problem is not null")
+
+
+def fit_reranker(rows: DataFrame, features: list[str], epochs: int = 400, rate: float = 0.05, decay: float = 1e-3, sample: int = 200_000) -> dict[str, float]:
+    """Weights of a listwise softmax over each query's results (query_id, relevant, features), by Adam on standardised features.
+
+    The fit takes a bounded sample: the queries with the smallest hashes whose rows
+    come to at most `sample`.
+    """
+    sizes = rows.groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.col("relevant").cast("int")).alias("any")).filter("any = 1")
+    chosen = sizes.orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+    table = rows.join(F.broadcast(chosen.select("query_id")), "query_id").select("query_id", F.col("relevant").cast("double").alias("relevant"), *features).orderBy(F.xxhash64("query_id"), "query_id").limit(sample).toPandas()
+    return dict(zip(features, softmax_fit(table["query_id"].to_numpy(), table["relevant"].to_numpy(), table[features].to_numpy(float), epochs, rate, decay).tolist(), strict=True))
+
+
+def softmax_fit(query: np.ndarray, relevant: np.ndarray, x: np.ndarray, epochs: int, rate: float, decay: float) -> np.ndarray:
+    """Weights in the features' own units that give relevant results the most of their query's softmax."""
+    order = np.argsort(query, kind="stable")
+    query, relevant, x = query[order], relevant[order], x[order]
+    heads = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+    n = np.diff(np.append(heads, len(query)))
+    spread = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    z = (x - x.mean(axis=0)) / spread
+    want = relevant / np.repeat(np.maximum(np.add.reduceat(relevant, heads), 1e-12), n)
+    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    for t in range(1, epochs + 1):
+        s = z @ w
+        p = np.exp(s - np.repeat(np.maximum.reduceat(s, heads), n))
+        p /= np.repeat(np.add.reduceat(p, heads), n)
+        slope = z.T @ (p - want) / len(heads) + decay * w
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w / spread
+
+
+def folds(key: Column, k: int = 5) -> Column:
+    """The fold of a query for cross-validation."""
+    return F.pmod(F.crc32(key.cast("string")), F.lit(k)).cast("int")
 
 
 def regressions(now: DataFrame, before: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:

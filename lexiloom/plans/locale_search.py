@@ -146,6 +146,21 @@ def merged(limit: int) -> str:
  cov AS (SELECT t0.query_id, CAST(len(toks) AS INT) AS n_query, coalesce(max(score), 0e0) AS confidence, coalesce((SELECT floor(max(covers) * 1000 + 0.5e0) / 1000 FROM (SELECT query_id, covers FROM sc0 UNION ALL SELECT query_id, covers FROM sc1) x WHERE x.query_id = t0.query_id), 0e0) AS coverage FROM t0 LEFT JOIN res USING (query_id) GROUP BY 1, 2)"""
 
 
+def text_sql(limit: int) -> str:
+    """div: the matches of the messages' windows, up to `limit` a text."""
+    words = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    return f"""ms AS (SELECT text_id AS query_id, string_split({NORM.format(x="text").replace(", 64)", f", {1 << 30})")}, ' ')[1:64] AS toks FROM (SELECT p_partkey // 40 AS text_id, string_agg(p_name, ' of the ' ORDER BY p_partkey) AS text FROM part WHERE p_partkey % 10 = 3 GROUP BY 1)),
+ tx AS (SELECT query_id AS text_id, list_distinct(toks) AS words, toks, {MASKS} FROM ms),
+ wn AS (SELECT DISTINCT text_id, words, locale, preferred, searched, w FROM (SELECT * EXCLUDE toks, unnest(flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, greatest(len(toks) - n + 2, 1)), lambda i: array_to_string(toks[i : i + n - 1], ' '))))) AS w FROM tx) WHERE len(list_filter(string_split(w, ' '), lambda x: NOT list_contains({words(STOP_WORDS)}, x))) > 0),
+ id AS (SELECT row_number() OVER (ORDER BY w, locale, preferred, searched) AS query_id, * FROM (SELECT DISTINCT w, locale, preferred, searched FROM wn)),
+ t0 AS (SELECT query_id, locale, preferred, searched, false AS open, string_split(w, ' ') AS toks FROM id), {chain("0", 16, False)}, {merged(16)},
+ ht AS (SELECT text_id, item, phrase, wn.w AS win, score, string_split(phrase, ' ') AS p, (SELECT sum(CASE WHEN list_contains(words, y) THEN 1e0 WHEN length(y) >= 4 AND len(list_filter(words, lambda z: damerau_levenshtein(y, z) <= 1)) > 0 THEN 0.5e0 ELSE 0e0 END) FROM (SELECT unnest(string_split(phrase, ' ')) AS y)) / len(p) AS share FROM wn JOIN id USING (w, locale, preferred, searched) JOIN res USING (query_id)),
+ hs AS (SELECT *, round(score * share * share * CASE WHEN len(p) > 1 THEN 1 + 0.1e0 * (len(p) - 1) WHEN list_contains({words(COMMON_WORDS)}, phrase) THEN 0.6e0 ELSE 1e0 END, 9) AS s FROM ht),
+ bt AS (SELECT text_id, item, max(s) AS s, first(phrase ORDER BY s DESC, len(string_split(win, ' ')) DESC, win, phrase) AS phrase, first(win ORDER BY s DESC, len(string_split(win, ' ')) DESC, win, phrase) AS win, count(DISTINCT phrase) AS n FROM hs WHERE s >= 0.45e0 GROUP BY 1, 2),
+ dv AS (SELECT text_id, item, phrase, win, round(least(1e0, s + least(0.12e0, 0.04e0 * (n - 1))) * power(0.93e0, row_number() OVER (PARTITION BY text_id, win ORDER BY least(1e0, s + least(0.12e0, 0.04e0 * (n - 1))) DESC, item) - 1), 6) AS score FROM bt),
+ div AS (SELECT text_id, row_number() OVER (PARTITION BY text_id ORDER BY score DESC, item) AS place, item, floor(score * 1000 + 0.5e0) / 1000 AS score, phrase, win FROM dv QUALIFY place <= {limit})"""
+
+
 FULL = f"WITH {PACKS}, {ASKED}, {chain('0', 8)}, {merged(8)}"
 
 QUERIES = {
@@ -160,7 +175,13 @@ QUERIES = {
         lambda s, d: S.joined_words(queries_of(s, d).withColumn("toks", T.tokens(T.ascii_normalized(F.col("q")))), S.vocabulary(S.postings(packs(s, d)))).select("query_id", F.concat_ws(" ", "toks").alias("q")),
         FULL + " SELECT query_id, array_to_string(toks, ' ') AS q FROM t1",
     ),
-    "text_match_diversified": (matches, None),
-    "offline_reactions": (reactions, None),
+    "text_match_diversified": (matches, f"WITH {PACKS}, {text_sql(10)} SELECT text_id, place, item, score, phrase, win AS window FROM div"),
+    "offline_reactions": (
+        reactions,
+        f"""WITH {PACKS}, {text_sql(40)}, own AS (SELECT text_id, item, least(1e0, round(score * CASE WHEN popularity > 40 THEN 1.15e0 WHEN popularity > 20 THEN 0.95e0 ELSE 0.7e0 END, 9)) AS score, place AS was FROM div JOIN pop USING (item)),
+ top AS (SELECT *, 0 AS tier FROM own QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY score DESC, was) <= 6),
+ fil AS (SELECT text_id, i AS item, 0.3e0 AS score, nr AS was, 1 AS tier FROM tx, (VALUES (1, true, 0), (2, true, 1), (3, false, 2), (4, false, 3)) v(i, q_only, nr) WHERE (text_id % 2 = 0 OR NOT q_only) AND (text_id, i) NOT IN (SELECT (text_id, item) FROM top))
+ SELECT text_id, row_number() OVER (PARTITION BY text_id ORDER BY tier, CASE WHEN tier = 0 THEN -score END, was) AS place, CAST(item AS BIGINT) AS item, floor(score * 1000 + 0.5e0) / 1000 AS score FROM (SELECT text_id, item, score, was, tier FROM top UNION ALL SELECT text_id, item, score, was, tier FROM fil) QUALIFY place <= 6""",
+    ),
     "number_slang": (slang, "WITH t AS (SELECT p_size, min(p_partkey) AS id FROM part GROUP BY 1) SELECT CAST(p_size AS BIGINT) AS query_id, id FROM t WHERE p_size % 2 = 0 AND id % 6 < 4"),
 }

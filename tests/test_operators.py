@@ -13,6 +13,7 @@ from lexiloom.operators import curation as C
 from lexiloom.operators import evals as E
 from lexiloom.operators import fusion as R
 from lexiloom.operators import lexical as L
+from lexiloom.operators import locale_search as S
 from lexiloom.operators import upserts as U
 from lexiloom.operators import vectors as V
 
@@ -70,7 +71,8 @@ def test_fuzzy_equals_all_pairs(spark):
     asked = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 9))) for _ in range(40)})
     got = L.fuzzy_candidates(spark.createDataFrame([(w,) for w in asked], "qtoken string"), spark.createDataFrame([(w,) for w in words], "token string"))
     budget = lambda t: 0 if len(t) < 4 else 1 if len(t) < 8 else 2
-    want = {(a, w, T.osa(a, w)) for a in asked for w in words if a[0] == w[0] and 0 < T.osa(a, w) <= budget(a)}
+    alike = lambda a, w: a[0] == w[0] or a[:2] == w[1::-1]
+    want = {(a, w, T.osa(a, w)) for a in asked for w in words if alike(a, w) and 0 < T.osa(a, w) <= budget(a)}
     assert {(r.qtoken, r.token, r.edits) for r in got.collect()} == want
 
 
@@ -81,6 +83,30 @@ def test_prefix_quality(spark):
     assert got == {("happ", "happyday"): pytest.approx((0.6 + 0.35 * 4 / 8) * 0.5), ("oth", "other"): pytest.approx(0.6 + 0.35 * 3 / 5)}
 
 
+def test_search_by_locale(spark):
+    """Unspaced runs split into words, function words match themselves only, own exact matches stand above other locales', digits stay."""
+    assert S.segments("abcdxyzab", frozenset(["ab", "abc", "xyz"])) == ["abc", "d", "xyz", "ab"] and S.segments("q", frozenset()) == ["q"]
+    rows = lambda data: spark.createDataFrame(data, "item int, phrase string, field_ix int, weight double")
+    index = S.pack_index([rows([(1, "foot", 0, 1.0), (2, "ball of fire", 0, 1.0), (4, "offer", 2, 0.85), (5, "happy", 2, 0.85)]), rows([(3, "foot", 3, 0.8), (6, "生日快乐", 2, 0.85), (6, "快乐", 3, 0.8)])])
+    asked = [(1, "foot", "fr", 2, 3), (2, "ball of", "en", 1, 1), (3, "hapy ", "en", 1, 3), (4, "很快乐", "fr", 2, 3), (5, "foot", "en", 1, 1), (6, "hap", "en", 1, 3), (7, "", "en", 1, 3)]
+    queries = spark.createDataFrame(asked, "query_id int, q string, locale string, preferred long, searched long")
+    popular = spark.createDataFrame([(i, i) for i in range(1, 7)], "item int, popularity int")
+    results, known = S.search(queries, index, popular, spark.createDataFrame([("en", "of")], "locale string, token string"), 3)
+    got = {}
+    for r in sorted(results.collect(), key=lambda r: (r.query_id, r.place)):
+        got.setdefault(r.query_id, []).append(r.item)
+    assert got == {1: [3, 1], 2: [2], 3: [5], 4: [6], 5: [1], 6: [5]}
+    assert {r.query_id for r in known.collect()} == {1, 2, 3, 4, 5, 6} and S.limited(None) == 24 and S.limited(99) == 50
+
+
+def test_interleaving_and_layers(spark):
+    a, b = (spark.createDataFrame(rows, "query_id int, id int, place int, score double") for rows in ([(1, 7, 1, 0.9), (1, 8, 2, 0.5), (1, 9, 3, 0.2)], [(1, 5, 1, 0.8), (2, 6, 1, 0.7)]))
+    assert [r.id for r in R.interleaved(a, b).filter("query_id = 1").orderBy("place").collect()] == [7, 5, 8, 9]
+    assert sorted((r.query_id, r.id) for r in R.first_answer(a, b).collect()) == [(1, 7), (1, 8), (1, 9), (2, 6)]
+    entries = spark.createDataFrame([(1, "x", 1, 10), (1, "x", 2, 11), (2, "y", 1, 10), (2, "y", 2, 12)], "entry_ix int, entry string, pos int, id int")
+    assert [(r.id, r.entry) for r in R.shelf(entries, 3).orderBy("place").collect()] == [(10, "x"), (11, "x"), (12, "y")]
+
+
 def test_fusion_values(spark):
     a = spark.createDataFrame([(1, 7, 1, 0.9), (1, 8, 2, 0.5)], "query_id long, id long, place long, score double")
     b = spark.createDataFrame([(1, 7, 1, 0.8)], "query_id long, id long, place long, score double")
