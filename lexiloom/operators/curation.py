@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,3 +91,84 @@ def fnv1a(texts: pd.Series) -> pd.Series:
         return h
 
     return texts.map(one).astype("int64")
+
+
+#: The order of alias categories, how many may lead, and documents for embedding.
+ALIAS_CATEGORIES = ("synonym", "slang", "pop_culture", "dev", "intent")
+MOST_TOP, DOCUMENT_ALIASES = 3, 40
+
+
+def ordered_aliases(record: dict[str, Column]) -> Column:
+    """An item's aliases: its few leading ones, then the categories in order, each once. record: columns by category and `top`."""
+    none = F.array().cast("array<string>")
+    listed = F.flatten(F.array(*[F.coalesce(record[c], none) for c in ALIAS_CATEGORIES if c in record]))
+    return F.array_distinct(F.concat(F.slice(F.coalesce(record["top"], none), 1, MOST_TOP), listed))
+
+
+def core_and_rest(aliases: Column, n: int) -> tuple[Column, Column]:
+    """The first n aliases, for a core pack, and the others."""
+    return F.slice(aliases, 1, n), F.slice(aliases, n + 1, 1 << 20)
+
+
+def placed_aliases(aliases: DataFrame, verdicts: DataFrame, low: DataFrame) -> DataFrame:
+    """item, phrase, field, outcome: each alias once an item and locale, in its first field; removed, demoted to `low` or kept.
+
+    aliases: locale, item, phrase, field, field_ix, pos; verdicts: locale, item, phrase, action (remove or low); low: locale, item, phrase (listed as low).
+    """
+    first = first_placement(aliases.select("locale", "item", "phrase", "field", "field_ix", "pos"), ["locale", "item", "phrase"], ["field_ix", "pos"])
+    keys = ["locale", "item", "phrase"]
+    rows = first.join(verdicts.select(*keys, "action"), keys, "left").join(low.select(*keys, F.lit(True).alias("listed")).distinct(), keys, "left")
+    outcome = F.when(F.col("action") == "remove", "removed").when((F.col("action") == "low") | F.col("listed"), "low").otherwise("kept")
+    return rows.select(*keys, F.when(outcome == "low", "low").otherwise(F.col("field")).alias("field"), outcome.alias("outcome"))
+
+
+def unmatched_edits(phrases: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edits that fit no phrase of their locale, or of any for `*`."""
+    own = edits.filter("locale <> '*'").join(phrases, ["locale", "item", "phrase"], "left_anti")
+    every = edits.filter("locale = '*'").join(phrases.select("item", "phrase").distinct(), ["item", "phrase"], "left_anti")
+    return own.unionByName(every)
+
+
+def family_popularity(items: DataFrame, ratings: DataFrame, family: Callable[[Column], Column]) -> DataFrame:
+    """item, rating: an item's own rating, or the best of its family, null without any. items: item; ratings: item, rating."""
+    best = ratings.groupBy(family(F.col("item")).alias("family")).agg(F.max("rating").alias("best"))
+    own = items.select("item", family(F.col("item")).alias("family")).join(ratings, "item", "left").join(best, "family", "left")
+    return own.select("item", F.coalesce("rating", "best").alias("rating"))
+
+
+def documents(title: Column, description: Column, tags: Column, aliases: Column) -> Column:
+    """The text of an item that is embedded: title, then description, distinct tags and the first aliases."""
+    rest = F.array_join(F.array_distinct(F.concat(tags, F.slice(aliases, 1, DOCUMENT_ALIASES))), ", ")
+    return F.concat_ws(". ", title, F.when(description != "", description), F.when(rest != "", rest))
+
+
+def usage_texts(rows: DataFrame) -> DataFrame:
+    """item, kind, text: one text for each kind of use (struct of kind and phrases) that has phrases. rows: item, uses."""
+    return rows.select("item", F.explode("uses").alias("u")).filter(F.size("u.phrases") > 0).select("item", "u.kind", F.array_join("u.phrases", ", ").alias("text"))
+
+
+def mined(queries: DataFrame, candidates: DataFrame, gate: Column) -> DataFrame:
+    """item, phrase: aliases to append: unsure queries' (query_id, q) candidates (query_id, item, score and what the gate reads) that pass a gate, the best of a query."""
+    passed = candidates.filter(gate)
+    best = passed.groupBy("query_id").agg(F.min_by("item", F.struct(-F.col("score"), "item")).alias("item"))
+    return best.join(queries, "query_id").select("item", F.col("q").alias("phrase")).distinct()
+
+
+def suggestions(results: DataFrame, own: DataFrame, labels: DataFrame, locale: str, limit: int = 8) -> DataFrame:
+    """query_id, place, item, label: results without repeated items and a tenant's own (item), with a label in the locale, in English or any."""
+    rows = results.join(own.select("item"), "item", "left_anti").groupBy("query_id", "item").agg(F.min("place").alias("was")).join(labels, "item", "left")
+    label = F.coalesce(F.element_at("labels", locale), F.element_at("labels", "en"), F.get(F.map_values("labels"), F.lit(0)), F.lit(""))
+    placed = rows.withColumn("place", rank(Window.partitionBy("query_id").orderBy("was", "item"))).filter(F.col("place") <= limit)
+    return placed.select("query_id", "place", "item", label.alias("label"))
+
+
+def mapped(results: DataFrame, other: DataFrame) -> DataFrame:
+    """query_id, place, entry: results as entries of another catalog (key, entry), met by code points without variation selectors."""
+    bare = lambda c: F.regexp_replace(F.upper(c), "-FE0F", "")
+    met = results.withColumn("key", bare(F.col("item"))).join(other.select(bare(F.col("key")).alias("key"), "entry"), "key")
+    return met.withColumn("place", rank(Window.partitionBy("query_id").orderBy("place", "entry"))).select("query_id", "place", "entry")
+
+
+def merged_reports(parts: DataFrame) -> DataFrame:
+    """reason, n: the counts of batches' reports (batch, counts: map of reason to number)."""
+    return parts.select(F.explode("counts").alias("reason", "n")).groupBy("reason").agg(F.sum("n").alias("n"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexiloom.plans import evaluation, locale_search, search_analytics, search_ranking
+from lexiloom.plans import editorial, evaluation, locale_search, search_analytics, search_ranking
 
 FLAGSHIP = "trends_daily"
-ALL = search_analytics.QUERIES | search_ranking.QUERIES | locale_search.QUERIES | evaluation.QUERIES
+ALL = search_analytics.QUERIES | search_ranking.QUERIES | locale_search.QUERIES | evaluation.QUERIES | editorial.QUERIES
 
 
 def queries() -> dict:
