@@ -58,13 +58,25 @@ def k_anonymous(log: DataFrame, account: Column, keys: list[str], accounts: int
     return found.filter((F.col("accounts") >= accounts) & (F.col("searches") >= searches))
 
 
+def windowed_counts(log: DataFrame, account: Column, windows: dict[str, tuple[str, str]], unknown: str = "XX") -> DataFrame:
+    """window, locale, country, query, accounts, searches: counts in each window (inclusive days), by country without the unknown one, and over all countries as `*`.
+
+    One scan: a row is dealt to the windows that hold its day and to its country and
+    `*`, and summed by account before it is shuffled.
+    """
+    inside = [F.when(F.col("day").between(first, last), F.lit(name)) for name, (first, last) in windows.items()]
+    places = F.array_compact(F.array(F.when(F.col("country") != unknown, F.col("country")), F.lit(ALL)))
+    days = [day for window in windows.values() for day in window]
+    rows = between(log, min(days), max(days)).withColumn("account", account).withColumn("window", F.explode(F.array_compact(F.array(*inside)))).withColumn("country", F.explode(places))
+    keys = ["window", "locale", "country", "query"]
+    by_account = rows.groupBy(*keys, "account").agg(F.sum("searches").alias("searches"))
+    return by_account.groupBy(*keys).agg(F.count("account").alias("accounts"), F.sum("searches").alias("searches"))
+
+
 def recent_counts(log: DataFrame, account: Column, first: str, last: str, unknown: str = "XX") -> DataFrame:
-    """locale, country, query, accounts, searches: by country without the unknown one, and over all countries as `*`."""
-    rows = between(log, first, last)
-    keys = ["locale", "country", "query"]
-    fine = k_anonymous(rows.filter(F.col("country") != unknown), account, keys)
-    whole = k_anonymous(rows, account, ["locale", "query"]).withColumn("country", F.lit(ALL))
-    return fine.unionByName(whole)
+    """locale, country, query, accounts, searches of a window, of groups over the privacy floor."""
+    found = windowed_counts(log, account, {"recent": (first, last)}, unknown).drop("window")
+    return found.filter((F.col("accounts") >= MIN_ACCOUNTS) & (F.col("searches") >= MIN_SEARCHES))
 
 
 def trend_windows(run_day: str) -> dict[str, tuple[str, str] | list[str]]:
@@ -80,26 +92,22 @@ def trend_score(searches: Column, baseline: Column) -> Column:
     return F.round((searches / RECENT_DAYS + 1) / (baseline / BASE_DAYS + 1), 2)
 
 
-def regional_trends(log: DataFrame, account: Column, run_day: str, history: DataFrame | None = None) -> DataFrame:
-    """locale, country, query, score, searches, accounts.
+def regional_trends(log: DataFrame, account: Column, run_day: str) -> DataFrame:
+    """locale, country, query, score, searches, accounts of the week before a run.
 
-    The baseline is what the log still holds of the four weeks before, or what
-    earlier runs remember of them (history: day, locale, country, query, searches), whichever is more.
+    The baseline is what the log still holds of the four weeks before, or what the
+    four runs then published of them, whichever is more. All six windows come from
+    one scan of the log.
     """
     at = trend_windows(run_day)
-    recent = recent_counts(log, account, *at["recent"])
-    wanted = recent.select("query").distinct()
-    logged = between(log, *at["baseline"]).join(wanted, "query", "left_semi").groupBy("locale", "country", "query").agg(F.sum("searches").alias("logged"))
-    logged_all = logged.groupBy("locale", "query").agg(F.sum("logged").alias("logged")).withColumn("country", F.lit(ALL))
-    # `*` is no country of the log, so each recent row meets a row of one of the two at most
-    base = recent.join(logged.filter(F.col("country") != ALL).unionByName(logged_all), ["locale", "country", "query"], "left")
-    if history is not None:
-        kept = history.filter(F.col("day").isin(at["history"])).groupBy("locale", "country", "query").agg(F.sum("searches").alias("remembered"))
-        base = base.join(kept, ["locale", "country", "query"], "left")
-    else:
-        base = base.withColumn("remembered", F.lit(0))
-    baseline = F.greatest(F.coalesce("logged", F.lit(0)), F.coalesce("remembered", F.lit(0)))
-    return base.select("locale", "country", "query", trend_score(F.col("searches"), baseline).alias("score"), "searches", "accounts")
+    earlier = {f"run {day}": trend_windows(day)["recent"] for day in at["history"]}
+    counts = windowed_counts(log, account, {"recent": at["recent"], "baseline": at["baseline"], **earlier})
+    public = (F.col("accounts") >= MIN_ACCOUNTS) & (F.col("searches") >= MIN_SEARCHES)
+    recent, logged = (F.max(F.when(test, F.col("searches"))) for test in ((F.col("window") == "recent") & public, F.col("window") == "baseline"))
+    remembered = F.sum(F.when(F.col("window").startswith("run ") & public, F.col("searches")))
+    accounts = F.max(F.when(F.col("window") == "recent", F.col("accounts")))
+    one = counts.groupBy("locale", "country", "query").agg(recent.alias("searches"), accounts.alias("accounts"), F.greatest(F.coalesce(logged, F.lit(0)), F.coalesce(remembered, F.lit(0))).alias("baseline"))
+    return one.filter("searches is not null").select("locale", "country", "query", trend_score(F.col("searches"), F.col("baseline")).alias("score"), "searches", "accounts")
 
 
 def capped(trends: DataFrame, per_region: int = 500, overall: int = 10_000) -> DataFrame:
@@ -158,3 +166,63 @@ def cancelled(events: DataFrame, within_seconds: int = 3600) -> DataFrame:
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     soon = micros("next_ts") - micros("ts") < within_seconds * 1_000_000
     return after.groupBy("user_id").agg(F.count("*").alias("n_events"), F.count_if(soon & (F.col("next_type") != F.col("event_type"))).alias("n_cancelled"))
+
+
+def weighted_counts(points: DataFrame, key: str, weight: str, least: float, limit: int) -> DataFrame:
+    """A key's sampled points counted by their weights (one over the share that is kept), if enough, most first."""
+    return points.groupBy(key).agg(F.sum(weight).alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), key).limit(limit)
+
+
+#: Fixed values of client reports.
+LEAST_SAMPLE, MOST_PICKS, ID = 0.001, 50, r"^[0-9A-Za-z-]{1,64}$"
+REPORT = "v int, sample double, locale string, counts map<string,long>, picks array<array<string>>"
+
+
+def reports(raw: DataFrame, text: str = "report") -> tuple[DataFrame, DataFrame]:
+    """(reports, refused): client reports, parsed and checked, and the texts that are none."""
+    rows = raw.withColumn("r", F.from_json(text, REPORT))
+    picks = F.coalesce("r.picks", F.array().cast("array<array<string>>"))
+    good = (F.col("r.v") == 1) & F.col("r.sample").between(LEAST_SAMPLE, 1) & F.col("r.counts").isNotNull() & (F.size(picks) <= MOST_PICKS) & F.forall(picks, lambda p: F.forall(p, lambda i: i.rlike(ID)))
+    good = good & F.forall(F.map_values("r.counts"), lambda n: n >= 0)
+    return rows.filter(F.coalesce(good, F.lit(False))).drop(text), rows.filter(~F.coalesce(good, F.lit(False))).drop("r")
+
+
+def report_counts(parsed: DataFrame) -> DataFrame:
+    """event, n: the reports' counts, each times one over its sample."""
+    each = parsed.select((1 / F.col("r.sample")).alias("weight"), F.explode("r.counts").alias("event", "count"))
+    return each.groupBy("event").agg(F.round(F.sum(F.col("weight") * F.col("count")), 6).alias("n"))
+
+
+def legacy_locale(locale: Column) -> Column:
+    return F.when(locale == "und", "en").otherwise(locale)
+
+
+def with_role(rows: DataFrame, members: DataFrame, member: Column) -> DataFrame:
+    """rows (account_id, ...) with the role of a member on each account, null without one."""
+    own = members.filter(F.col("member_id") == member).select("account_id", "role")
+    return rows.join(own, "account_id", "left")
+
+
+def apps_with_hooks(apps: DataFrame, hooks: DataFrame) -> DataFrame:
+    """account_id, app_id: applications with a webhook that isn't revoked, each once."""
+    return apps.join(hooks.filter("revoked_at is null").select("app_id").distinct(), "app_id", "left_semi").select("account_id", "app_id").distinct()
+
+
+def layered_cost(scenarios: DataFrame, prices: dict[str, float]) -> DataFrame:
+    """scenarios with dollars per million searches by layer and in all.
+
+    scenarios: device, shard, cache (shares of what reaches a layer that it answers), reactions, images (per search).
+    """
+    missed = 1 - F.col("device")
+    embedded = missed * (1 - F.col("shard"))
+    layers = {"shard": missed * prices["read"], "worker": embedded * prices["request"], "embedding": embedded * (1 - F.col("cache")) * prices["embedding"], "reaction": F.col("reactions") * prices["embedding"], "image": F.col("images") * prices["image"]}
+    rows = scenarios.select("*", *[F.round(v * 1e6, 6).alias(f"{k}_cost") for k, v in layers.items()])
+    return rows.withColumn("cost", F.round(sum((F.col(f"{k}_cost") for k in layers), F.lit(0.0)), 6))
+
+
+def sensitivity(base: dict[str, float], spread: float) -> list[dict]:
+    """The base case, and one with each of its figures lower and higher."""
+    cases = [{"case": "base", **base}]
+    for name, value in base.items():
+        cases += [{"case": f"{name}{sign}", **base, name: min(1.0, max(0.0, value * factor))} for sign, factor in (("-", 1 - spread), ("+", 1 + spread))]
+    return cases

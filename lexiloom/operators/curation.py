@@ -81,18 +81,6 @@ def split_prefixes(entries: DataFrame, budget: int) -> DataFrame:
     return entries.join(own, "q", "left").groupBy(F.coalesce("shard_key", "q").alias("shard_key")).agg(F.count("*").alias("entries"), F.sum("bytes").alias("bytes"))
 
 
-def fnv1a(texts: pd.Series) -> pd.Series:
-    """32-bit FNV-1a of UTF-8 texts."""
-
-    def one(text: str) -> int:
-        h = 0x811C9DC5
-        for b in text.encode():
-            h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
-        return h
-
-    return texts.map(one).astype("int64")
-
-
 #: The order of alias categories, how many may lead, and documents for embedding.
 ALIAS_CATEGORIES = ("synonym", "slang", "pop_culture", "dev", "intent")
 MOST_TOP, DOCUMENT_ALIASES = 3, 40

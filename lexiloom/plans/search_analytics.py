@@ -41,17 +41,13 @@ def trends_sql() -> str:
 
 
 def trends(spark, d):
-    log, owner = search_log.load(spark, d), search_log.account()
-    days = A.trend_windows(RUN_DAY)["history"]
-    earlier = [A.recent_counts(log, owner, *A.trend_windows(x)["recent"]).withColumn("day", F.lit(x)) for x in days]
-    history = earlier[0]
-    for more in earlier[1:]:
-        history = history.unionByName(more)
-    return A.regional_trends(log, owner, RUN_DAY, history)
+    at = A.trend_windows(RUN_DAY)
+    days = [*at["recent"], *at["baseline"], *A.trend_windows(min(at["history"]))["recent"]]
+    return A.regional_trends(search_log.load(spark, d, min(days), max(days)), search_log.account(), RUN_DAY)
 
 
 def log_in(spark, d, first=WINDOW[0], last=WINDOW[1]):
-    return A.between(search_log.load(spark, d), first, last)
+    return search_log.load(spark, d, first, last)
 
 
 IN_WINDOW = f"FROM query_daily WHERE day BETWEEN '{WINDOW[0]}' AND '{WINDOW[1]}'"
@@ -153,7 +149,7 @@ def scoped(spark, d):
 
 def semi_anti(spark, d):
     log = log_in(spark, d)
-    base = A.between(search_log.load(spark, d), "2024-01-01", "2024-01-03").select("query", "locale", "country").distinct()
+    base = search_log.load(spark, d, "2024-01-01", "2024-01-03").select("query", "locale", "country").distinct()
     old = log.join(base, ["query", "locale", "country"], "left_semi").withColumn("era", F.lit("old"))
     new = log.join(base, ["query", "locale", "country"], "left_anti").withColumn("era", F.lit("new"))
     return old.unionByName(new).groupBy("era").agg(F.count("*").alias("n"), F.sum("searches").alias("searches"))

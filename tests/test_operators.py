@@ -107,6 +107,103 @@ def test_interleaving_and_layers(spark):
     assert [(r.id, r.entry) for r in R.shelf(entries, 3).orderBy("place").collect()] == [(10, "x"), (11, "x"), (12, "y")]
 
 
+def test_fake_results_and_aliases_within_a_budget(spark):
+    from lexiloom.operators import shards as H
+    from lexiloom.sources import catalogs as K
+
+    queries = spark.createDataFrame([("cat",), ("",), ("dog é",)], "q string")
+    first, again = (sorted(map(tuple, H.fake_results(q, 5, 8).collect())) for q in (queries, queries.repartition(3)))
+    assert first == again and len(first) == 15 and H._hash("a") == 0xE40C292C
+    rows = spark.createDataFrame([("en", i, f"item {i}", [f"alias {i} {j}" for j in range(16)]) for i in range(50)], "locale string, item int, head string, aliases array<string>")
+    whole, cut = (K.fitted_aliases(rows, b).first() for b in (1 << 20, 900))
+    assert whole.aliases == 16 and 0 < cut.aliases < 16 and cut.bytes <= 900
+
+
+def test_reranker_fit():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    query, x = np.repeat(np.arange(200), 10), rng.standard_normal((2000, 3))
+    truth = x @ np.array([2.0, -1.0, 0.0])
+    relevant = (truth == np.repeat(truth.reshape(-1, 10).max(axis=1), 10)).astype(float)
+    w = E.softmax_fit(query, relevant, x, 400, 0.05, 1e-3)
+    found = (x @ w).reshape(-1, 10).argmax(axis=1) == truth.reshape(-1, 10).argmax(axis=1)
+    assert found.mean() > 0.95 and abs(w[2]) < 0.2 * abs(w[0])
+
+
+def test_readers_refuse_bad_input(spark, tmp_path):
+    import json
+
+    from lexiloom.sources import catalogs as K
+
+    def file(name, text):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+        return f"file://{tmp_path}/{name}"
+
+    assert [(r.q, r.n) for r in K.query_log(spark, file("a.jsonl", '{"q":"cat","n":2}\n\n{"q":"dog","n":1,"locale":"en"}\n')).collect()] == [("cat", 2.0), ("dog", 1.0)]
+    for text, said in (('{"q":"cat","n":2}\nnope\n', "number 2: not json"), ('{"q":"cat","n":0}', "count not positive"), ('{"q":" ","n":1}', "empty query")):
+        with pytest.raises(K.BadInput, match=said):
+            K.query_log(spark, file("b.jsonl", text))
+    row = {"glyph": "x", "item": "i1", "group": 0, "version": 1, "skins": 0, "label": "cat face", "shortcode": "cat", "keyword": "pet|animal", "alias": "", "typo": "", "low": "meow"}
+    pack = {"format": K.PACK_FORMAT, "formatVersion": 1, "locale": "en", "part": "core", "groups": ["animals"], "popularity": [7], "rows": [row]}
+    rows = K.read_packs(spark, file("p.json", json.dumps(pack)))
+    assert [(r.grp, r.popularity) for r in rows.collect()] == [("animals", 7)]
+    weights = dict(zip(L.FIELDS, L.FIELDS.values(), strict=True))
+    assert sorted((r.phrase, r.field_ix) for r in K.exploded(rows, weights).collect()) == [("animal", 2), ("cat", 1), ("cat face", 0), ("meow", 5), ("pet", 2)]
+    for change, said in (({"format": "other"}, "wrong format"), ({"formatVersion": 2}, "unknown version"), ({"popularity": [1, 2]}, "popularity of other length")):
+        with pytest.raises(K.BadInput, match=said):
+            K.read_packs(spark, file("q.json", json.dumps(pack | change)))
+    known = spark.createDataFrame([("a",), ("b",)], "key string")
+    assert K.overlay(spark, file("o.json", '{"key":"a","desc":"x"}'), known, "desc string").count() == 1
+    for text, said in (('{"key":"c","desc":"x"}', "unknown key"), ('{"key":"a"}\n{"key":"a"}', "duplicated key")):
+        with pytest.raises(K.BadInput, match=said):
+            K.overlay(spark, file("o.json", text), known, "desc string")
+    good = '{"id":"q1","q":"x","answers":["a"],"forbid":["b"]}'
+    assert K.eval_queries(spark, file("e.jsonl", good)).count() == 1
+    for text, said in ((good + "\n" + good, "id twice"), ('{"id":"q1","q":"x","answers":[]}', "no answers"), ('{"id":"q1","q":"x","answers":["a"],"forbid":["a"]}', "answer forbidden")):
+        with pytest.raises(K.BadInput, match=said):
+            K.eval_queries(spark, file("e.jsonl", text))
+    ids = K.id_ranges(spark.createDataFrame([("see a-006 to a-008, b-12 and a-007",)], "text string"))
+    assert sorted(r.id for r in ids.collect()) == ["a-006", "a-007", "a-008", "b-12"]
+    listed = K.exclusions(K.lines(spark, file("x.txt", "# list\n[war]\nBomb # loud\n\n[hate]\nslur word\n")))
+    assert sorted((r.phrase, r.category) for r in listed.collect()) == [("bomb", "war"), ("slur word", "hate")]
+    assert [tuple(r) for r in K.owners_csv(spark, file("c.csv", 'alias,owners\n"a ""b"", c","1F600 1F601"\n')).collect()] == [('a "b", c', ["1F600", "1F601"])]
+    with pytest.raises(K.BadInput, match="unknown key"):
+        K.merged_batches(spark.createDataFrame([("z", 1, "r")], "key string, part int, record string"), known)
+
+
+def test_base_catalog_and_stale_versions(spark):
+    from lexiloom.sources import catalogs as K
+
+    items = spark.createDataFrame([("1F600-FE0F", 1, "face", "grin"), ("200D", 2, "component", "zwj")], "item string, ord int, group string, label string")
+    codes = [spark.createDataFrame([("1F600-FE0F", c)], "item string, code string") for c in ("smile", "grin")]
+    words = spark.createDataFrame([("1F600", ["happy"])], "key string, words array<string>")
+    got = K.base_catalog(items, codes, words, [F.col("item"), F.regexp_replace("item", "-FE0F", "")]).collect()
+    assert [tuple(r) for r in got] == [("1F600-FE0F", 1, "grin", ["smile", "grin"], ["happy"])]
+    stored = spark.createDataFrame([("v1", 10), ("v1", 90), ("v2", 10), ("v3", 10)], "version string, uploaded long")
+    assert [r.version for r in K.stale_versions(stored, "v3", F.lit(100), 50).collect()] == ["v2"]
+
+
+def test_glyph_functions(spark):
+    from lexiloom.functions import glyphs as G
+
+    rows = spark.createDataFrame([("👍️", "dark"), ("🧑\u200d🤝\u200d🧑", "light"), ("👍", "none"), (None, "dark")], "g string, t string").select(G.with_tone("g", "t").alias("x")).collect()
+    assert [r.x for r in rows] == ["👍🏿", "🧑🏻\u200d🤝\u200d🧑🏻", "👍", None]
+    got = spark.createDataFrame([("go 👩\u200d💻 🇫🇷 1\ufe0f\u20e3!",)], "t string").select(G.clusters("t").alias("x")).first().x
+    assert got == ["👩\u200d💻", "🇫🇷", "1\ufe0f\u20e3"]
+    labels = ['```json\n{"caption": " a cat ", "keywords": ["cat", 3, ""], "emoji": ["🐱"]}\n```', "no json", '{"caption": 3, "keywords": "x"}', None]
+    parsed = spark.createDataFrame([(x,) for x in labels], "t string").select(G.parsed_label("t").alias("p")).select("p.*").collect()
+    assert [tuple(r) for r in parsed] == [("a cat", ["cat"], ["🐱"]), ("", [], []), ("", [], []), ("", [], [])]
+    cases = spark.createDataFrame([("ru", "privet"), ("ru", "привет"), ("en", "hello"), ("zh", "123")], "l string, q string").select(G.is_romanized(F.col("l"), F.col("q")).alias("x")).collect()
+    assert [r.x for r in cases] == [True, False, False, False]
+    typed = spark.createDataFrame([("hello :smi",), ("a:b",), ("(:",), ("x :done:",)], "t string").select(G.autocomplete(F.col("t")).alias("a"), G.finished_shortcode(F.col("t")).alias("f")).collect()
+    assert [(r.a, r.f) for r in typed] == [("smi", None), (None, None), ("", None), (None, "done")]
+    parts = spark.createDataFrame([("nice work, see 2.14.0 and go home 🎉 bye",)], "t string").select(G.clauses(F.col("t")).alias("c")).first().c
+    assert parts == ["nice work, see 2.14.0 and go home 🎉 bye", "nice work", "see 2.14.0", "go home"]
+    named = spark.createDataFrame([("flags",), ("new",)], "k string").select(G.looked_up(F.col("k"), {"flags": "Flags"}).alias("x")).collect()
+    assert [r.x for r in named] == ["Flags", "new"]
+
+
 def test_fusion_values(spark):
     a = spark.createDataFrame([(1, 7, 1, 0.9), (1, 8, 2, 0.5)], "query_id long, id long, place long, score double")
     b = spark.createDataFrame([(1, 7, 1, 0.8)], "query_id long, id long, place long, score double")
