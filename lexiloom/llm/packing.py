@@ -15,6 +15,7 @@ further columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -22,6 +23,7 @@ from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Callable
 from functools import lru_cache
+from pathlib import Path
 from struct import pack as pack_into
 
 import numpy as np
@@ -69,6 +71,11 @@ class Ids(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(Path(path).read_text(encoding="utf-8"))
+        cut = [p.get("pattern", {}).get("Regex") for p in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        lower = "Lowercase" in [n["type"] for n in (rules.get("normalizer") or {}).get("normalizers", [])]
+        if _WORD.pattern not in cut or not lower:
+            raise ValueError(f"{path} doesn't lower-case and cut words as this module does")
         self.words = _Words(self.tokenizer.model)
 
     def __missing__(self, chunk: str) -> bytes:

@@ -330,6 +330,18 @@ def test_language_mixture_and_edges(awkward, empty):
     assert {r.lang_pred for r in language_id.predict(awkward, nothing).collect()} == {"und"}
 
 
+def test_maximisation_equals_a_grid_search():
+    """Shares of two languages are those of the best likelihood over a fine grid."""
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet(np.full(50, 0.3), 2).T + 1e-6
+    for true in (0.1, 0.5, 0.8):
+        n = rng.multinomial(5000, (p @ [true, 1 - true]) / (p @ [true, 1 - true]).sum()).astype(float)
+        share, fit = language_id.Model._maximise(p, n, np.array([0.5, 0.5]))
+        grid = np.linspace(0, 1, 2001)
+        fits = np.array([n @ np.log(p @ [g, 1 - g]) for g in grid])
+        assert abs(share[0] - grid[fits.argmax()]) < 0.01 and fit >= fits.max() - 0.05
+
+
 # 7 collision counting
 def test_nearest_neighbours_recall_and_edges(spark):
     rng = np.random.default_rng(0)
@@ -475,6 +487,11 @@ def test_plan_places_every_piece_once():
         assert sequences <= best * 1.03 + 1
 
 
+def test_packing_refuses_other_tokenizers():
+    with pytest.raises(ValueError, match="lower-case"):
+        packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 # 10 licences
 def test_license_scan(awkward, empty):
     rows = licences.scan(awkward).collect()
@@ -516,3 +533,26 @@ def test_wrapped_notices_are_found(spark, first, mark, last):
     assert sorted((r.doc_id, r.licence, r.line) for r in got) == [(i, name, 3 + first.count("\n")) for i, name in enumerate(long)]
     apart = "Permission is hereby granted, free of charge,\n\n" + long["MIT"].split(",", 2)[2]
     assert all(m.licence is None for _, b in licences.blocks(apart) for m in licences.Scanner().matches(b))
+
+
+def test_licences_of_all_documents_equal_a_plain_search(spark, documents):
+    """Every place of every template in every paragraph of the table, by comparing word lists at each place."""
+    want = set()
+    templates = [(name, licences.words(t)) for name, t in licences.TEMPLATES + licences.TAGS if "*" not in t]
+    rows = documents.select("doc_id", "text").collect()
+    for r in rows:
+        for content, _, _ in licences.paragraphs(r.text or ""):
+            own = licences.words(content)
+            for name, t in templates:
+                if any(own[i : i + len(t)] == t for i in range(len(own) - len(t) + 1)):
+                    want.add((r.doc_id, name))
+    starred = [(name, t.split("*")) for name, t in licences.TEMPLATES if "*" in t]
+    want |= {(r.doc_id, name) for r in rows for name, (a, b) in starred if a.strip().lower() in (r.text or "").lower() and licences.words(b)[0] in licences.words(r.text or "")}
+    got = {(r.doc_id, r.licence) for r in licences.scan(documents).filter("licence is not null").collect()}
+    assert got == want and len(want) >= 5
+
+
+def test_license_tags(spark):
+    rows = [(1, "// SPDX-License-Identifier: MIT\ncode"), (2, "# SPDX-License-Identifier: GPL-3.0-or-later"), (3, "SPDX-License-Identifier: Nothing-1.0")]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.licence) for r in sorted(got, key=lambda r: r.doc_id)] == [(1, "MIT"), (2, "GPL-3.0"), (3, None)]
