@@ -14,8 +14,10 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir; one of our own where that is unset, as in tests."""
+    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir; one of our own where that is unset and all runs on one machine, as in tests."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
