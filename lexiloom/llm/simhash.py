@@ -12,6 +12,10 @@ their sets of five-word shingles have a Jaccard similarity of 0.8 or more. The
 fingerprints of such texts differ by up to some 20 bits, too many for tiles, so
 candidates are dealt by bands of MinHash values, passed on if their fingerprints
 lie within a wide radius, and each pair is confirmed by its exact similarity.
+Members of a bucket first meet its first and a few others, which is enough to
+join copies. Of buckets that then still hold members of several components, all
+pairs of different components within the radius are confirmed too, so no link is
+lost to the size of a bucket and no group of copies is turned into its pairs.
 
 Defined results: a null text counts as empty; a text of one or two words has
 one shingle, a text without words the fingerprint zero, linked like any other;
@@ -43,8 +47,8 @@ FINGERPRINTS_A_SPLIT = 4_000_000
 BLOCK = 2048
 #: The rule of keep_one: words of a shingle, the least similarity of near copies, and the bits by which their fingerprints may differ.
 STAGE_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 24
-#: Bands of MinHash values and values a band (a pair at the least similarity shares a band with probability 0.9996), and the members before it that a member of a bucket meets besides the first.
-BANDS, VALUES, NEIGHBOURS = 20, 5, 4
+#: Bands of MinHash values and values a band (a pair at the least similarity shares a band with probability 0.9996), the members before it that a member of a bucket meets at first, besides the first, and members of a bucket that one task holds.
+BANDS, VALUES, NEIGHBOURS, MEMBERS_A_SPLIT = 20, 5, 4, 65_536
 #: A column of keep_one's own.
 DIGEST = "digest of the text in keep_one"
 _RANDOM = np.random.default_rng(SEED).integers(0, 2**64, (3, BANDS * VALUES), np.uint64) | np.uint64(1)
@@ -237,15 +241,62 @@ def candidate_pairs(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long")
 
 
+def remaining_pairs(distinct: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes of different components (labels: node, component) that share a band, lie within the wide radius and were not met by candidate_pairs() for the size of their bucket.
+
+    A bucket with many members is dealt to tasks by pairs of its splits.
+    """
+    joined = distinct.select("node", "fp", F.explode("bands").alias("band")).join(labels, "node", "left")
+    dealt = written(joined.select("band", "node", "fp", F.coalesce("component", "node").alias("component")), "banded")
+    mixed = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = written(mixed.filter((F.col("n") > NEIGHBOURS + 2) & (F.col("low") < F.col("high"))).select("band", (1 + F.floor(F.col("n") / MEMBERS_A_SPLIT)).cast("int").alias("splits")), "mixed")
+    if mixed.isEmpty():
+        return distinct.sparkSession.createDataFrame([], "a long, b long")
+    rows = join_unique(dealt, mixed, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("splits")).cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    tile = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))
+    placed = met.select(tile.alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("visit"), "node", "fp", "component", (F.col("own") == F.col("other")).alias("within"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches come sorted: a tile's first split is kept, then the other passes by; a split alone meets itself."""
+        key, kept = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            cuts = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1
+            for i, j in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if (now := int(columns[0][i])) != key:
+                    key, kept = now, []
+                some = [c[i:j] for c in columns[2:5]]
+                if not columns[1][i]:
+                    kept.append(some)
+                if columns[1][i] or columns[5][i]:
+                    for own in kept:
+                        yield from _apart(own, some)
+
+    return placed.repartition("tile").sortWithinPartitions("tile", "visit").mapInArrow(compare, "a long, b long")
+
+
+def _apart(own: list[np.ndarray], other: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs of two sets of rows (node, fp, component) that lie within the wide radius in different components."""
+    for i in range(0, len(own[0]), BLOCK):
+        for j in range(0, len(other[0]), BLOCK):
+            near = np.bitwise_count((own[1][i : i + BLOCK, None] ^ other[1][None, j : j + BLOCK]).view(np.uint64)) <= WIDE
+            x, y = np.nonzero(near & (own[2][i : i + BLOCK, None] != other[2][None, j : j + BLOCK]))
+            a, b = own[0][i + x], other[0][j + y]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """The Jaccard similarity of two sets of hashes, each sorted and distinct."""
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common / (len(a) + len(b) - common)
 
 
-def similar_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The candidate pairs of distinct (node, rep, fp, bands) whose exact similarity is high enough. Only texts of candidates are read again."""
-    pairs = written(candidate_pairs(distinct).distinct(), "pairs")
+def confirmed(docs: DataFrame, distinct: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The pairs a, b of distinct (node, rep, fp, bands) whose exact similarity is high enough. Only texts of candidates are read again."""
+    pairs = written(candidates.distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = docs.join(distinct.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
@@ -260,7 +311,17 @@ def similar_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
     sets = written(map_batches(chosen.select("doc_id", "text"), "node long, hashes binary", collect).dropDuplicates(["node"]), "sets")
     both = join_unique(pairs, sets.toDF("a", "own"), "a").join(sets.toDF("b", "other"), "b").select("a", "b", "own", "other")
-    return map_batches(both, "a long, b long", confirm)
+    return written(map_batches(both, "a long, b long", confirm), "links")
+
+
+def similar_components(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """node and component of every node with a link."""
+    links = confirmed(docs, distinct, candidate_pairs(distinct))
+    labels = components(links)
+    more = written(remaining_pairs(distinct, labels), "remaining")
+    if more.isEmpty():
+        return labels
+    return components(links.unionByName(confirmed(docs, distinct, more)))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,7 +333,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     docs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     alike = sketches(docs).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     distinct = written(alike, "distinct")
-    grouped = distinct.select("node", "rep").join(components(similar_links(docs, distinct)), "node", "left")
+    grouped = distinct.select("node", "rep").join(similar_components(docs, distinct), "node", "left")
     first = grouped.groupBy(F.coalesce("component", "node")).agg(F.min("rep").alias(id_col)).select(id_col).distinct()
     kept = df.filter(F.col(id_col).isNotNull()).join(first, id_col, "left_semi")
     kept = kept.select(*df.columns, F.sha2(F.coalesce(text_col, F.lit("")), 256).alias(DIGEST)).dropDuplicates([id_col, DIGEST]).drop(DIGEST)

@@ -222,8 +222,13 @@ def test_simhash_keep_one(awkward, empty):
     assert ids[1] == 1 and ids[2] == 0 and ids[10] == 1 and ids[None] == 2 and simhash.near_duplicates(empty).count() == 0
 
 
-def test_keep_one_finds_every_pair_of_similar_texts(spark):
-    """Kept are exactly the smallest ids of the components by brute-force five-word similarity, also of texts whose op4 fingerprints lie far apart."""
+@pytest.mark.parametrize("neighbours", [4, 0])
+def test_keep_one_finds_every_pair_of_similar_texts(spark, monkeypatch, neighbours):
+    """Kept are exactly the smallest ids of the components by brute-force five-word similarity, also of texts whose op4 fingerprints lie far apart, whatever few members of a bucket meet at first."""
+    if not neighbours:  # all texts share every band, dealt to splits of a few
+        monkeypatch.setattr(simhash, "NEIGHBOURS", 0)
+        monkeypatch.setattr(simhash, "MEMBERS_A_SPLIT", 50)
+        monkeypatch.setattr(simhash, "_bands", lambda own: np.arange(3, dtype=np.uint64))
     rng = np.random.default_rng(5)
     rows = []
     for group in range(60):
