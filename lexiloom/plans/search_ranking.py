@@ -10,6 +10,7 @@ from lexiloom.operators import evals as E
 from lexiloom.operators import fusion as R
 from lexiloom.operators import lexical as L
 from lexiloom.operators import vectors as V
+from lexiloom.plans.search_analytics import QD
 from lexiloom.sources.tables import read_table as table
 from lexiloom.sources.tables import scratch
 from lexiloom.streaming import counters
@@ -317,12 +318,32 @@ def normalized_text(s, d):
 
 
 def stream(s, d):
-    out = scratch(s, "stream")
-    schema = table(s, d, "events").schema
-    counters.run_once(counters.event_stream(s, d, "events.parquet", schema), f"{out}/counts", f"{out}/checkpoint")
+    """The events dealt to eight files by a hash, so that days come in no order, two files a batch."""
+    out, schema = scratch(s, "stream"), table(s, d, "events").schema
+    table(s, d, "events").repartition(8, "event_id").write.parquet(f"{out}/in")
+    counters.run_once(counters.event_stream(s, f"{out}/in", "*.parquet", schema, 2), f"{out}/counts", f"{out}/checkpoint")
     return counters.current(s, f"{out}/counts")
 
 
+def usage_alerts(s, d):
+    out, orders = scratch(s, "meter"), table(s, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    orders.repartition(6, "o_orderkey").write.parquet(f"{out}/in")
+    events = counters.event_stream(s, f"{out}/in", "*.parquet", orders.schema, 2)
+    counters.meter(events, F.col("o_custkey"), F.date_format("o_orderdate", "yyyy"), F.lit(1), 4, out, f"{out}/checkpoint")
+    return s.read.parquet(f"{out}/alerts").drop("batch", "id")
+
+
+def report_stream(s, d):
+    out = scratch(s, "reports")
+    e = table(s, d, "events")
+    report = F.format_string('{"v":1,"sample":%s,"counts":{"%s":%d}}', F.when(F.col("event_id") % 7 == 0, "7").otherwise("0.5"), F.col("event_type"), F.col("user_id") % 5)
+    raw = e.select(report.alias("report"))
+    raw.repartition(4).write.parquet(f"{out}/in")
+    counters.count_reports(counters.event_stream(s, f"{out}/in", "*.parquet", raw.schema, 1), out, f"{out}/checkpoint")
+    refused = s.read.parquet(f"{out}/refused").agg(F.lit("refused").alias("event"), F.count("*").cast("double").alias("n"))
+    return counters.current(s, f"{out}/counts", ["event"], ("n",)).unionByName(refused)
+
+
 def simple(what: str, *ctes: str) -> str:
     return f"WITH {', '.join(ctes)} {what}"
 
@@ -424,5 +445,7 @@ QUERIES = {
         f"WITH t AS (SELECT conv_id, turn, list_filter(string_split({norm_sql('text', 1 << 30)}, ' '), lambda x: x <> '') AS t FROM conversations WHERE role = 'user'), w AS (SELECT conv_id, turn, flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, greatest(len(t) - n + 2, 1)), lambda i: array_to_string(t[i : i + n - 1], ' ')))) AS w FROM t) SELECT conv_id, turn, CAST(len(w) AS BIGINT) AS n_windows, list_min(w) AS least, list_max(w) AS most FROM w",
     ),
     "normalized_text": (normalized_text, None),
-    "stream_query_daily": (stream, None),
+    "stream_query_daily": (stream, f"WITH {QD} SELECT * FROM query_daily"),
+    "stream_usage_alerts": (usage_alerts, "SELECT o_custkey AS account, strftime(o_orderdate, '%Y') AS period, percent FROM orders, (SELECT unnest([80, 100]) AS percent) GROUP BY ALL HAVING count(*) >= ceil(4 * percent / 100e0)"),
+    "stream_client_reports": (report_stream, "SELECT event_type AS event, round(sum(2e0 * (user_id % 5)), 6) AS n FROM events WHERE event_id % 7 <> 0 GROUP BY 1 UNION ALL SELECT 'refused', CAST(count(*) AS DOUBLE) FROM events WHERE event_id % 7 = 0"),
 }

@@ -204,6 +204,27 @@ def test_glyph_functions(spark):
     assert [r.x for r in named] == ["Flags", "new"]
 
 
+def test_stream_batches_replace_themselves(spark, tmp_path):
+    """Files out of order and a batch run twice give the counts of all events once; alerts come once a threshold."""
+    from lexiloom.streaming import counters
+
+    out = f"file://{tmp_path}"
+    rows = [(1, "2024-01", 3), (1, "2024-01", 2), (2, "2024-01", 9), (1, "2024-02", 4), (1, "2024-01", 5)]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "a int, p string, n int").coalesce(1).write.mode("append").parquet(f"{out}/in")
+    stream = counters.event_stream(spark, f"{out}/in", "*.parquet", spark.read.parquet(f"{out}/in").schema, 1)
+    counters.meter(stream, F.col("a"), F.col("p"), F.col("n"), 10, out, f"{out}/check")
+    usage = spark.read.parquet(f"{out}/usage")
+    again = usage.filter("batch = 1").drop("batch").collect()
+    counters.put(spark.createDataFrame(again, usage.drop("batch").schema), 1, f"{out}/usage")
+    totals = {(r.account, r.period): r["count"] for r in counters.current(spark, f"{out}/usage", ["account", "period"], ("count",)).collect()}
+    assert totals == {(1, "2024-01"): 10, (2, "2024-01"): 9, (1, "2024-02"): 4}
+    alerts = spark.read.parquet(f"{out}/alerts").collect()
+    assert sorted((r.account, r.period, r.percent) for r in alerts) == [(1, "2024-01", 80), (1, "2024-01", 100), (2, "2024-01", 80)] and len({r.id for r in alerts}) == 3
+    counters.compacted(spark, f"{out}/usage", f"{out}/compact", ["account", "period"], ("count",))
+    assert {(r.account, r.period): r["count"] for r in spark.read.parquet(f"{out}/compact").collect()} == totals
+
+
 def test_fusion_values(spark):
     a = spark.createDataFrame([(1, 7, 1, 0.9), (1, 8, 2, 0.5)], "query_id long, id long, place long, score double")
     b = spark.createDataFrame([(1, 7, 1, 0.8)], "query_id long, id long, place long, score double")
