@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,20 +47,27 @@ def midpoint_percentile(df: DataFrame, value: str, by: str) -> DataFrame:
 
 
 def moderated(phrases: DataFrame, text: str, block: list[str], demote: list[str], allowed: list[str]) -> DataFrame:
-    """phrases with verdict: block or demote by the words left when the allowed phrases are taken out, else ok."""
-    low = F.concat(F.lit(" "), F.lower(F.col(text)), F.lit(" "))
+    """phrases with verdict: block or demote by the listed words and phrases that stand in the text, as whole words, once the allowed phrases are taken out; else ok."""
+    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text)), r"\s+", " "), F.lit(" "))
     for phrase in allowed:
-        low = F.replace(low, F.lit(f" {phrase} "), F.lit("  "))
-    words = F.split(low, r"\s+")
-    hit = lambda listed: F.arrays_overlap(words, F.array(*map(F.lit, listed)))
+        padded = F.replace(padded, F.lit(f" {phrase} "), F.lit("  "))
+    words = F.split(padded, " ")
+
+    def hit(listed: list[str]) -> Column:
+        single, several = [p for p in listed if " " not in p], [p for p in listed if " " in p]
+        tests = [F.arrays_overlap(words, F.array(*map(F.lit, single)))] if single else []
+        return reduce(lambda x, y: x | y, tests + [F.contains(padded, F.lit(f" {p} ")) for p in several], F.lit(False))
+
     return phrases.withColumn("verdict", F.when(hit(block), "block").when(hit(demote), "demote").otherwise("ok"))
 
 
 def curated(phrases: DataFrame, edits: DataFrame) -> DataFrame:
-    """phrases (locale, item, phrase) with the action of the edit that fits: the locale's own before that of all locales."""
-    own = edits.select("locale", "item", "phrase", F.col("action").alias("own"))
-    every = edits.filter("locale = '*'").select("item", "phrase", F.col("action").alias("every"))
-    return phrases.join(own, ["locale", "item", "phrase"], "left").join(every, ["item", "phrase"], "left").withColumn("action", F.coalesce("own", "every", F.lit("keep"))).drop("own", "every")
+    """phrases (locale, item, phrase) with the action of the first edit (by `pos`) of their locale or of `*` that fits, else `keep`."""
+    keys = ["item", "phrase"]
+    own = edits.select("locale", *keys, F.struct("pos", "action").alias("e")).groupBy("locale", *keys).agg(F.min("e").alias("own"))
+    every = own.filter("locale = '*'").select(*keys, F.col("own").alias("every"))
+    both = phrases.join(own, ["locale", *keys], "left").join(every, keys, "left")
+    return both.withColumn("action", F.coalesce(F.least("own", "every")["action"], F.lit("keep"))).drop("own", "every")
 
 
 def longest_prefix(asked: DataFrame, keys: DataFrame) -> DataFrame:
@@ -160,3 +168,32 @@ def mapped(results: DataFrame, other: DataFrame) -> DataFrame:
 def merged_reports(parts: DataFrame) -> DataFrame:
     """reason, n: the counts of batches' reports (batch, counts: map of reason to number)."""
     return parts.select(F.explode("counts").alias("reason", "n")).groupBy("reason").agg(F.sum("n").alias("n"))
+
+
+def shortcodes(asked: DataFrame, phrases: DataFrame) -> DataFrame:
+    """query_id, item: the item whose name or shortcode is a query's code (query_id, q), a shortcode before a name."""
+    hits = asked.join(phrases.filter("field_ix < 2").select(F.col("phrase").alias("q"), "item", "field_ix"), "q")
+    return hits.groupBy("query_id").agg(F.min_by("item", F.struct(-F.col("field_ix"), "item")).alias("item"))
+
+
+def picks_among(picks: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The picks (query_id, item) that were candidates, each once."""
+    return picks.join(candidates, ["query_id", "item"], "left_semi").distinct()
+
+
+def sheet_ratings(rows: DataFrame) -> DataFrame:
+    """key, rating of a sheet's rows (row, code, rating as text): code points without variation selectors; three decimals; the last row of a key counts."""
+    key = F.regexp_replace(F.regexp_replace(F.upper(F.regexp_replace("code", r"(?i)U\+", "")), r"\s+", "-"), "-FE0F", "")
+    good = rows.withColumn("key", key).withColumn("value", F.try_to_number("rating", F.lit("999D999999"))).filter("value is not null and key <> ''")
+    return good.groupBy("key").agg(F.round(F.max_by(F.col("value").cast("double"), "row"), 3).alias("rating"))
+
+
+def zones_of(entries: DataFrame, zones: DataFrame) -> DataFrame:
+    """zone, region: the time zones of the regions that entries name."""
+    named = entries.select(F.explode(F.concat("regions", "except_regions")).alias("region")).distinct()
+    return zones.join(named, "region", "left_semi").select("zone", "region")
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report, a small table, as one CSV file with a head."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

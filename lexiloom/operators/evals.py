@@ -93,6 +93,19 @@ def with_totals(judged: DataFrame, by: str) -> DataFrame:
     return own.unionByName(every).withColumn("macro", F.lit(False)).unionByName(mean.withColumn("macro", F.lit(True)))
 
 
+def four_modes(alias: DataFrame, semantic: DataFrame, fused: DataFrame, gate: DataFrame) -> DataFrame:
+    """mode, query_id, id, place: the lists of the alias, semantic and fused modes, and `gated`: fused where the gate (query_id, semantic) asks for it, else alias."""
+    named = lambda df, mode: df.select(F.lit(mode).alias("mode"), "query_id", "id", "place")
+    asked = gate.filter("semantic").select("query_id")
+    gated = named(fused.join(asked, "query_id", "left_semi"), "gated").unionByName(named(alias.join(asked, "query_id", "left_anti"), "gated"))
+    return reduce(DataFrame.unionByName, [named(alias, "alias"), named(semantic, "semantic"), named(fused, "fused"), gated])
+
+
+def gate_share(gate: DataFrame) -> DataFrame:
+    """queries and the share that asks for the semantic tier."""
+    return gate.agg(F.count("*").alias("queries"), F.round(F.avg(F.col("semantic").cast("double")), 6).alias("share"))
+
+
 def fidelity(shown: DataFrame, model: DataFrame, k: int = 10) -> DataFrame:
     """queries and share: how much of what is shown among the first k (query_id, id, place) stands in the model's own first k."""
     a, b = (df.filter(F.col("place") <= k).select("query_id", "id") for df in (shown, model))

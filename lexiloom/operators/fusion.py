@@ -158,8 +158,8 @@ def interleaved(first: DataFrame, second: DataFrame) -> DataFrame:
 def shelf(entries: DataFrame, limit: int = 8) -> DataFrame:
     """id, entry, place: each entry's first item, then each entry's second, and so on; an item once. entries: entry_ix, entry, pos, id."""
     first = entries.groupBy("id").agg(F.min(F.struct("pos", "entry_ix", "entry")).alias("r"))
-    order = Window.partitionBy(F.lit(0)).orderBy("r.pos", "r.entry_ix")
-    top = first.orderBy("r.pos", "r.entry_ix").limit(limit)  # the window then numbers a shelf only
+    order = Window.partitionBy(F.lit(0)).orderBy("r.pos", "r.entry_ix", "id")
+    top = first.orderBy("r.pos", "r.entry_ix", "id").limit(limit)  # the window then numbers a shelf only
     return top.select("id", "r.entry", rank(order).alias("place"))
 
 

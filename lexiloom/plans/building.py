@@ -132,6 +132,28 @@ def labels_map(s, d):
     return K.labels_by_locale(rows).select("item", F.concat_ws(",", F.map_values("labels")).alias("labels"))
 
 
+def named(s, d):
+    phrases = table(s, d, "part").select(F.col("p_name").alias("phrase"), F.col("p_partkey").alias("item"), (F.col("p_size") % 3).alias("field_ix"))
+    asked = table(s, d, "part").select(F.col("p_size").alias("query_id"), F.col("p_name").alias("q")).groupBy("query_id").agg(F.min("q").alias("q"))
+    return C.shortcodes(asked, phrases)
+
+
+def shown_picks(s, d):
+    pair = lambda df, a, b: df.select(F.col(a).alias("query_id"), F.col(b).alias("item"))
+    return C.picks_among(pair(table(s, d, "lineitem").filter("l_returnflag = 'R'"), "l_orderkey", "l_suppkey"), pair(table(s, d, "lineitem").filter("l_quantity > 25"), "l_orderkey", "l_suppkey"))
+
+
+def sheet(s, d):
+    k = F.col("p_partkey")
+    rows = table(s, d, "part").select(k.alias("row"), F.format_string("u+%x%s", k % 300 + 0x1F300, F.when(k % 2 == 0, " fe0f").otherwise("")).alias("code"), F.when(k % 9 == 0, "n/a").otherwise(F.format_string("%d.%d", F.col("p_size"), k % 1000)).alias("rating"))
+    return C.sheet_ratings(rows)
+
+
+def zones(s, d):
+    entries = table(s, d, "nation").select(F.array(F.col("n_regionkey").cast("string")).alias("regions"), F.array(F.when(F.col("n_nationkey") == 3, "4").otherwise("0")).alias("except_regions")).filter("regions[0] < '3'")
+    return C.zones_of(entries, table(s, d, "region").select(F.concat(F.lit("Zone/"), "r_name").alias("zone"), F.col("r_regionkey").cast("string").alias("region")))
+
+
 def log(s, d):
     return search_log.load(s, d)
 
@@ -281,6 +303,10 @@ QUERIES = {
     "catalog_mapping": (mapped, "SELECT p_size AS query_id, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS place, p_name AS entry FROM part WHERE p_size > 20"),
     "import_reports": (import_reports, "SELECT p_type AS reason, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1"),
     "labels_by_locale": (labels_map, "SELECT item, string_agg(label, ',' ORDER BY locale) AS labels FROM (SELECT p_brand AS item, 'l' || p_size % 3 AS locale, first(p_name ORDER BY p_partkey DESC) AS label FROM part GROUP BY 1, 2) GROUP BY 1"),
+    "shortcode_lookup": (named, "WITH q AS (SELECT p_size AS query_id, min(p_name) AS q FROM part GROUP BY 1) SELECT query_id, first(p_partkey ORDER BY p_size % 3 DESC, p_partkey) AS item FROM q JOIN part ON p_name = q WHERE p_size % 3 < 2 GROUP BY 1"),
+    "picks_among_candidates": (shown_picks, "SELECT l_orderkey AS query_id, l_suppkey AS item FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity > 25"),
+    "sheet_ratings": (sheet, "SELECT printf('%X', 127744 + p_partkey % 300) AS key, first(round(CAST(p_size || '.' || p_partkey % 1000 AS DOUBLE), 3) ORDER BY p_partkey DESC) AS rating FROM part WHERE p_partkey % 9 <> 0 GROUP BY 1"),
+    "entry_zones": (zones, "SELECT 'Zone/' || r_name AS zone, CAST(r_regionkey AS VARCHAR) AS region FROM region WHERE r_regionkey < 3 OR (r_regionkey = 4 AND (SELECT n_regionkey FROM nation WHERE n_nationkey = 3) < 3)"),
     "shard_candidates": (shard_candidates, FINE + " SELECT locale, query AS q, CAST(sum(searches) AS BIGINT) AS n FROM query_daily WHERE day BETWEEN '2024-01-05' AND '2024-01-25' AND query <> 'click 3' GROUP BY 1, 2 HAVING count(DISTINCT app_id // 10) >= 3 AND sum(searches) >= 10"),
     "query_log_merge": (merged_log, FINE + " SELECT query AS q, CAST(sum(searches) AS DOUBLE) AS n, array_to_string(list_sort(list(DISTINCT locale)), ',') AS locales FROM query_daily WHERE query <> 'click 3' GROUP BY 1 HAVING sum(searches) >= 5"),
     "bootstrap_queries": (made_up, "WITH u AS (SELECT p_name AS q, CAST(1 + floor(100 / (min(p_partkey) + 1)) AS BIGINT) AS n FROM part GROUP BY 1 UNION ALL SELECT DISTINCT m || ' ' || split_part(p_name, ' ', 2), 1 FROM part, (SELECT unnest(['happy', 'sad']) AS m) UNION ALL SELECT DISTINCT lower(p_brand), 1000000000 FROM part) SELECT q, max(n) AS n FROM u GROUP BY 1"),

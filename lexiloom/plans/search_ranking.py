@@ -191,6 +191,26 @@ def fused_sql(k: int, floor: float, scale: float, limit: int = 10) -> str:
 
 
 
+def in_turn(s, d):
+    return R.interleaved(*two(s, d))
+
+
+def answered(s, d):
+    a, b = two(s, d)
+    return R.first_answer(a.filter("query_id % 100 = 0"), b).select("query_id", "id", "place")
+
+
+def now_shelf(s, d):
+    rows = table(s, d, "part").select(F.col("p_size").alias("entry_ix"), F.col("p_brand").alias("entry"), F.floor(F.col("p_partkey") / 100).alias("pos"), (F.col("p_partkey") % 37).alias("id"))
+    return R.shelf(rows, 12)
+
+
+def modes(s, d):
+    a, b = two(s, d)
+    gate = a.filter("place = 1").select("query_id", (F.col("score") < 0.62).alias("semantic"))
+    return E.four_modes(a, b, R.fuse(a, b, trusted(s, d)), gate)
+
+
 def demote(s, d):
     return R.demoted(top_list(s, d).join(labels(s, d), "id"), F.col("label") % 2 == 1).select("query_id", "id", "place")
 
@@ -265,7 +285,7 @@ PRIVACY = f"""WITH d AS (SELECT text, list_filter(regexp_split_to_array(lower(te
  SELECT CASE WHEN regexp_matches(text, '{T.EMAIL}') THEN 'email' WHEN regexp_matches(text, '{T.ADDRESS}') OR regexp_matches(text, '{T.DOMAIN}') THEN 'url' WHEN list_has_any(w, {sql_list(T.MAIL_PROVIDERS)}) THEN 'email'
  WHEN list_has_any(w, {sql_list(T.URL_TOKENS)}) OR list_has_any(w[2:], {sql_list(T.TLDS)}) THEN 'url' WHEN length(regexp_replace(text, '\\P{{Nd}}', '', 'g')) > 6 THEN 'phone' WHEN regexp_matches(text, '\\p{{Nd}}{{5,}}') THEN 'number'
  WHEN len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}') AND length(regexp_replace(x, '\\P{{Nd}}', '', 'g')) >= 3)) > 0 THEN 'code' WHEN len(list_filter(w, lambda x: length(x) > 30)) > 0 THEN 'long-token' ELSE 'ok' END AS reason, CAST(count(*) AS BIGINT) AS n FROM d GROUP BY 1"""
-BLOCK, DEMOTE, ALLOWED = ["idiot", "scum", "moron"], ["trash", "clown"], ["clown fish"]
+BLOCK, DEMOTE, ALLOWED = ["idiot", "scum", "moron", "you idiot"], ["trash", "clown", "of the"], ["clown fish"]
 
 
 def moderation(s, d):
@@ -274,7 +294,8 @@ def moderation(s, d):
 
 def curation_edits(s, d):
     phrases = table(s, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, "en").otherwise("fr").alias("locale"), F.col("p_partkey").alias("item"), F.col("p_name").alias("phrase"))
-    edits = table(s, d, "part").filter("p_partkey % 5 = 0").select(F.when(F.col("p_partkey") % 3 == 0, "*").otherwise("en").alias("locale"), F.col("p_partkey").alias("item"), F.col("p_name").alias("phrase"), F.when(F.col("p_size") > 25, "remove").otherwise("low").alias("action"))
+    edits = table(s, d, "part").filter("p_partkey % 5 = 0").select(F.when(F.col("p_partkey") % 3 == 0, "*").otherwise("en").alias("locale"), F.col("p_partkey").alias("item"), F.col("p_name").alias("phrase"), F.when(F.col("p_size") > 25, "remove").otherwise("low").alias("action"), F.col("p_size").alias("pos"))
+    edits = edits.unionByName(edits.filter("pos < 10").select(F.lit("*").alias("locale"), "item", "phrase", F.lit("remove").alias("action"), (F.col("pos") - 5).alias("pos")))
     return C.curated(phrases, edits).groupBy("locale", "action").agg(F.count("*").alias("n"))
 
 
@@ -406,6 +427,14 @@ QUERIES = {
         simple(fused_sql(8, 0.46, 2.0), LISTS, "u AS (SELECT *, 'proposed' AS source, 0 AS list_ix, 1e0 * 9 / (8 + place) AS part FROM a WHERE place <= 2 UNION ALL SELECT *, 'keyword', 1, 0.5e0 * 9 / (8 + place) * score FROM a WHERE score >= 0.5e0 UNION ALL SELECT *, 'caption', 2, 0.5e0 * 9 / (8 + place) FROM b)", "ex AS (SELECT query_id, id FROM a WHERE false)"),
     ),
     "learned_rerank": (rerank, simple(RERANKED, *RERANK_CTES)),
+    "interleaved_lists": (in_turn, simple("SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY was, l) AS place FROM (SELECT query_id, id, place AS was, 0 AS l FROM a UNION ALL SELECT query_id, id, place, 1 FROM b)", LISTS)),
+    "first_answer": (answered, simple("SELECT query_id, id, place FROM a WHERE query_id % 100 = 0 UNION ALL SELECT query_id, id, place FROM b WHERE query_id % 100 <> 0", LISTS)),
+    "relevant_now_shelf": (now_shelf, "WITH r AS (SELECT p_partkey % 37 AS id, p_partkey // 100 AS pos, p_size AS ix, p_brand AS entry FROM part), o AS (SELECT id, pos, ix, entry FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos, ix, entry) = 1) SELECT id, entry, row_number() OVER (ORDER BY pos, ix, id) AS place FROM o QUALIFY place <= 12"),
+    "four_modes": (
+        modes,
+        simple("SELECT 'alias' AS mode, query_id, id, place FROM a UNION ALL SELECT 'semantic', query_id, id, place FROM b UNION ALL SELECT 'fused', query_id, id, place FROM fu UNION ALL SELECT 'gated', query_id, id, place FROM fu WHERE query_id IN (SELECT query_id FROM g) UNION ALL SELECT 'gated', query_id, id, place FROM a WHERE query_id NOT IN (SELECT query_id FROM g)", *RERANK_CTES, "fu AS (" + RERANKED + ")", "g AS (SELECT query_id FROM a WHERE place = 1 AND score < 0.62e0)"),
+    ),
+    "gate_share": (lambda s, d: E.gate_share(top_list(s, d).filter("place = 1").select("query_id", (F.col("score") < 0.62).alias("semantic"))), simple("SELECT CAST(count(*) AS BIGINT) AS queries, round(avg(CASE WHEN score < 0.62e0 THEN 1e0 ELSE 0e0 END), 6) AS share FROM a WHERE place = 1", LISTS)),
     "demote_partition": (demote, simple("SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY label % 2 = 1, place) AS place FROM l JOIN embeddings e ON e.vec_id = l.id", dots_sql(), list_sql("l", "dots"))),
     "custom_first": (custom, simple("SELECT query_id, id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, was, id) AS place FROM (SELECT query_id, id, place AS was, 0 AS tier FROM a WHERE place <= 2 UNION ALL SELECT query_id, id, place, 1 FROM b) QUALIFY place <= 10", LISTS)),
     "editorial_insert": (
@@ -429,12 +458,12 @@ QUERIES = {
     "overlay_merge": (overlays, "WITH l AS (SELECT p_brand, list_sort(list_distinct(list(p_type))) AS b, coalesce(list_sort(list_distinct(list(p_type) FILTER (WHERE p_size > 45))), []) AS o FROM part GROUP BY 1) SELECT p_brand, array_to_string(list_concat(o, list_filter(b, lambda x: NOT list_contains(o, x))), ',') AS merged FROM l"),
     "curation_edits": (
         curation_edits,
-        "WITH p AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'en' ELSE 'fr' END AS locale, p_partkey, p_size FROM part) SELECT locale, CASE WHEN p_partkey % 5 = 0 AND (p_partkey % 3 = 0 OR locale = 'en') THEN CASE WHEN p_size > 25 THEN 'remove' ELSE 'low' END ELSE 'keep' END AS action, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY 1, 2",
+        "WITH p AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'en' ELSE 'fr' END AS locale, p_partkey, p_size FROM part) SELECT locale, CASE WHEN p_partkey % 5 = 0 AND p_size < 10 THEN 'remove' WHEN p_partkey % 5 = 0 AND (p_partkey % 3 = 0 OR locale = 'en') THEN CASE WHEN p_size > 25 THEN 'remove' ELSE 'low' END ELSE 'keep' END AS action, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY 1, 2",
     ),
     "privacy_reason_counts": (privacy, PRIVACY),
     "moderation_verdicts": (
         moderation,
-        f"WITH d AS (SELECT lang, regexp_split_to_array(replace(' ' || lower(text) || ' ', ' {ALLOWED[0]} ', '  '), '\\s+') AS w FROM documents) SELECT lang, CASE WHEN list_has_any(w, {sql_list(BLOCK)}) THEN 'block' WHEN list_has_any(w, {sql_list(DEMOTE)}) THEN 'demote' ELSE 'ok' END AS verdict, CAST(count(*) AS BIGINT) AS n FROM d GROUP BY 1, 2",
+        f"WITH d AS (SELECT lang, replace(' ' || regexp_replace(lower(text), '\\s+', ' ', 'g') || ' ', ' {ALLOWED[0]} ', '  ') AS t FROM documents), h AS (SELECT lang, t IS NOT NULL AND ({' OR '.join(f"contains(t, ' {w} ')" for w in BLOCK)}) AS b, t IS NOT NULL AND ({' OR '.join(f"contains(t, ' {w} ')" for w in DEMOTE)}) AS m FROM d) SELECT lang, CASE WHEN b THEN 'block' WHEN m THEN 'demote' ELSE 'ok' END AS verdict, CAST(count(*) AS BIGINT) AS n FROM h GROUP BY 1, 2",
     ),
     "longest_prefix_lookup": (prefix_lookup, None),
     "adaptive_prefix_split": (prefix_split, None),
