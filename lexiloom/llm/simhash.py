@@ -212,9 +212,11 @@ def candidate_pairs(distinct: DataFrame) -> DataFrame:
 
     distinct: node, fp, bands, one row a node.
     A member of a bucket meets the bucket's first and the few before itself, so
-    a large group costs no more than its size.
+    a large group costs no more than its size. Members stand in an order of their
+    own in each band, so that a pair that is parted in one bucket may meet in another.
     """
-    dealt = distinct.select(F.explode("bands").alias("band"), "node", "fp").repartition("band").sortWithinPartitions("band", "node")
+    rows = distinct.select(F.explode("bands").alias("band"), "node", "fp")
+    dealt = rows.repartition("band").sortWithinPartitions("band", F.xxhash64("band", "node"), "node").select("band", "node", "fp")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come sorted: the last bucket's first and last members are carried to the next batch."""
