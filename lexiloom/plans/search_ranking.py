@@ -301,7 +301,7 @@ def curation_edits(s, d):
 
 def prefix_lookup(s, d):
     names = table(s, d, "part").select(F.col("p_name").alias("q")).distinct()
-    keys = names.select(F.when(F.crc32("q") % 2 == 0, F.left("q", F.lit(2))).otherwise(F.left("q", F.lit(6))).alias("shard_key"))
+    keys = names.select(F.when(F.length("q") % 2 == 0, F.left("q", F.lit(2))).otherwise(F.left("q", F.lit(6))).alias("shard_key"))
     return C.longest_prefix(names, keys)
 
 
@@ -377,7 +377,10 @@ QUERIES = {
     "exact_token_match": (lambda s, d: L.query_tokens(asked(s, d)).select("qtoken").distinct().join(vocab_of(s, d).select(F.col("token").alias("qtoken")), "qtoken"), simple("SELECT qtoken FROM cands WHERE whole = 1", INDEX, ASKED)),
     "prefix_candidates": (lambda s, d: L.prefix_candidates(L.query_tokens(asked(s, d)), vocab_of(s, d)).withColumn("quality", F.round("quality", 6)), simple("SELECT qtoken, token, round(quality, 6) AS quality FROM prefix WHERE token <> qtoken", INDEX, ASKED)),
     "squeeze_candidates": (lambda s, d: L.squeeze_candidates(L.query_tokens(asked(s, d)), vocab_of(s, d)), simple("SELECT qtoken, token, quality FROM squeeze", INDEX, ASKED)),
-    "fuzzy_candidates": (fuzzy, None),
+    "fuzzy_candidates": (
+        fuzzy,
+        simple("SELECT qtoken, token, CASE WHEN e = 2 THEN 0.65e0 WHEN length(qtoken) <= 5 THEN 0.7e0 ELSE 0.8e0 END AS quality, CAST(e AS INT) AS edits FROM (SELECT qtoken, token, damerau_levenshtein(qtoken, token) AS e FROM wr JOIN vocab ON qtoken[1] = token[1] OR (qtoken[1] = token[2] AND qtoken[2] = token[1])) WHERE e BETWEEN 1 AND CASE WHEN length(qtoken) < 4 THEN 0 WHEN length(qtoken) < 8 THEN 1 ELSE 2 END", INDEX, ASKED, "wr AS (SELECT DISTINCT qtoken[1] || qtoken[3] || qtoken[2] || qtoken[4:] AS qtoken FROM asked)"),
+    ),
     "vector_topk": (top_list, simple("SELECT * FROM l", dots_sql(), list_sql("l", "dots"))),
     "truncated_topk": (lambda s, d: top_list(s, d, 5, 16), simple("SELECT * FROM l", dots_sql(dims=16), list_sql("l", "dots", 5))),
     "vector_best_per_label": (lambda s, d: label_dots(s, d).withColumn("dot", F.round("dot", 6)), simple("SELECT query_id, label, round(max(dot), 6) AS dot FROM dots GROUP BY ALL", dots_sql())),
@@ -465,8 +468,11 @@ QUERIES = {
         moderation,
         f"WITH d AS (SELECT lang, replace(' ' || regexp_replace(lower(text), '\\s+', ' ', 'g') || ' ', ' {ALLOWED[0]} ', '  ') AS t FROM documents), h AS (SELECT lang, t IS NOT NULL AND ({' OR '.join(f"contains(t, ' {w} ')" for w in BLOCK)}) AS b, t IS NOT NULL AND ({' OR '.join(f"contains(t, ' {w} ')" for w in DEMOTE)}) AS m FROM d) SELECT lang, CASE WHEN b THEN 'block' WHEN m THEN 'demote' ELSE 'ok' END AS verdict, CAST(count(*) AS BIGINT) AS n FROM h GROUP BY 1, 2",
     ),
-    "longest_prefix_lookup": (prefix_lookup, None),
-    "adaptive_prefix_split": (prefix_split, None),
+    "longest_prefix_lookup": (prefix_lookup, "WITH n AS (SELECT DISTINCT p_name AS q FROM part), k AS (SELECT DISTINCT CASE WHEN length(q) % 2 = 0 THEN left(q, 2) ELSE left(q, 6) END AS k FROM n) SELECT q, (SELECT first(k ORDER BY length(k) DESC) FROM k WHERE starts_with(q, k)) AS shard_key FROM n"),
+    "adaptive_prefix_split": (
+        prefix_split,
+        "WITH z AS (SELECT p_name || ' ' || p_partkey AS q, strlen(p_name || ' ' || p_partkey) AS bytes FROM part), h AS (SELECT q, bytes, left(q, CAST(i AS INT)) AS k FROM (SELECT q, bytes, unnest(range(1, length(q) + 1)) AS i FROM z)), f AS (SELECT k FROM h GROUP BY 1 HAVING sum(bytes) <= 4000), o AS (SELECT q, first(k ORDER BY length(k)) AS k FROM h JOIN f USING (k) GROUP BY 1) SELECT coalesce(k, q) AS shard_key, CAST(count(*) AS BIGINT) AS entries, CAST(sum(bytes) AS BIGINT) AS bytes FROM z LEFT JOIN o USING (q) GROUP BY 1",
+    ),
     "intent_cues": (cues, f"SELECT phrase, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT conv_id, turn, text, ' ' || {norm_sql('text', 1 << 30)} || ' ' AS t FROM conversations WHERE role = 'user') c, (SELECT unnest({sql_list(CUES)}) AS phrase) p WHERE contains(t, ' ' || phrase || ' ') GROUP BY 1"),
     "clause_split": (clauses, "WITH c AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.,;:!?\\n]+'), lambda x: trim(x)), lambda x: len(regexp_split_to_array(x, ' +')) >= 2) AS p FROM conversations WHERE role = 'user') SELECT conv_id, turn, CAST(len(p) AS BIGINT) AS n_clauses, coalesce(p[1], '') AS first_clause FROM c"),
     "text_windows": (
