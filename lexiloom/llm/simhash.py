@@ -12,6 +12,13 @@ their sets of five-word shingles have a Jaccard similarity of 0.8 or more. The
 fingerprints of such texts differ by up to some 20 bits, too many for tiles, so
 candidates are dealt by bands of MinHash values, passed on if their fingerprints
 lie within a wide radius, and each pair is confirmed by its exact similarity.
+Members of a bucket first meet its first and a few others, which is enough to
+join copies. In buckets that then still hold members of several components, all
+pairs of different components are compared in tiles by numpy, and those that the
+bounds allow are confirmed too: no link is lost to the size of a bucket, and no
+group of copies is turned into its pairs. The bounds lose nothing: sets of a
+similarity of 0.8 differ in a ninth of their summed sizes at most, and so do
+their sizes and the parity bits of their shingles' hashes.
 
 Defined results: a null text counts as empty; a text of one or two words has
 one shingle, a text without words the fingerprint zero, linked like any other;
@@ -43,8 +50,10 @@ FINGERPRINTS_A_SPLIT = 4_000_000
 BLOCK = 2048
 #: The rule of keep_one: words of a shingle, the least similarity of near copies, and the bits by which their fingerprints may differ.
 STAGE_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 24
-#: Bands of MinHash values and values a band (a pair at the least similarity shares a band with probability 0.9996), and the members before it that a member of a bucket meets besides the first.
-BANDS, VALUES, NEIGHBOURS = 20, 5, 4
+#: Bands of MinHash values and values a band (a pair at the least similarity shares a band with probability 0.9996), the members before it that a member of a bucket meets at first, besides the first, members of a bucket that one task holds, and the members by members that it compares at a time.
+BANDS, VALUES, NEIGHBOURS, MEMBERS_A_SPLIT, MEMBERS_AT_ONCE = 20, 5, 4, 16_384, 1024
+#: Bits of the parities of a set's hashes.
+PARITIES = 256
 #: A column of keep_one's own.
 DIGEST = "digest of the text in keep_one"
 _RANDOM = np.random.default_rng(SEED).integers(0, 2**64, (3, BANDS * VALUES), np.uint64) | np.uint64(1)
@@ -194,17 +203,25 @@ def _bands(own: np.ndarray) -> np.ndarray:
     return (low * _RANDOM[2]).reshape(BANDS, VALUES).sum(axis=1, dtype=np.uint64)
 
 
+def _parities(own: np.ndarray) -> bytes:
+    """A bit for each class of hashes: whether the set holds an odd number of them. Two sets' bits differ at most as often as the sets do."""
+    counts = np.bincount((own * _RANDOM[2, 0] >> np.uint64(32)).astype(np.int64) % PARITIES, minlength=PARITIES)
+    return np.packbits(counts & 1).tobytes()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of the set of shingles), fp (the set's SimHash) and bands of each row of docs (doc_id, text)."""
+    """doc_id, node (a hash of the set of shingles), fp (the set's SimHash), bands, size and parities of each row of docs (doc_id, text)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
         nodes, prints = (np.fromiter(map(f, sets), np.uint64, len(sets)).view(np.int64) for f in (_node, _majority))
         bands = [_bands(own) for own in sets]
         ends = pa.array(np.cumsum([0, *map(len, bands)]), pa.int32())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(prints), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands).view(np.int64)))], ["doc_id", "node", "fp", "bands"])
+        banded = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands).view(np.int64)))
+        sizes, parities = pa.array([len(own) for own in sets], pa.int64()), pa.array(map(_parities, sets), pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(prints), banded, sizes, parities], ["doc_id", "node", "fp", "bands", "size", "parities"])
 
-    return map_batches(docs, "doc_id long, node long, fp long, bands array<long>", work)
+    return map_batches(docs, "doc_id long, node long, fp long, bands array<long>, size long, parities binary", work)
 
 
 def candidate_pairs(distinct: DataFrame) -> DataFrame:
@@ -237,15 +254,70 @@ def candidate_pairs(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long")
 
 
+def remaining_pairs(distinct: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes of different components (labels: node, component) that share a band, lie within the wide radius and the bounds, and may have been passed over by candidate_pairs() for the size of their bucket.
+
+    A bucket with many members is dealt to tasks by pairs of its splits.
+    """
+    banded = distinct.select("node", F.explode("bands").alias("band"))
+    large = written(banded.groupBy("band").count().filter(F.col("count") > NEIGHBOURS + 2).select("band"), "large")
+    members = join_unique(banded, large, "band", hot=hot_keys(banded, "band")).join(labels, "node", "left")
+    members = written(members.select("band", "node", F.coalesce("component", "node").alias("component")), "members")
+    mixed = members.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    mixed = written(mixed.select("band", (1 + F.floor(F.col("n") / MEMBERS_A_SPLIT)).cast("int").alias("splits")), "mixed")
+    rows = join_unique(members, mixed, "band").join(distinct.select("node", "fp", "size", "parities"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("splits")).cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    tile = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))
+    placed = met.select(tile.alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("visit"), "node", "fp", "component", "size", "parities", (F.col("own") == F.col("other")).alias("within"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches come sorted: a tile's first split is kept, then the other passes by; a split alone meets itself."""
+        key, kept = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile, visit, node, fp, component, size, within = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 5, 7))
+            parities = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+            cuts = np.flatnonzero((np.diff(tile) != 0) | (np.diff(visit) != 0)) + 1
+            for i, j in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if (now := int(tile[i])) != key:
+                    key, kept = now, []
+                some = [column[i:j] for column in (node, fp, component, size, parities)]
+                if not visit[i]:
+                    kept.append(some)
+                if visit[i] or within[i]:
+                    for own in kept:
+                        yield from _apart(own, some)
+
+    return placed.repartition("tile").sortWithinPartitions("tile", "visit").mapInArrow(compare, "a long, b long")
+
+
+def _apart(own: list[np.ndarray], other: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs of two sets of rows (node, fp, component, size, parities) of different components that lie within the wide radius and can be similar enough by their sizes and parities."""
+    for i in range(0, len(own[0]), MEMBERS_AT_ONCE):
+        for j in range(0, len(other[0]), MEMBERS_AT_ONCE):
+            (node, fp, component, size, parities), (node2, fp2, component2, size2, parities2) = ([c[at : at + MEMBERS_AT_ONCE] for c in side] for side, at in ((own, i), (other, j)))
+            near = (component[:, None] != component2) & (np.bitwise_count((fp[:, None] ^ fp2).view(np.uint64)) <= WIDE)
+            x, y = np.nonzero(near & _possible(np.abs(size[:, None] - size2), size[:, None] + size2))
+            keep = _possible(np.bitwise_count(parities[x] ^ parities2[y]).sum(axis=1, dtype=np.int64), size[x] + size2[y])
+            a, b = node[x[keep]], node2[y[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _possible(differing: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether sets of a summed size that differ in at least so many members can be similar enough."""
+    return differing * (1 + SIMILARITY) <= total * (1 - SIMILARITY) + 1e-6
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """The Jaccard similarity of two sets of hashes, each sorted and distinct."""
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common / (len(a) + len(b) - common)
 
 
-def similar_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The candidate pairs of distinct (node, rep, fp, bands) whose exact similarity is high enough. Only texts of candidates are read again."""
-    pairs = written(candidate_pairs(distinct).distinct(), "pairs")
+def confirmed(docs: DataFrame, distinct: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The pairs a, b of distinct (node, rep, fp, bands) whose exact similarity is high enough. Only texts of candidates are read again."""
+    pairs = written(candidates.distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = docs.join(distinct.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
@@ -260,7 +332,18 @@ def similar_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
     sets = written(map_batches(chosen.select("doc_id", "text"), "node long, hashes binary", collect).dropDuplicates(["node"]), "sets")
     both = join_unique(pairs, sets.toDF("a", "own"), "a").join(sets.toDF("b", "other"), "b").select("a", "b", "own", "other")
-    return map_batches(both, "a long, b long", confirm)
+    return written(map_batches(both, "a long, b long", confirm), "links")
+
+
+def similar_components(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """node and component of every node with a link. Links that candidate_pairs() passed over then join whole components."""
+    first = components(confirmed(docs, distinct, candidate_pairs(distinct)))
+    more = confirmed(docs, distinct, remaining_pairs(distinct, first))
+    for side in ("a", "b"):
+        more = more.join(first.toDF(side, f"of {side}"), side, "left").withColumn(side, F.coalesce(f"of {side}", side)).drop(f"of {side}")
+    joined = components(more.filter("a != b"))
+    of = first.unionByName(joined.select("node", F.col("node").alias("component"))).dropDuplicates(["node"])
+    return of.join(joined.toDF("component", "least"), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,9 +353,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     id, each of them stays. Rows with a null id all stay and link no others.
     """
     docs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    alike = sketches(docs).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    alike = sketches(docs).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), *[F.first(c).alias(c) for c in ("bands", "size", "parities")])
     distinct = written(alike, "distinct")
-    grouped = distinct.select("node", "rep").join(components(similar_links(docs, distinct)), "node", "left")
+    grouped = distinct.select("node", "rep").join(similar_components(docs, distinct), "node", "left")
     first = grouped.groupBy(F.coalesce("component", "node")).agg(F.min("rep").alias(id_col)).select(id_col).distinct()
     kept = df.filter(F.col(id_col).isNotNull()).join(first, id_col, "left_semi")
     kept = kept.select(*df.columns, F.sha2(F.coalesce(text_col, F.lit("")), 256).alias(DIGEST)).dropDuplicates([id_col, DIGEST]).drop(DIGEST)

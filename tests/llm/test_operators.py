@@ -256,6 +256,46 @@ def test_keep_one_collapses_a_large_group(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_keep_one_loses_no_link_of_a_large_bucket(spark, monkeypatch):
+    """Variants of one text that share buckets but are near copies of a few others only, against brute force, with buckets over several splits."""
+    monkeypatch.setattr(simhash, "MEMBERS_A_SPLIT", 40)
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{x}" for x in range(200)], []
+    for i in range(300):
+        changed = list(base)
+        for at in rng.choice(200, 3, replace=False):
+            changed[at] = f"odd{i}x{at}"
+        rows.append((i, " ".join(changed)))
+    sets = [simhash.shingle_set(text) for _, text in rows]
+    root = list(range(len(rows)))
+
+    def top(i: int) -> int:
+        return i if root[i] == i else top(root[i])
+
+    for b in range(len(rows)):
+        for a in range(b):
+            if simhash.similarity(sets[a], sets[b]) >= 0.8:
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    expected = sorted({top(i) for i in range(len(rows))})
+    assert 5 < len(expected) < 290
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == expected
+
+
+def test_bounds_of_similar_sets_lose_nothing():
+    """Whatever is similar enough passes the bounds of sizes and parities."""
+    rng = np.random.default_rng(3)
+    passed = 0
+    for _ in range(400):
+        own = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 400))).astype(np.uint64))
+        other = np.unique(np.concatenate([own[rng.random(len(own)) > rng.random() * 0.3], rng.integers(0, 2**63, int(rng.integers(0, 30))).astype(np.uint64)]))
+        if len(other) and simhash.similarity(own, other) >= simhash.SIMILARITY:
+            bits = [np.frombuffer(simhash._parities(x), np.uint64) for x in (own, other)]
+            total = np.array(len(own) + len(other))
+            assert simhash._possible(np.bitwise_count(bits[0] ^ bits[1]).sum(dtype=np.int64), total) and simhash._possible(np.array(abs(len(own) - len(other))), total)
+            passed += 1
+    assert passed > 50
+
+
 # 5 WARC
 def test_warc_round_trip(spark, tmp_path):
     rows = [(i, f"http://a/{i}", "payload " * 20 + str(i % 4)) for i in range(40)]
