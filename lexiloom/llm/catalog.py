@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import collision_ann, kdtree_shards, language_id, licences, media, packing, sentencepiece_sampling, simhash, toxicity, warc
+from lexiloom.llm import byte_bpe, collision_ann, fill_middle, kdtree_shards, language_id, licences, media, packing, sentencepiece_sampling, simhash, spelling_variants, toxicity, warc
 from lexiloom.sources.tables import read_table
 
-SAMPLING_MODEL, PACKING_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
+SAMPLING_MODEL, PACKING_TOKENIZER, BYTE_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +62,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.round_trip(read_table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = (op1_sentencepiece_sampling, op2_png_media, op3_kdtree_shards, op4_simhash_near_dedup, op5_warc_writer, op6_language_mixture, op7_collision_counting_ann, op8_toxicity, op9_pattern_packing, op10_license_scan)
+    found = (op1_sentencepiece_sampling, op2_png_media, op3_kdtree_shards, op4_simhash_near_dedup, op5_warc_writer, op6_language_mixture, op7_collision_counting_ann, op8_toxicity, op9_pattern_packing, op10_license_scan, op11_fill_in_middle, op12_byte_bpe, op13_spelling_variants)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_fill_in_middle": fill_middle.SQL}
