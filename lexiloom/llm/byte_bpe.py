@@ -19,25 +19,27 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import map_batches
 
-#: Most bytes of words that are merged together; the pairs of longer ones stand in a heap.
+#: Powers of two: most bytes of words that are merged together; the pairs of longer ones stand in a heap.
 WIDTHS = (8, 16, 32, 64, 128)
 #: Words whose ids a worker keeps, and as many older ones.
 CACHE = 150_000
-#: Bytes of text that are encoded at a time, and of ids that are decoded.
-SLICE = 2_000_000
+#: Bytes of text that are encoded at a time, and ids that are decoded.
+SLICE, SLICE_IDS = 2_000_000, 500_000
 #: Above every rank.
 NEVER = np.iinfo(np.int32).max
 #: Fixed value: the pattern that cuts text into words.
@@ -73,11 +75,6 @@ class Merges:
         self.pairs = np.array(sorted(self.ranks), np.int64)
         self.pair_ranks = np.array([self.ranks[p] for p in self.pairs.tolist()], np.int32)
         added = {t["content"]: t["id"] for t in rules["added_tokens"]}
-        self.spelling: list[bytes | None] = [None] * (1 + max([*ids.values(), *added.values()]))
-        for token, i in ids.items():
-            self.spelling[i] = bytes(map(byte_of.__getitem__, token))
-        for token, i in added.items():
-            self.spelling[i] = token.encode()
         self.words = regex.compile(PATTERN)
         self.marks = regex.compile("(" + ("|".join(map(regex.escape, sorted(added, key=len, reverse=True))) or "(?!)") + ")")
         self.added = {token: (i,) for token, i in added.items()}
@@ -107,11 +104,10 @@ class Merges:
                 self.known[word] = found
                 continue
             raw = word.encode()
-            width = next((w for w in WIDTHS if len(raw) <= w), 0)
-            if width:
-                rows[width].append((word, raw))
-            else:
+            if len(raw) > WIDTHS[-1]:
                 self.known[word] = tuple(self.heaped(raw))
+            else:
+                rows[max(WIDTHS[0], 1 << (len(raw) - 1).bit_length())].append((word, raw))
         for width, new in rows.items():
             if new:
                 parts = self.scanned([raw for _, raw in new], width)
@@ -181,16 +177,26 @@ class Merges:
             at = after[at]
         return found
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The ids' bytes as text; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join([self.spelling[i] for i in ids]).decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=2)
 def merges_of(path: str) -> Merges:
     return Merges(path)
 
 
+@lru_cache(maxsize=2)
+def spelling(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    rules, byte_of = json.loads(Path(path).read_text(encoding="utf-8")), byte_letters()
+    found = {i: bytes(map(byte_of.__getitem__, token)) for token, i in rules["model"]["vocab"].items()}
+    found |= {t["id"]: t["content"].encode() for t in rules["added_tokens"]}
+    return [found[i] for i in range(len(found))]
+
+
+def decoded(ids: Iterable[int], parts: list[bytes]) -> str:
+    """The ids' bytes as text; bytes that are no UTF-8 become U+FFFD."""
+    return b"".join([parts[i] for i in ids]).decode("utf-8", "replace")
+
+
 def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids of each text."""
 
@@ -205,18 +211,33 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 def decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, ids and the text they stand for; null ids count as none."""
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        merges = merges_of(tokenizer_path)
-        texts = [merges.decode(ids or ()) for ids in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = spelling(tokenizer_path)
+        for batch in batches:
+            upto = np.cumsum(pc.list_value_length(batch.column(1)).fill_null(0).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_IDS, side="right")))
+                some = batch.slice(at, end - at)
+                texts = [decoded(ids or (), parts) for ids in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                at = end
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
-    return map_batches(rows, "doc_id long, ids array<int>, text string", work, SLICE)
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """n_tokens and digests of each text's ids and of the text decoded from them."""
-    return decode(encode(df, tokenizer_path, id_col, text_col), tokenizer_path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),
-    )
+    """n_tokens and digests of each text's ids and of the text decoded from them; encodes and decodes in one worker."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = spelling(tokenizer_path)
+        n, digests, texts = [], [], []
+        for ids in merges_of(tokenizer_path).encode(batch.column(1).fill_null("").to_pylist()):
+            n.append(len(ids))
+            digests.append(sha256(",".join(map(str, ids)).encode()).hexdigest())
+            texts.append(sha256(decoded(ids, parts).encode()).hexdigest())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return map_batches(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", work, SLICE)

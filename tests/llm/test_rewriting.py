@@ -95,10 +95,11 @@ def test_ids_equal_the_library(library):
     texts += [f"a{chr(c)}b 1{chr(c)}2 !{chr(c)} {chr(c)}  x" for c in range(0, 0x11000, 7) if not 0xD800 <= c < 0xE000]
     ids = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert merges.encode(texts) == ids
-    assert [merges.decode(i) for i in ids] == texts
+    parts = byte_bpe.spelling(public_tokenizers.path(catalog.BYTE_TOKENIZER))
+    assert [byte_bpe.decoded(i, parts) for i in ids] == texts
     for _ in range(3000):  # ids that spell no UTF-8
-        odd = [rng.randrange(len(merges.spelling)) for _ in range(rng.randrange(9))]
-        assert merges.decode(odd) == library.decode(odd, skip_special_tokens=False)
+        odd = [rng.randrange(len(parts)) for _ in range(rng.randrange(9))]
+        assert byte_bpe.decoded(odd, parts) == library.decode(odd, skip_special_tokens=False)
 
 
 def test_rows_and_heap_merge_alike():
@@ -108,6 +109,13 @@ def test_rows_and_heap_merge_alike():
     assert [[x for x in row if x >= 0] for row in merges.scanned(words, 64).tolist()] == [merges.heaped(w) for w in words]
 
 
+def test_ids_are_decoded_in_slices(spark, awkward, monkeypatch):
+    path = public_tokenizers.path(catalog.BYTE_TOKENIZER)
+    encoded = byte_bpe.encode(awkward, path).coalesce(1)
+    monkeypatch.setattr(byte_bpe, "SLICE_IDS", 3)
+    assert Counter(r.text for r in byte_bpe.decode(encoded, path).collect()) == Counter(t or "" for _, t in AWKWARD)
+
+
 def test_known_words_are_bounded(library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "CACHE", 50)
     merges = byte_bpe.Merges(public_tokenizers.path(catalog.BYTE_TOKENIZER))
@@ -133,7 +141,9 @@ def test_round_trip_of_texts(spark, library, awkward, empty):
             decoded = library.decode(ids, skip_special_tokens=False)
             want[(i, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), decoded)))] += 1
         assert Counter(map(tuple, got.collect())) == want
-    assert byte_bpe.round_trip(empty, path).count() == 0
+    assert byte_bpe.round_trip(empty, path).count() == 0 and byte_bpe.encode(empty, path).count() == 0
+    back = byte_bpe.decode(byte_bpe.encode(awkward, path), path).collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.text) for r in back) == Counter((i, tuple(library.encode(t or "", add_special_tokens=False).ids), t or "") for i, t in AWKWARD)
     assert byte_bpe.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), path).filter("text = ''").count() == 2
 
 
