@@ -1,7 +1,8 @@
 """Phrase index and lexical search: a batch of queries is one plan of equi-joins.
 
 A prefix is matched by joining on the exploded prefixes of the vocabulary, a
-misspelling by blocks of first letter and length, so no join compares all pairs.
+misspelling by the strings that both words become when letters are deleted, so
+no join compares all pairs and a word meets its neighbours only.
 The vocabulary grows far slower than the phrases; no side is broadcast by hint.
 """
 
@@ -64,19 +65,39 @@ def squeeze_candidates(asked: DataFrame, vocab: DataFrame) -> DataFrame:
     return short.join(vocab.select("token"), "token").select("qtoken", "token", F.lit(SQUEEZE).alias("quality"))
 
 
-def fuzzy_candidates(asked: DataFrame, vocab: DataFrame) -> DataFrame:
+def deletions(word: Column, k: Column) -> Column:
+    """The strings that a word becomes when up to k (0 to 2) of its letters are deleted, itself included."""
+    cut = lambda w, i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1))
+    places = lambda w, first: F.when(F.length(w) >= first, F.sequence(first, F.length(w))).otherwise(F.array().cast("array<int>"))
+    one = F.transform(places(word, F.lit(1)), lambda i: cut(word, i))
+    # the second letter to go stands at or after the place of the first
+    two = F.flatten(F.transform(places(word, F.lit(1)), lambda i: F.transform(places(cut(word, i), i), lambda j: cut(cut(word, i), j))))
+    none = F.array(word)
+    return F.array_distinct(F.when(k == 0, none).when(k == 1, F.concat(none, one)).otherwise(F.concat(none, one, two)))
+
+
+def misspelling_keys(vocab: DataFrame) -> DataFrame:
+    """token, key: hashes of a word's deletions, as many letters as a token that may mean it is allowed edits."""
+    longest = F.when(F.length("token") < 3, 0).when(F.length("token") < 6, 1).otherwise(2)  # a token has an edit more than its length allows at most
+    return vocab.select("token", F.explode(F.transform(deletions(F.col("token"), longest), lambda x: F.xxhash64(x))).alias("key"))
+
+
+def misspelling_pairs(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """qtoken, token, k: pairs that share a deletion; all pairs within a token's k edits are among them."""
+    wanted = asked.select("qtoken").distinct().withColumn("k", max_edits(F.col("qtoken"))).filter("k > 0")
+    mine = wanted.select("qtoken", "k", F.explode(F.transform(deletions(F.col("qtoken"), F.col("k")), lambda x: F.xxhash64(x))).alias("key"))
+    near = mine.join(keys, "key").filter(F.abs(F.length("qtoken") - F.length("token")) <= F.col("k"))
+    return near.select("qtoken", "token", "k").distinct()
+
+
+def fuzzy_candidates(asked: DataFrame, vocab: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """qtoken, token, quality, edits of the words within a token's edits that begin alike, or with their first two letters swapped.
 
-    Words meet by first letter and length; edits are counted once a pair.
+    Words meet by their deletions (misspelling_keys(), which an index may have stored); edits are counted once a pair.
     """
-    k = max_edits(F.col("qtoken"))
-    words = vocab.select("token", F.left("token", F.lit(1)).alias("head"), F.length("token").alias("size"))
-    wanted = asked.select("qtoken").distinct().withColumn("k", k).filter("k > 0")
-    first, second = (lambda c, n: F.substring(c, n, 1)), F.substring("qtoken", 2, 1)
-    heads = F.explode(F.array_distinct(F.array(first("qtoken", 1), second))).alias("head")
-    blocks = wanted.select("qtoken", "k", heads).select("*", F.explode(F.sequence(F.length("qtoken") - F.col("k"), F.length("qtoken") + F.col("k"))).alias("size"))
-    alike = (first("qtoken", 1) == first("token", 1)) | ((first("qtoken", 1) == first("token", 2)) & (second == first("token", 1)))
-    near = blocks.join(words, ["head", "size"]).filter(alike & (F.levenshtein("qtoken", "token") <= 2 * F.col("k"))).withColumn("edits", osa_distance("qtoken", "token"))
+    first = lambda c, n: F.substring(c, n, 1)
+    alike = (first("qtoken", 1) == first("token", 1)) | ((first("qtoken", 1) == first("token", 2)) & (first("qtoken", 2) == first("token", 1)))
+    near = misspelling_pairs(asked, misspelling_keys(vocab) if keys is None else keys).filter(alike).withColumn("edits", osa_distance("qtoken", "token"))
     quality = F.when(F.col("edits") == 2, TYPO_TWO).when(F.length("qtoken") <= SHORT_TYPO, TYPO_SHORT).otherwise(TYPO)
     return near.filter((F.col("edits") > 0) & (F.col("edits") <= F.col("k"))).select("qtoken", "token", quality.alias("quality"), "edits")
 

@@ -4,11 +4,15 @@ Each pack is a bit of a mask. A query prefers its own locale's packs, searches
 these and others, and scores every item by its best phrase: how rare and how
 well matched its words are, less for other locales, with three caps in order.
 
-Tables: an index is item, phrase, field_ix, weight, mask, n_tokens; queries are
-query_id, q, preferred, searched (masks) and locale. All joins are equi-joins on
-words; a very frequent word's postings are one hot key, which AQE splits. Tables
-that several branches read (postings, vocabulary, tokens, candidates, scored
-phrases) are written once.
+Tables: an index is item, phrase, field_ix, weight, mask, n_tokens, given as such
+or as stored by word_index; queries are query_id, q, preferred, searched (masks)
+and locale. A query is searched as typed (turn 0) and, where two of its words make
+one, with them joined (turn 1), both in one pass.
+
+Phrases are scored once for all items that share them. A phrase must be found by
+one of a query's heavy words: the light ones together couldn't cover enough of
+it, so their postings, the long ones, are never read. Items are then fetched for
+the best phrases only, down to a score under which none can be among the results.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.text import MAX_TOKENS, ascii_normalized, tokens
 from lexiloom.operators import lexical as L
 from lexiloom.operators.analytics import rank
+from lexiloom.operators.word_index import KIND, WordIndex, blocks, heads, in_blocks, prepared, vocabulary
 from lexiloom.sources.tables import kept
 
 #: Least margin under a cap, factors of other locales, weight of function words, fields, and thresholds of the verdicts.
@@ -53,14 +58,6 @@ def postings(index: DataFrame) -> DataFrame:
     return index.withColumn("token", F.explode(tokens(F.col("phrase"))))
 
 
-def vocabulary(posts: DataFrame) -> DataFrame:
-    """token, idf over items, and the mask of the packs that hold it."""
-    by_item = posts.groupBy("token", "item").agg(F.bit_or("mask").alias("mask"))
-    counts = by_item.groupBy("token").agg(F.count("*").alias("df"), F.bit_or("mask").alias("mask"))
-    items = posts.select("item").distinct().groupBy().agg(F.count("*").alias("items"))
-    return counts.join(F.broadcast(items)).select("token", "mask", F.log(1 + F.col("items") / F.col("df")).alias("idf"))
-
-
 def segmented(asked: DataFrame, vocab: DataFrame, function_words: DataFrame) -> DataFrame:
     """asked (query_id, locale, toks) with tokens of unspaced scripts that are no words split into words, longest first; other letters stay together.
 
@@ -95,81 +92,120 @@ def segments(run: str, words: frozenset[str]) -> list[str]:
     return [*out, lost] if lost else out
 
 
+QUERY = ["query_id", "turn"]
+
+
 def asked_tokens(queries: DataFrame, function_words: DataFrame, prefix: bool = True) -> DataFrame:
-    """A row a token: query_id, preferred, searched, n_query, pos, qtoken, function (it is a function word), only_exact and as_prefix.
+    """A row a token: query_id, turn, preferred, searched, n_query, pos, qtoken, function (it is a function word), only_exact and as_prefix.
 
-    queries: query_id, toks, open (the last word may be unfinished), locale, preferred, searched. function_words: locale, token.
+    queries: query_id, turn, toks, open (the last word may be unfinished), locale, preferred, searched. function_words: locale, token; a locale's list is short and broadcast.
     """
-    rows = queries.select("query_id", "locale", "preferred", "searched", "open", F.posexplode("toks").alias("pos", "qtoken"), F.size("toks").alias("n_query"))
+    rows = queries.select(*QUERY, "locale", "preferred", "searched", "open", F.posexplode("toks").alias("pos", "qtoken"), F.size("toks").alias("n_query"))
     marked = rows.join(F.broadcast(function_words.select("locale", F.col("token").alias("qtoken"), F.lit(True).alias("function")).distinct()), ["locale", "qtoken"], "left").withColumn("function", F.coalesce("function", F.lit(False)))
-    content = F.min(F.col("function").cast("int")).over(Window.partitionBy("query_id")) == 0
+    content = F.min(F.col("function").cast("int")).over(Window.partitionBy(*QUERY)) == 0
     return marked.withColumn("only_exact", content & F.col("function")).withColumn("as_prefix", F.lit(prefix) & F.col("open") & (F.col("pos") == F.col("n_query") - 1)).drop("open")
 
 
 KEY = ["qtoken", "preferred", "searched", "only_exact", "as_prefix"]
 
 
-def candidates(asked: DataFrame, vocab: DataFrame) -> DataFrame:
+def candidates(asked: DataFrame, vocab: DataFrame, begun: DataFrame | None = None, misspelt: DataFrame | None = None) -> DataFrame:
     """KEY, token, quality, partial (a completion into another locale's word) and kind, the order of the rules.
 
     Exact words; completions of the last word; and, for a token that has neither, a repeated last letter or a misspelling.
+    begun and misspelt are the vocabulary's beginnings and deletions, if an index has stored them.
     """
     keys = asked.select(*KEY).distinct()
     inside, own = F.col("mask").bitwiseAND(F.col("searched")) != 0, F.col("mask").bitwiseAND(F.col("preferred")) != 0
     pick = lambda rows, quality, partial, kind: rows.select(*KEY, "token", quality.alias("quality"), partial.alias("partial"), F.lit(kind).alias("kind"))
-    exact = kept(keys.join(vocab.select(F.col("token").alias("qtoken"), "mask"), "qtoken").filter(inside).withColumn("token", F.col("qtoken")), "exact")
-    known = exact.select(*KEY, F.lit(True).alias("known"))
-
-    begun = keys.filter("as_prefix and not only_exact").join(known, KEY, "left")
-    heads = vocab.select("token", "mask", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda n: F.left(F.col("token"), n))).alias("qtoken"))
-    near = heads.join(begun.select("qtoken").distinct(), "qtoken").withColumn("place", rank(Window.partitionBy("qtoken").orderBy("token"))).filter(F.col("place") <= L.MAX_PREFIX_WORDS).filter("token <> qtoken")
-    longer = kept(begun.join(near, "qtoken").filter(inside), "completions")
+    words = vocab.select("token", "mask")
+    exact = keys.join(words.withColumnRenamed("token", "qtoken"), "qtoken").filter(inside).withColumn("token", F.col("qtoken"))
+    known = keys.filter("as_prefix and not only_exact").join(exact.select(*KEY, F.lit(True).alias("known")), KEY, "left")
+    longer = known.join(heads(vocab) if begun is None else begun, "qtoken").filter(inside & (F.col("token") != F.col("qtoken")))
     quality = (L.PREFIX_BASE + L.PREFIX_SHARE * F.length("qtoken") / F.length("token")) * F.when(F.col("known"), L.PREFIX_OF_WORD).otherwise(1.0) * F.when(own, 1.0).otherwise(FOREIGN_PREFIX)
+    met = kept(pick(exact, F.lit(1.0), F.lit(False), 0).unionByName(pick(longer, quality, ~own, 1)), "met")
 
-    found = known.select(*KEY).unionByName(longer.select(*KEY)).distinct()
-    lost = kept(keys.filter("not only_exact").join(found, KEY, "left_anti"), "lost")
-    short = lost.withColumn("token", F.regexp_replace("qtoken", r"(.)\1+$", "$1")).filter("token <> qtoken").join(vocab.select("token", "mask"), "token").filter(inside)
-    typos = lost.join(L.fuzzy_candidates(lost, vocab), "qtoken").join(vocab.select("token", "mask"), "token").filter(inside)
+    lost = keys.filter("not only_exact").join(met.select(*KEY).distinct(), KEY, "left_anti")
+    short = lost.withColumn("token", F.regexp_replace("qtoken", r"(.)\1+$", "$1")).filter("token <> qtoken").join(words, "token").filter(inside)
     brief = F.length("qtoken") <= L.SHORT_TYPO
+    typos = lost.join(L.fuzzy_candidates(lost, vocab, misspelt), "qtoken").join(words, "token").filter(inside)
     typos = typos.filter(~(brief & (F.startswith(F.col("qtoken"), F.col("token")) | ~own)))
-    every = [pick(exact, F.lit(1.0), F.lit(False), 0), pick(longer, quality, ~own, 1), pick(short, F.lit(L.SQUEEZE), F.lit(False), 2), pick(typos, F.col("quality"), F.lit(False), 3)]
-    one = reduce(DataFrame.unionByName, every).groupBy(*KEY, "token").agg(F.max("quality").alias("quality"), F.max("partial").alias("partial"), F.min("kind").alias("kind"))
-    return one
+    every = [met, pick(short, F.lit(L.SQUEEZE), F.lit(False), 2), pick(typos, F.col("quality"), F.lit(False), 3)]
+    return reduce(DataFrame.unionByName, every).groupBy(*KEY, "token").agg(F.max("quality").alias("quality"), F.max("partial").alias("partial"), F.min("kind").alias("kind"))
 
 
-def scored(asked: DataFrame, posts: DataFrame, vocab: DataFrame, least: float = L.MIN_COVERAGE) -> DataFrame:
-    """A row for each query and phrase that is good enough: its score, whether it is the whole query (exact), completes another locale's word (part) and how much of the query its whole words cover."""
-    cands = kept(candidates(asked, vocab), "candidates")
+def scored(asked: DataFrame, words: WordIndex, least: float = L.MIN_COVERAGE) -> DataFrame:
+    """A row for each query and kind of phrase that is good enough: its items, its score s, whether it is the whole query (exact), completes another locale's word (part) and how much of the query its whole words cover."""
+    vocab = words.vocabulary
+    cands = kept(candidates(asked, vocab, words.heads, words.misspellings), "candidates")
     top = F.broadcast(vocab.agg(F.max("idf").alias("top_idf")))
     ranked = cands.join(vocab.select("token", "idf"), "token").groupBy(*KEY).agg(F.min_by("idf", F.struct(-F.col("quality"), "kind", F.when(F.col("kind") == 3, F.length("token")).otherwise(0), "token")).alias("idf"))
     weight = F.coalesce("idf", "top_idf")
     weighed = asked.join(ranked, KEY, "left").join(top).withColumn("w", F.when(F.col("function"), F.least(weight, F.lit(FUNCTION_WEIGHT))).otherwise(weight))
-    totals = weighed.groupBy("query_id").agg(F.sum("w").alias("total"), F.max((F.col("idf").isNull() & ~F.col("function")).cast("int")).alias("unknown"))
-    hits = weighed.select("query_id", "pos", "n_query", "w", *KEY).join(cands, KEY).join(posts, "token").filter(F.col("mask").bitwiseAND(F.col("searched")) != 0)
-    by = ["query_id", "item", "phrase", "field_ix", "weight", "mask", "n_tokens", "n_query", "preferred"]
+    query = Window.partitionBy(*QUERY)
+    lighter = query.orderBy("w", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    unknown = F.max((F.col("idf").isNull() & ~F.col("function")).cast("int")).over(query)
+    weighed = weighed.withColumn("total", F.sum("w").over(query)).withColumn("unknown", unknown)
+    weighed = weighed.withColumn("heavy", F.sum("w").over(lighter) >= F.col("total") * (least - 1e-9))
+    of_query = ["preferred", "searched", "n_query", "total", "unknown"]
+    meant = kept(weighed.select(*QUERY, "n_query", "total", "unknown", "pos", "w", "heavy", *KEY).join(cands, KEY).select(*QUERY, *of_query, "pos", "w", "heavy", "token", "quality", "partial"), "meant")
+
+    wanted = meant.filter("heavy").select(*QUERY, "searched", "token").distinct().join(vocab.select("token", "blocks"), "token")
+    found = in_blocks(wanted, F.col("blocks")).join(words.postings, ["token", "block"]).filter(F.col("mask").bitwiseAND(F.col("searched")) != 0).select(*QUERY, *KIND, "n_tokens", "items").distinct()
+    by = [*QUERY, *KIND, "n_tokens", "items", "preferred", "n_query", "total", "unknown"]
+    hits = found.withColumn("token", F.explode(F.array_distinct(tokens(F.col("phrase"))))).join(meant, [*QUERY, "token"])
     token = hits.groupBy(*by, "pos", "w").agg(F.max("quality").alias("q"), F.max((~F.col("partial")).cast("int")).alias("whole"))
     sums = token.groupBy(*by).agg(F.sum(F.col("q") * F.col("w")).alias("got"), F.sum(F.col("whole") * F.col("w")).alias("got_whole"), F.count("*").alias("matched"), F.count_if(F.col("q") == 1).alias("exact_tokens"), F.min("whole").alias("all_whole"))
-    rows = sums.join(totals, "query_id").withColumn("coverage", F.col("got") / F.col("total")).filter(F.col("coverage") >= least)
+    rows = sums.withColumn("coverage", F.col("got") / F.col("total")).filter(F.col("coverage") >= least)
     rows = rows.filter(~((F.col("unknown") == 1) & (F.col("matched") == 1) & (F.col("exact_tokens") == 0)))
     exact = (F.col("exact_tokens") == F.col("n_query")) & (F.col("n_tokens") == F.col("n_query"))
     own = F.col("mask").bitwiseAND(F.col("preferred")) != 0
     score = F.col("weight") * F.col("coverage") * (L.LENGTH_BASE + L.LENGTH_SHARE * F.least(F.lit(1.0), F.col("matched") / F.col("n_tokens")))
     score = score * F.when(exact, F.when(F.col("n_query") >= 2, L.EXACT_MANY).otherwise(1.0)).otherwise(L.INEXACT) * F.when(own, 1.0).otherwise(FOREIGN)
-    return rows.select("query_id", "item", "phrase", "field_ix", F.round(score, 9).alias("s"), exact.alias("exact"), own.alias("own"), (F.col("all_whole") == 0).alias("part"), (F.col("got_whole") / F.col("total")).alias("covers"))
+    return rows.select(*QUERY, *KIND, "items", F.round(score, 9).alias("s"), exact.alias("exact"), own.alias("own"), (F.col("all_whole") == 0).alias("part"), (F.col("got_whole") / F.col("total")).alias("covers"))
+
 
+#: Times the results that are asked for: items whose best phrases set the score under which no other is fetched.
+DEPTH = 4
+#: How far below the last of so many items' scores another one's best phrase can lie and its final score still be higher: the bonus, and the margin of the caps.
+REACH = L.MAX_BONUS + MARGIN
 
-def best_items(rows: DataFrame) -> DataFrame:
-    """A row for each query and item: its best phrase, with a bonus for further phrases of the preferred locale."""
+
+def reachable(rows: DataFrame, words: WordIndex, size: int) -> DataFrame:
+    """query_id, turn, item: items that can be among the first `size` of a query, or set a cap for them.
+
+    The best kinds of a query, whole levels of score, are expanded until DEPTH
+    times `size` items are met. If `size` of those are best known by a phrase of
+    the preferred locale that no cap but the first can lower, an item whose best
+    phrase lies REACH below the last of them stays behind them all.
+    """
+    raw = F.round(F.col("s") * 1e9).cast("long")
+    rows = rows.withColumn("raw", raw)
+    fetch = lambda some: in_blocks(some, blocks(F.col("items"))).join(words.members, [*KIND, "block"])
+    down = Window.partitionBy(*QUERY).orderBy(F.desc("raw"))
+    levels = rows.groupBy(*QUERY, "raw").agg(F.sum("items").alias("items")).withColumn("upto", F.sum("items").over(down) - F.col("items"))
+    head = rows.join(levels.filter(F.col("upto") < DEPTH * size).select(*QUERY, "raw"), [*QUERY, "raw"])
+    best = fetch(head).groupBy(*QUERY, "item").agg(F.min_by(F.struct("raw", (F.col("own") & ~F.col("part")).alias("pure")), F.struct(-F.col("raw"), "field_ix", "phrase")).alias("r"))
+    pure = best.filter("r.pure").groupBy(*QUERY, F.col("r.raw").alias("raw")).count().withColumn("upto", F.sum("count").over(down))
+    last = pure.filter(F.col("upto") >= size).groupBy(*QUERY).agg(F.max("raw").alias("last"))
+    sure = F.col("own") & F.col("exact") & (F.col("field_ix") < STRONG_FIELDS)
+    near = F.col("last").isNull() | sure | (F.col("raw") >= F.col("last") - int(REACH * 1e9) - 1)
+    return fetch(rows.join(last, QUERY, "left").filter(near)).select(*QUERY, "item").distinct()
+
+
+def best_items(rows: DataFrame, words: WordIndex, size: int) -> DataFrame:
+    """A row for each query and reachable item: its best phrase, with a bonus for further phrases of the preferred locale."""
+    rows = reachable(rows, words, size).join(words.items.select("item", *KIND), "item").join(rows, [*QUERY, *KIND])
     order = F.struct(-F.col("s"), "field_ix", "phrase")
     strong = F.col("own") & F.col("exact") & (F.col("field_ix") < STRONG_FIELDS)
-    best = rows.groupBy("query_id", "item").agg(F.min_by(F.struct("phrase", "field_ix", "s", "exact", "own", "part"), order).alias("r"), F.count_if("own").alias("n_own"), F.max(strong).alias("sure"), F.max("covers").alias("covers")).select("query_id", "item", "r.*", "n_own", "sure", "covers")
+    best = rows.groupBy(*QUERY, "item").agg(F.min_by(F.struct("phrase", "field_ix", "s", "exact", "own", "part"), order).alias("r"), F.count_if("own").alias("n_own"), F.max(strong).alias("sure")).select(*QUERY, "item", "r.*", "n_own", "sure")
     support = F.col("n_own") - F.col("own").cast("int")
     return best.withColumn("score", F.least(F.lit(1.0), F.col("s") + F.least(F.lit(L.MAX_BONUS), L.BONUS * support)))
 
 
 def capped(items: DataFrame) -> DataFrame:
     """The three caps, in order: parts of a query below its whole matches, other locales' exact names below own exact matches, other locales' completions below own matches."""
-    query = Window.partitionBy("query_id")
+    query = Window.partitionBy(*QUERY)
     raw = F.round(F.col("s") * 1e9).cast("long")
     above = query.orderBy(F.desc("raw")).rangeBetween(Window.unboundedPreceding, -1)  # strictly better phrases
     floor = F.min(F.when(F.col("exact") & F.col("own"), F.col("score"))).over(above)
@@ -183,10 +219,10 @@ def capped(items: DataFrame) -> DataFrame:
 
 
 def ranked(items: DataFrame, popularity: DataFrame, limit: int) -> DataFrame:
-    """query_id, place, item, score, phrase, field_ix: by score, then popularity (item, popularity), then item."""
+    """query_id, turn, place, item, score, phrase, field_ix: by score, then popularity (item, popularity), then item."""
     rows = items.join(popularity, "item", "left").withColumn("score", F.round("score", 9))
-    placed = rows.withColumn("place", rank(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("popularity"), "item")))
-    return placed.filter(F.col("place") <= limit).select("query_id", "place", "item", thousandths(F.col("score")).alias("score"), "phrase", "field_ix")
+    placed = rows.withColumn("place", rank(Window.partitionBy(*QUERY).orderBy(F.desc("score"), F.desc_nulls_last("popularity"), "item")))
+    return placed.filter(F.col("place") <= limit).select(*QUERY, "place", "item", thousandths(F.col("score")).alias("score"), "phrase", "field_ix")
 
 
 def joined_words(queries: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -198,32 +234,27 @@ def joined_words(queries: DataFrame, vocab: DataFrame) -> DataFrame:
     return queries.join(first, "query_id").withColumn("toks", toks).drop("r")
 
 
-def search(queries: DataFrame, index: DataFrame, popularity: DataFrame, function_words: DataFrame, limit: int | None = None, prefix: bool = True) -> tuple[DataFrame, DataFrame]:
+def search(queries: DataFrame, index: DataFrame | WordIndex, popularity: DataFrame, function_words: DataFrame, limit: int | None = None, prefix: bool = True) -> tuple[DataFrame, DataFrame]:
     """(results, coverage): query_id, place, item, score, phrase, field_ix; and query_id, confidence, coverage, n_query of every query with tokens.
 
     A query whose neighbouring words make one word is searched that way too, at a
-    factor; each item keeps its better score.
+    factor; each item keeps its better score. An index that isn't stored is
+    prepared for this search alone.
     """
     size = limited(limit)
-    posts = kept(postings(index), "postings")
-    vocab = kept(vocabulary(posts), "vocabulary")
+    words = index if isinstance(index, WordIndex) else prepared(index)
     toks = F.slice(tokens(ascii_or_given(F.col("q"))), 1, MAX_TOKENS)
     rows = queries.select("query_id", "locale", "preferred", "searched", toks.alias("toks"), (~F.col("q").rlike(r"\s$")).alias("open"))
-    rows = kept(segmented(kept(rows.filter(F.size("toks") > 0), "queries"), vocab, function_words), "segmented")
-
-    def typed(some: DataFrame) -> tuple[DataFrame, DataFrame]:
-        phrases = kept(scored(kept(asked_tokens(some, function_words, prefix), "asked"), posts, vocab), "phrases")
-        cover = phrases.groupBy("query_id").agg(F.max("covers").alias("covers"))
-        return ranked(capped(best_items(phrases)), popularity, size), cover
-
-    plain, cover = typed(rows)
-    again, cover_again = typed(kept(joined_words(rows, vocab), "joined"))
-    both = plain.withColumn("turn", F.lit(0)).unionByName(again.withColumn("turn", F.lit(1)).withColumn("score", thousandths(F.round(F.col("score") * L.REJOINED, 9))))
+    rows = kept(segmented(kept(rows.filter(F.size("toks") > 0), "queries"), words.vocabulary, function_words), "segmented")
+    both = rows.withColumn("turn", F.lit(0)).unionByName(joined_words(rows, words.vocabulary).withColumn("turn", F.lit(1)))
+    phrases = kept(scored(asked_tokens(both, function_words, prefix), words), "phrases")
+    covers = phrases.groupBy("query_id").agg(thousandths(F.max("covers")).alias("coverage"))
+    listed = ranked(capped(best_items(phrases, words, size)), popularity, size)
+    listed = listed.withColumn("score", F.when(F.col("turn") == 1, thousandths(F.round(F.col("score") * L.REJOINED, 9))).otherwise(F.col("score")))
     born = F.min(F.struct("turn", "place"))  # equal scores keep the order of the query as typed, then of the joined one
-    best = both.groupBy("query_id", "item").agg(F.min_by(F.struct("score", "phrase", "field_ix"), F.struct(-F.col("score"), "turn")).alias("r"), born.alias("born")).select("query_id", "item", "r.*", "born")
+    best = listed.groupBy("query_id", "item").agg(F.min_by(F.struct("score", "phrase", "field_ix"), F.struct(-F.col("score"), "turn")).alias("r"), born.alias("born")).select("query_id", "item", "r.*", "born")
     placed = best.withColumn("place", rank(Window.partitionBy("query_id").orderBy(F.desc("score"), "born"))).filter(F.col("place") <= size)
     results = kept(placed.select("query_id", "place", "item", "score", "phrase", "field_ix"), "results")
-    covers = cover.unionByName(cover_again).groupBy("query_id").agg(thousandths(F.max("covers")).alias("coverage"))
     tops = results.groupBy("query_id").agg(F.max("score").alias("confidence"))
     known = rows.select("query_id", F.size("toks").alias("n_query")).join(tops, "query_id", "left").join(covers, "query_id", "left")
     return results, known.fillna(0.0, ["confidence", "coverage"])

@@ -59,7 +59,7 @@ def found(s, d):
 
 
 def typo_candidates(s, d):
-    asked = S.asked_tokens(queries_of(s, d).select("*", F.slice(T.tokens(T.ascii_normalized(F.col("q"))), 1, 8).alias("toks"), (~F.col("q").rlike(r"\s$")).alias("open")), function_words(s))
+    asked = S.asked_tokens(queries_of(s, d).select("*", F.slice(T.tokens(T.ascii_normalized(F.col("q"))), 1, 8).alias("toks"), (~F.col("q").rlike(r"\s$")).alias("open"), F.lit(0).alias("turn")), function_words(s))
     return S.candidates(asked, S.vocabulary(S.postings(packs(s, d)))).select("qtoken", "preferred", "searched", "token", F.round("quality", 6).alias("quality"), "partial", "kind").distinct()
 
 
