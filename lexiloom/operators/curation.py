@@ -78,15 +78,44 @@ def longest_prefix(asked: DataFrame, keys: DataFrame) -> DataFrame:
     return asked.select("q").distinct().join(best, "q", "left")
 
 
-def split_prefixes(entries: DataFrame, budget: int) -> DataFrame:
-    """shard_key, entries, bytes: each q goes to its shortest prefix whose entries keep to the budget, or to itself.
+#: Letters that a key's file name holds as they are, the most letters of an encoded key, and what the name has besides.
+UNENCODED, MAX_ENCODED_KEY, NAME_REST = r"[^A-Za-z0-9_.!~*'()-]", 200, 12
+
+
+def encoded_length(key: Column) -> Column:
+    """Letters of a key in a file name, where all but a few letters take three for each byte."""
+    odd = F.regexp_replace(key, UNENCODED, "")
+    return 3 * F.octet_length(key) - 2 * F.octet_length(odd)
+
+
+def split_keys(entries: DataFrame, budget: int) -> DataFrame:
+    """q, shard_key: the key whose shard each entry goes to. entries: q (distinct, not empty), bytes.
 
-    entries: q (distinct), bytes. All prefixes are summed at once, with partial sums before the shuffle.
+    There is a key for each first letter. From a key whose entries are over the
+    budget, the fewest largest groups by next letter move out to keys of their
+    own, until the rest keeps to it; and so on with those. A key that can't get
+    longer (a single entry, or the limit of file names) stays over the budget.
+
+    A group that is over the budget always moves, so a key is over it only if all
+    its beginnings are: sums by prefix, taken at once, tell every split, and no
+    level waits for the one above. Siblings, one a letter, share a window.
     """
-    heads = entries.filter("q <> ''").select("q", "bytes", F.explode(F.transform(F.sequence(F.lit(1), F.length("q")), lambda n: F.left(F.col("q"), n))).alias("shard_key"))
-    fitting = heads.groupBy("shard_key").agg(F.sum("bytes").alias("held")).filter(F.col("held") <= budget).select("shard_key")
-    own = heads.join(fitting, "shard_key").groupBy("q").agg(F.min_by("shard_key", F.length("shard_key")).alias("shard_key"))
-    return entries.join(own, "q", "left").groupBy(F.coalesce("shard_key", "q").alias("shard_key")).agg(F.count("*").alias("entries"), F.sum("bytes").alias("bytes"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.length("q")), lambda n: F.left(F.col("q"), n))
+    longer = lambda k: F.left(k, F.length(k) - 1)
+    open_ = F.filter(prefixes, lambda k: (F.length(k) == 1) | (encoded_length(longer(k)) + NAME_REST <= MAX_ENCODED_KEY))
+    heads = entries.filter("q <> ''").select("q", "bytes", F.explode(open_).alias("shard_key"))
+    held = heads.groupBy("shard_key").agg(F.sum("bytes").alias("held"))
+    parents = held.filter(F.col("held") > budget).select(F.col("shard_key").alias("parent"), F.col("held").alias("whole"))
+    children = held.filter(F.length("shard_key") > 1).withColumn("parent", longer(F.col("shard_key"))).join(parents, "parent")
+    largest = Window.partitionBy("parent").orderBy(F.desc("held"), F.encode("shard_key", "UTF-16BE")).rowsBetween(Window.unboundedPreceding, -1)
+    moved = children.withColumn("gone", F.coalesce(F.sum("held").over(largest), F.lit(0))).filter(F.col("whole") - F.col("gone") > budget)
+    keys = held.filter(F.length("shard_key") == 1).select("shard_key").unionByName(moved.select("shard_key"))
+    return heads.select("q", "shard_key").join(keys, "shard_key").groupBy("q").agg(F.max_by("shard_key", F.length("shard_key")).alias("shard_key"))
+
+
+def split_prefixes(entries: DataFrame, budget: int) -> DataFrame:
+    """shard_key, entries, bytes: the shards that split_keys() deals the entries to."""
+    return entries.join(split_keys(entries, budget), "q").groupBy("shard_key").agg(F.count("*").alias("entries"), F.sum("bytes").alias("bytes"))
 
 
 #: The order of alias categories, how many may lead, and documents for embedding.

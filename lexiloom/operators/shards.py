@@ -79,15 +79,7 @@ def build(queries: DataFrame, sure: DataFrame, stored: DataFrame, resolve, budge
     reused, new = unresolved(queries, sure, stored)
     answers = reused.select("q", "answer").unionByName(compact(resolve(new)))
     sizes = answers.select("q", F.octet_length(F.to_json(F.struct("q", "answer"))).cast("long").alias("bytes"))
-    return prefix_of(sizes, budget).join(answers, "q")
-
-
-def prefix_of(entries: DataFrame, budget: int) -> DataFrame:
-    """q, shard_key: the shortest prefix of each query (q, bytes) whose queries keep to the budget, or the query itself."""
-    heads = entries.filter("q <> ''").select("q", "bytes", F.explode(F.transform(F.sequence(F.lit(1), F.length("q")), lambda n: F.left(F.col("q"), n))).alias("shard_key"))
-    fitting = heads.groupBy("shard_key").agg(F.sum("bytes").alias("held")).filter(F.col("held") <= budget).select("shard_key")
-    own = heads.join(fitting, "shard_key").groupBy("q").agg(F.min_by("shard_key", F.length("shard_key")).alias("shard_key"))
-    return entries.select("q").join(own, "q", "left").select("q", F.coalesce("shard_key", "q").alias("shard_key"))
+    return C.split_keys(sizes, budget).join(answers, "q")
 
 
 def looked_up(asked: DataFrame, *layers: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from lexiloom.operators import analytics as A
 from lexiloom.operators import curation as C
 from lexiloom.operators import shards as H
 from lexiloom.plans.search_analytics import QD
+from lexiloom.plans.search_ranking import split_sql
 from lexiloom.sources import catalogs as K
 from lexiloom.sources import search_log
 from lexiloom.sources.tables import read_table as table
@@ -280,11 +281,10 @@ def cost_sql() -> str:
     return f'SELECT "case", device, shard, round((1 - device) * 0.1e0 + (1 - device) * (1 - shard) * 0.3e0 + (1 - device) * (1 - shard) * (1 - cache) * 0.2e0 + reactions * 0.2e0 + images * 10e0, 6) AS cost FROM (VALUES {listed_}) t("case", device, shard, cache, reactions, images)'
 
 
-BUILD = """WITH n AS (SELECT p_name AS q, count(*) AS n FROM part GROUP BY 1), r AS (SELECT p_name AS q, p_partkey AS item, CAST(floor(p_size / 50e0 * 1000 + 0.5e0) AS BIGINT) AS s, row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_partkey) AS place FROM part),
- b AS (SELECT n.q, list({'item': item, 's': s} ORDER BY place) AS answer FROM n JOIN r ON r.q = n.q AND place <= CASE WHEN n % 2 = 0 THEN 2 ELSE 5 END WHERE length(n.q) >= 8 GROUP BY 1),
- z AS (SELECT q, length('{"q":"' || q || '","answer":[' || array_to_string(list_transform(answer, lambda x: '{"item":' || x.item || ',"s":' || x.s || '}'), ',') || ']}') AS bytes, answer FROM b),
- h AS (SELECT q, bytes, left(q, CAST(i AS INT)) AS shard_key FROM (SELECT q, bytes, unnest(range(1, length(q) + 1)) AS i FROM z)), f AS (SELECT shard_key FROM h GROUP BY 1 HAVING sum(bytes) <= 3000),
- built AS (SELECT coalesce((SELECT first(shard_key ORDER BY length(shard_key)) FROM h JOIN f USING (shard_key) WHERE h.q = z.q), q) AS shard_key, q, answer FROM z)"""
+BUILD = f"""WITH n AS (SELECT p_name AS q, count(*) AS n FROM part GROUP BY 1), r AS (SELECT p_name AS q, p_partkey AS item, CAST(floor(p_size / 50e0 * 1000 + 0.5e0) AS BIGINT) AS s, row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_partkey) AS place FROM part),
+ b AS (SELECT n.q, list({{'item': item, 's': s}} ORDER BY place) AS answer FROM n JOIN r ON r.q = n.q AND place <= CASE WHEN n % 2 = 0 THEN 2 ELSE 5 END WHERE length(n.q) >= 8 GROUP BY 1),
+ z AS (SELECT q, length('{{"q":"' || q || '","answer":[' || array_to_string(list_transform(answer, lambda x: '{{"item":' || x.item || ',"s":' || x.s || '}}'), ',') || ']}}') AS bytes, answer FROM b),
+ {split_sql(3000)}, built AS (SELECT shard_key, q, answer FROM z JOIN dealt USING (q))"""
 FINE = f"WITH {QD}"
 
 QUERIES = {

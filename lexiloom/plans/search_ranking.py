@@ -305,6 +305,13 @@ def prefix_lookup(s, d):
     return C.longest_prefix(names, keys)
 
 
+def split_sql(budget):
+    """dealt: q, shard_key of the entries z (q, bytes)."""
+    return f"""h AS (SELECT q, bytes, left(q, CAST(i AS INT)) AS k FROM (SELECT q, bytes, unnest(range(1, length(q) + 1)) AS i FROM z)), g AS (SELECT k, left(k, CAST(length(k) - 1 AS INT)) AS parent, sum(bytes) AS held FROM h GROUP BY 1),
+ keys AS (SELECT k FROM g WHERE parent = '' UNION ALL SELECT k FROM (SELECT c.k, p.held - (sum(c.held) OVER (PARTITION BY c.parent ORDER BY c.held DESC, c.k) - c.held) AS rest FROM g c JOIN g p ON p.k = c.parent WHERE p.held > {budget}) WHERE rest > {budget}),
+ dealt AS (SELECT q, first(k ORDER BY length(k) DESC) AS shard_key FROM h JOIN keys USING (k) GROUP BY 1)"""
+
+
 def prefix_split(s, d):
     q = F.concat_ws(" ", "p_name", "p_partkey")
     return C.split_prefixes(table(s, d, "part").select(q.alias("q"), F.octet_length(q).cast("long").alias("bytes")), 4000)
@@ -471,7 +478,7 @@ QUERIES = {
     "longest_prefix_lookup": (prefix_lookup, "WITH n AS (SELECT DISTINCT p_name AS q FROM part), k AS (SELECT DISTINCT CASE WHEN length(q) % 2 = 0 THEN left(q, 2) ELSE left(q, 6) END AS k FROM n) SELECT q, (SELECT first(k ORDER BY length(k) DESC) FROM k WHERE starts_with(q, k)) AS shard_key FROM n"),
     "adaptive_prefix_split": (
         prefix_split,
-        "WITH z AS (SELECT p_name || ' ' || p_partkey AS q, strlen(p_name || ' ' || p_partkey) AS bytes FROM part), h AS (SELECT q, bytes, left(q, CAST(i AS INT)) AS k FROM (SELECT q, bytes, unnest(range(1, length(q) + 1)) AS i FROM z)), f AS (SELECT k FROM h GROUP BY 1 HAVING sum(bytes) <= 4000), o AS (SELECT q, first(k ORDER BY length(k)) AS k FROM h JOIN f USING (k) GROUP BY 1) SELECT coalesce(k, q) AS shard_key, CAST(count(*) AS BIGINT) AS entries, CAST(sum(bytes) AS BIGINT) AS bytes FROM z LEFT JOIN o USING (q) GROUP BY 1",
+        f"WITH z AS (SELECT p_name || ' ' || p_partkey AS q, strlen(p_name || ' ' || p_partkey) AS bytes FROM part), {split_sql(4000)} SELECT shard_key, CAST(count(*) AS BIGINT) AS entries, CAST(sum(bytes) AS BIGINT) AS bytes FROM z JOIN dealt USING (q) GROUP BY 1",
     ),
     "intent_cues": (cues, f"SELECT phrase, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT conv_id, turn, text, ' ' || {norm_sql('text', 1 << 30)} || ' ' AS t FROM conversations WHERE role = 'user') c, (SELECT unnest({sql_list(CUES)}) AS phrase) p WHERE contains(t, ' ' || phrase || ' ') GROUP BY 1"),
     "clause_split": (clauses, "WITH c AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.,;:!?\\n]+'), lambda x: trim(x)), lambda x: len(regexp_split_to_array(x, ' +')) >= 2) AS p FROM conversations WHERE role = 'user') SELECT conv_id, turn, CAST(len(p) AS BIGINT) AS n_clauses, coalesce(p[1], '') AS first_clause FROM c"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from urllib.parse import quote
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,14 +252,37 @@ def test_threshold_crossed_once(spark):
     assert [(r.at, r.percent, r.total) for r in A.threshold_crossings(usage, "acc", "at", 100).collect()] == [("2024-02", 80, 85)]
 
 
-def test_prefix_split_keeps_budget(spark):
-    words = sorted({f"{a}{b}{i}" for a in "abc" for b in "xyz" for i in range(40)} | {"a"})
-    entries = spark.createDataFrame([(w, len(w)) for w in words], "q string, bytes long")
-    shards = C.split_prefixes(entries, 100).collect()
-    assert sum(r.entries for r in shards) == len(words) and all(r.bytes <= 100 or r.entries == 1 for r in shards)
-    keys = spark.createDataFrame([(r.shard_key,) for r in shards], "shard_key string")
-    found = C.longest_prefix(entries.select("q"), keys).collect()
-    assert all(r.shard_key and r.q.startswith(r.shard_key) for r in found)
+def split_plainly(entries, budget):
+    """Key by key from the first letters on: move the fewest largest groups out, then look at those."""
+    left, found = [(w[0], {q: n for q, n in entries.items() if q[0] == w[0]}) for w in {q[0]: q for q in entries}.values()], {}
+    while left:
+        key, held = left.pop()
+        groups = {}
+        for q, n in held.items():
+            if q != key:
+                groups.setdefault(q[: len(key) + 1], {})[q] = n
+        full = len(quote(key, safe="!~*'()")) + 12 > 200
+        for child in sorted(groups, key=lambda k: (-sum(groups[k].values()), k.encode("utf-16-be"))):
+            if sum(held.values()) <= budget or full:
+                break
+            left.append((child, groups[child]))
+            held = {q: n for q, n in held.items() if q not in groups[child]}
+        found |= dict.fromkeys(held, key)
+    return found
+
+
+def test_prefix_split_moves_the_fewest(spark):
+    rng = random.Random(3)
+    words = {f"{a}{b}{i}" for a in "abc" for b in "xyz" for i in range(40)} | {"a", "ax", "x" * 300, "x" * 299 + "y", "é" * 40, "é" * 39, "é" * 38 + "ab"}
+    words |= {"".join(rng.choice("ab 𠀀𠀁\uff5e") for _ in range(rng.randrange(1, 9))) for _ in range(400)}
+    for budget in (4, 60, 100, 1000, 1 << 40):
+        entries = {w: rng.randrange(1, 9) for w in words}
+        df = spark.createDataFrame([*entries.items()], "q string, bytes long")
+        got = {r.q: r.shard_key for r in C.split_keys(df, budget).collect()}
+        assert got == split_plainly(entries, budget)
+        keys = spark.createDataFrame([(k,) for k in set(got.values())], "shard_key string")
+        assert {r.q: r.shard_key for r in C.longest_prefix(df.select("q"), keys).collect()} == got  # where a look-up goes
+        assert {r.shard_key: r.bytes for r in C.split_prefixes(df, budget).collect()} == {k: sum(n for q, n in entries.items() if got[q] == k) for k in set(got.values())}
 
 
 def test_vectors(spark):
