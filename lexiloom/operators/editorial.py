@@ -64,19 +64,25 @@ def trigger_quality(trigger: Column, q: Column, typing: Column) -> Column:
     return F.when(trigger == q, 1.0).when(begun, 0.6 + 0.4 * F.length(q) / F.length(trigger)).otherwise(0.0)
 
 
-def _begun(entries: DataFrame) -> DataFrame:
+def begun(entries: DataFrame) -> DataFrame:
     """Entries by every text that can hit one of their triggers: the trigger and its longer halves."""
     each = entries.select("*", F.explode("triggers").alias("trigger")).filter("trigger <> ''")
     least = F.least(F.length("trigger"), F.greatest(F.lit(MIN_PREFIX), F.ceil(F.length("trigger") / 2).cast("int")))
     return each.withColumn("q", F.explode(F.transform(F.sequence(least, F.length("trigger")), lambda n: F.left(F.col("trigger"), n))))
 
 
+def _of_record(hits: DataFrame) -> DataFrame:
+    """Where queries name a record (column `only`), hits of that one alone."""
+    return hits.filter(F.col("only") == F.col("id")) if "only" in hits.columns else hits
+
+
 def matched(queries: DataFrame, entries: DataFrame, limit: int = MAX_MATCHES) -> DataFrame:
     """query_id, place, item, score, entry, match: items of the entries in scope that a query's text triggers.
 
-    queries: query_id, q (normalised), typing, region, day. Met by an equi-join on the texts that can hit a trigger.
+    queries: query_id, q (normalised), typing, region, day, and `only` where a query is for one record.
+    Met by an equi-join on the texts that can hit a trigger.
     """
-    hits = queries.join(_begun(entries), "q").filter(in_scope(F.col("region"), F.col("day")))
+    hits = _of_record(queries.join(begun(entries), "q")).filter(in_scope(F.col("region"), F.col("day")))
     hits = hits.withColumn("quality", trigger_quality(F.col("trigger"), F.col("q"), F.col("typing"))).filter("quality > 0")
     return _items(hits, limit)
 
@@ -102,7 +108,7 @@ def _items(hits: DataFrame, limit: int) -> DataFrame:
 def regional_leads(queries: DataFrame, entries: DataFrame, tops: DataFrame) -> DataFrame:
     """query_id, item, score, entry: the strongest item of a regional entry that outranks the query's top result (query_id, item)."""
     each = entries.filter("kind = 'regional'").select("*", F.explode("triggers").alias("q"))
-    hits = queries.filter("region is not null").join(each, "q").join(tops.select("query_id", F.col("item").alias("top")), "query_id")
+    hits = _of_record(queries.filter("region is not null").join(each, "q")).join(tops.select("query_id", F.col("item").alias("top")), "query_id")
     hits = hits.filter(F.array_contains("outranks", F.col("top")) & in_scope(F.col("region"), F.col("day"))).withColumn("strong", F.get("items", F.lit(0)))
     hits = hits.filter(F.col("strong.id") != F.col("top"))
     return hits.groupBy("query_id").agg(F.min_by(F.struct(F.col("strong.id").alias("item"), F.col("strong.weight").alias("score"), F.col("id").alias("entry")), F.struct(-F.col("strong.weight"), "place")).alias("r")).select("query_id", "r.*")

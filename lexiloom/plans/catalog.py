@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexiloom.plans import building, editorial, evaluation, locale_search, search_analytics, search_ranking
+from lexiloom.plans import building, changed_search, editorial, evaluation, locale_search, search_analytics, search_ranking
 
 FLAGSHIP = "trends_daily"
-ALL = search_analytics.QUERIES | search_ranking.QUERIES | locale_search.QUERIES | evaluation.QUERIES | editorial.QUERIES | building.QUERIES
+ALL = search_analytics.QUERIES | search_ranking.QUERIES | locale_search.QUERIES | evaluation.QUERIES | editorial.QUERIES | building.QUERIES | changed_search.QUERIES
 
 
 def queries() -> dict:
