@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
+from lexiloom.operators import code_search as CS
 from lexiloom.operators import curation as C
 from lexiloom.operators import evals as E
 from lexiloom.operators import fusion as R
@@ -94,6 +95,11 @@ def top_list(s, d, k=10, dims=None):
     return V.top(dots(s, d, k, dims), k).select("query_id", "id", "place", F.round("dot", 6).alias("score"))
 
 
+def code_list(s, d):
+    rows = vecs(s, d)
+    return CS.nearest(asking(rows), rows, 10).select("query_id", "id", "place", F.round("dot", 6).alias("score"))
+
+
 def list_sql(name: str, source: str, k: int = 10) -> str:
     return f"{name} AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, id) AS place, round(dot, 6) AS score FROM {source} QUALIFY place <= {k})"
 
@@ -389,6 +395,7 @@ QUERIES = {
         simple("SELECT qtoken, token, CASE WHEN e = 2 THEN 0.65e0 WHEN length(qtoken) <= 5 THEN 0.7e0 ELSE 0.8e0 END AS quality, CAST(e AS INT) AS edits FROM (SELECT qtoken, token, damerau_levenshtein(qtoken, token) AS e FROM wr JOIN vocab ON qtoken[1] = token[1] OR (qtoken[1] = token[2] AND qtoken[2] = token[1])) WHERE e BETWEEN 1 AND CASE WHEN length(qtoken) < 4 THEN 0 WHEN length(qtoken) < 8 THEN 1 ELSE 2 END", INDEX, ASKED, "wr AS (SELECT DISTINCT qtoken[1] || qtoken[3] || qtoken[2] || qtoken[4:] AS qtoken FROM asked)"),
     ),
     "vector_topk": (top_list, simple("SELECT * FROM l", dots_sql(), list_sql("l", "dots"))),
+    "code_topk": (code_list, simple("SELECT * FROM l", dots_sql(), list_sql("l", "dots"))),
     "truncated_topk": (lambda s, d: top_list(s, d, 5, 16), simple("SELECT * FROM l", dots_sql(dims=16), list_sql("l", "dots", 5))),
     "vector_best_per_label": (lambda s, d: label_dots(s, d).withColumn("dot", F.round("dot", 6)), simple("SELECT query_id, label, round(max(dot), 6) AS dot FROM dots GROUP BY ALL", dots_sql())),
     "centered_scores": (centered_top, simple("SELECT query_id, label, round(dot - avg(dot) OVER (PARTITION BY query_id), 6) AS centered FROM (SELECT query_id, label, max(dot) AS dot FROM dots GROUP BY ALL)", dots_sql())),
