@@ -14,7 +14,7 @@ from lexiloom.operators import vectors as V
 from lexiloom.plans.search_analytics import QD
 from lexiloom.sources.tables import read_table as table
 from lexiloom.sources.tables import scratch
-from lexiloom.streaming import counters
+from lexiloom.streaming import counters, keyed_meter
 
 # --- lexical ---------------------------------------------------------------
 
@@ -367,6 +367,16 @@ def usage_alerts(s, d):
     return s.read.parquet(f"{out}/alerts").drop("batch", "id")
 
 
+def usage_state(s, d):
+    """The same alerts from keyed state. Orders come in no order of time, so a year stays open for as long as they span."""
+    out, orders = scratch(s, "meter"), table(s, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    orders.repartition(6, "o_orderkey").write.parquet(f"{out}/in")
+    events, at = counters.event_stream(s, f"{out}/in", "*.parquet", orders.schema, 2), F.col("o_orderdate").cast("timestamp")
+    ends = F.add_months(F.trunc(at, "year"), 12).cast("timestamp")
+    keyed_meter.meter(events, F.col("o_custkey"), at, F.date_format(at, "yyyy"), ends, F.lit(1), 4, "10000 days", f"{out}/rows", f"{out}/checkpoint")
+    return s.read.parquet(f"{out}/rows").filter("kind = 'alert'").select("account", "period", "percent")
+
+
 def report_stream(s, d):
     out = scratch(s, "reports")
     e = table(s, d, "events")
@@ -496,5 +506,6 @@ QUERIES = {
     "normalized_text": (normalized_text, None),
     "stream_query_daily": (stream, f"WITH {QD} SELECT * FROM query_daily"),
     "stream_usage_alerts": (usage_alerts, "SELECT o_custkey AS account, strftime(o_orderdate, '%Y') AS period, percent FROM orders, (SELECT unnest([80, 100]) AS percent) GROUP BY ALL HAVING count(*) >= ceil(4 * percent / 100e0)"),
+    "stream_usage_state": (usage_state, "SELECT o_custkey AS account, strftime(o_orderdate, '%Y') AS period, percent FROM orders, (SELECT unnest([80, 100]) AS percent) GROUP BY ALL HAVING count(*) >= ceil(4 * percent / 100e0)"),
     "stream_client_reports": (report_stream, "SELECT event_type AS event, round(sum(2e0 * (user_id % 5)), 6) AS n FROM events WHERE event_id % 7 <> 0 GROUP BY 1 UNION ALL SELECT 'refused', CAST(count(*) AS DOUBLE) FROM events WHERE event_id % 7 = 0"),
 }
