@@ -220,9 +220,9 @@ def layered_cost(scenarios: DataFrame, prices: dict[str, float]) -> DataFrame:
     return rows.withColumn("cost", F.round(sum((F.col(f"{k}_cost") for k in layers), F.lit(0.0)), 6))
 
 
-def sensitivity(base: dict[str, float], spread: float) -> list[dict]:
-    """The base case, and one with each of its figures lower and higher."""
+def sensitivity(base: dict[str, float], spread: float, most: float | None = 1.0) -> list[dict]:
+    """The base case, and one with each of its figures lower and higher, but at most `most`."""
     cases = [{"case": "base", **base}]
     for name, value in base.items():
-        cases += [{"case": f"{name}{sign}", **base, name: min(1.0, max(0.0, value * factor))} for sign, factor in (("-", 1 - spread), ("+", 1 + spread))]
+        cases += [{"case": f"{name}{sign}", **base, name: max(0.0, value * factor) if most is None else min(most, max(0.0, value * factor))} for sign, factor in (("-", 1 - spread), ("+", 1 + spread))]
     return cases

@@ -266,19 +266,25 @@ def hooked(s, d):
     return A.apps_with_hooks(apps, hooks)
 
 
+#: Shares of the cost model, each as a condition on an event.
+SHARES = {"device": "value >= 20", "shard": "user_id % 2 = 0", "cache": "user_id % 10 = 0", "reactions": "event_type = 'click'", "images": "event_type = 'purchase'"}
+GRID = [(a, b) for a in (0.8, 0.9) for b in (0.0, 0.5)]
+
+
 def cost(s, d):
-    p = lambda name, seq: s.createDataFrame([(x,) for x in seq], f"{name} double")
-    base = {"device": 0.911, "shard": 0.5, "cache": 0.1, "reactions": 0.05, "images": 0.01}
-    cases = s.createDataFrame([(c["case"], *[c[k] for k in base]) for c in A.sensitivity(base, 0.5)], "case string, " + ", ".join(f"{k} double" for k in base))
-    grid = p("device", [0.8, 0.9]).join(F.broadcast(p("shard", [0.0, 0.5]))).select(F.lit("grid").alias("case"), "device", "shard", *[F.lit(base[k]).alias(k) for k in ("cache", "reactions", "images")])
-    return A.layered_cost(cases.unionByName(grid), PRICES).select("case", "device", "shard", "cost")
+    """The costs of the events' own shares, of each share halved and half as much again, and of a grid of two of them."""
+    base = table(s, d, "events").agg(*[F.avg(F.expr(c).cast("double")).alias(k) for k, c in SHARES.items()])
+    cases = F.explode(F.array(*[F.struct(F.lit(c["case"]).alias("case"), *[F.least(F.lit(1.0), F.col(k) * c[k]).alias(k) for k in SHARES]) for c in A.sensitivity(dict.fromkeys(SHARES, 1.0), 0.5, most=None)]))
+    grid = F.explode(F.array(*[F.struct(F.lit("grid").alias("case"), F.lit(a).alias("device"), F.lit(b).alias("shard"), "cache", "reactions", "images") for a, b in GRID]))
+    rows = base.select(cases.alias("c")).select("c.*").unionByName(base.select(grid.alias("c")).select("c.*"))
+    return A.layered_cost(rows, PRICES).select("case", "device", "shard", "cost")
 
 
 def cost_sql() -> str:
-    base = {"device": 0.911, "shard": 0.5, "cache": 0.1, "reactions": 0.05, "images": 0.01}
-    rows = [(c["case"], *[c[k] for k in base]) for c in A.sensitivity(base, 0.5)] + [("grid", a, b, 0.1, 0.05, 0.01) for a in (0.8, 0.9) for b in (0.0, 0.5)]
-    listed_ = ", ".join("('" + r[0] + "', " + ", ".join(f"{x!r}::DOUBLE" for x in r[1:]) + ")" for r in rows)
-    return f'SELECT "case", device, shard, round((1 - device) * 0.1e0 + (1 - device) * (1 - shard) * 0.3e0 + (1 - device) * (1 - shard) * (1 - cache) * 0.2e0 + reactions * 0.2e0 + images * 10e0, 6) AS cost FROM (VALUES {listed_}) t("case", device, shard, cache, reactions, images)'
+    cases = [{"case": "base"}] + [{"case": k + sign, k: f} for k in SHARES for sign, f in (("-", 0.5), ("+", 1.5))]
+    listed_ = [f"SELECT '{c['case']}' AS \"case\", " + ", ".join(f"least(1e0, {k} * {c.get(k, 1.0)}e0) AS {k}" for k in SHARES) + " FROM b" for c in cases] + [f"SELECT 'grid', {x}e0, {y}e0, cache, reactions, images FROM b" for x, y in GRID]
+    shares = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS {k}" for k, c in SHARES.items())
+    return f'WITH b AS (SELECT {shares} FROM events) SELECT "case", device, shard, round(round((1 - device) * 0.1e0, 6) + round((1 - device) * (1 - shard) * 0.3e0, 6) + round((1 - device) * (1 - shard) * (1 - cache) * 0.2e0, 6) + round(reactions * 0.2e0, 6) + round(images * 10e0, 6), 6) AS cost FROM ({" UNION ALL ".join(listed_)})'
 
 
 BUILD = f"""WITH n AS (SELECT p_name AS q, count(*) AS n FROM part GROUP BY 1), r AS (SELECT p_name AS q, p_partkey AS item, CAST(floor(p_size / 50e0 * 1000 + 0.5e0) AS BIGINT) AS s, row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_partkey) AS place FROM part),

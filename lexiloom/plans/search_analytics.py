@@ -273,8 +273,8 @@ QUERIES = {
         "WITH n AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1), o AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1) SELECT o_custkey, 0 AS layer, o_orderkey FROM n UNION ALL SELECT o_custkey, 1, o_orderkey FROM o WHERE o_custkey NOT IN (SELECT o_custkey FROM n)",
     ),
     "recursive_days": (
-        lambda s, d: s.sql(f"SELECT date_format(x, 'yyyy-MM-dd') AS day FROM (SELECT explode(sequence(DATE '{FIRST}', DATE '{LAST}')) AS x)"),
-        f"WITH RECURSIVE days(x) AS (SELECT DATE '{FIRST}' UNION ALL SELECT CAST(x + INTERVAL 1 DAY AS DATE) FROM days WHERE x < DATE '{LAST}') SELECT strftime(x, '%Y-%m-%d') AS day FROM days",
+        lambda s, d: table(s, d, "orders").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b")).select(F.explode(F.sequence("a", "b")).alias("x")).select(F.date_format("x", "yyyy-MM-dd").alias("day")),
+        "WITH RECURSIVE o AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders), days(x) AS (SELECT a FROM o UNION ALL SELECT CAST(x + INTERVAL 1 DAY AS DATE) FROM days WHERE x < (SELECT b FROM o)) SELECT strftime(x, '%Y-%m-%d') AS day FROM days",
     ),
     "yearly_window_active": (
         lambda s, d: table(s, d, "orders").filter(U.active_on(F.col("o_orderdate"), "12-26", "01-02")).groupBy(F.date_format("o_orderdate", "MM-dd").alias("month_day")).agg(F.count("*").alias("n")),
