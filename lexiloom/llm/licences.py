@@ -2,17 +2,20 @@
 
 Candidate blocks are the paragraphs of a text (its lines up to a blank one,
 joined without their comment marks), long ones in windows, that hold a licensing
-word. Every template is compared by its exact wording: all words of
-its phrase must stand in the block one after another, with no word between them
-but those of its free fields (years, names, versions). The saving of a confirmed
-template is the share of the matched passage's compressed size that zstandard
-saves with the template as a raw dictionary, so it doesn't depend on the length
-of the block. If none is confirmed, the templates are ranked by what they save
-over the surroundings of the block's licensing words.
+word. The surroundings of a block's licensing words are compressed as they are
+and with each template as a raw dictionary of zstandard. Templates are ranked by
+the bytes they save; those that save at least SHARE of what they save on their
+own wording are the winners, and only these are compared word by word. A winner
+is confirmed if none of its words is missing and the words between them are
+those of its free fields (years, names, versions) or FILLERS, and if no negation
+stands before it. In a tag line, the identifiers of an expression are each
+confirmed. The saving of a confirmed template is the share of the matched
+passage's compressed size; a block that confirms nothing has the best ranked
+template, what it saves of the surroundings, and its difference in wording.
 
 Defined results: a null or empty text has no blocks and no rows; a block has a
-row for each licence that it confirms, with the longest of the licence's
-templates; a block that no template confirms has a null licence and the best
+row for each licence that it confirms, with the best ranked of the licence's
+confirmed templates; a block that no template confirms has a null licence and the best
 template's figures; a passage in the overlap of two windows counts once;
 repeated rows give repeated results; further columns are ignored; an empty table
 gives an empty result.
@@ -24,7 +27,7 @@ import re
 from bisect import bisect_right
 from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
@@ -46,6 +49,11 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("GPL-3.0", "Licensed under the GNU General Public License v3.0."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "Licensed under the GNU General Public License v2.0."),
+    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
@@ -71,13 +79,22 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Public-Domain", "This work is in the public domain."),
     ("All-Rights-Reserved", "All rights reserved."),
 )
+#: Further identifiers that a tag line may give.
+TAG_NAMES = ("0BSD", "AFL-3.0", "Artistic-2.0", "BSL-1.0", "CDDL-1.0", "CDDL-1.1", "CPL-1.0", "ECL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.1", "EUPL-1.2", "LGPL-2.0", "MIT-0", "MPL-1.1", "MS-PL", "MS-RL", "NCSA", "OFL-1.1", "OSL-3.0", "PostgreSQL", "PSF-2.0", "Python-2.0", "Ruby", "UPL-1.0", "W3C", "WTFPL", "X11", "Zlib", "ZPL-2.1")
 #: Names above that are no SPDX identifiers, and suffixes that identifiers of the GNU licences may have; every other name is also sought in a tag line.
 UNTAGGED, GNU_SUFFIXES = {"GPL", "BSD", "Public-Domain", "All-Rights-Reserved"}, ("", "-only", "-or-later")
-TAGS = tuple((name, f"SPDX-License-Identifier: {name}{suffix}") for name in dict.fromkeys(n for n, _ in TEMPLATES if n not in UNTAGGED) for suffix in (GNU_SUFFIXES if "GPL" in name else ("",)))
+TAGS = tuple((name, f"SPDX-License-Identifier: {name}{suffix}") for name in dict.fromkeys([*(n for n, _ in TEMPLATES if n not in UNTAGGED), *TAG_NAMES]) for suffix in (GNU_SUFFIXES if "GPL" in name else ("",)))
 #: A block is a candidate if it holds one of these.
 SIGNS = ("licen", "copyright", "rights reserved", "public domain", "hereby granted", "free software", "redistribut", "mozilla public", "waived all", "cc0", "cc by")
-#: Words that a free field of a template may hold, and characters on either side of a licensing word by which unconfirmed blocks are ranked.
-FREE, AROUND = 8, 100
+#: Spellings taken as one, words that may stand between a template's own, words that join identifiers, and negations.
+SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "distributed": "released", "published": "released"}
+FILLERS = {"the", "terms", "and", "conditions", "of"}
+TAG, JOINS = "spdx-license-identifier", {"or", "and", "with"}
+NEGATIONS = {"not", "never", "nor", "t"}  # t: of isn't
+#: Words that a free field of a template may hold, characters on either side of a licensing word that are compressed (more than any template has), and words before a passage in which a negation counts.
+FREE, AROUND, BEFORE = 8, 200, 2
+#: Most fillers in a row, and the least share of a template's own saving with which it is compared by wording.
+SKIPS, SHARE = 4, 0.1
 LEVEL = 3
 #: Most characters of a block; longer paragraphs are scanned in overlapping windows.
 WINDOW, OVERLAP = 2000, 400
@@ -90,7 +107,7 @@ _WORD = re.compile(r"[\w.+-]*\w|\*")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [SAME.get(w, w) for w in _WORD.findall(text.lower())]
 
 
 def paragraphs(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
@@ -154,37 +171,49 @@ class Match:
 
 
 def wording_end(template: list[str], block: list[str], at: int) -> int | None:
-    """The place after the template's wording, if that starts at block[at]."""
+    """The place after the template's wording, if that starts at block[at]; FILLERS may stand between its words."""
     for k, w in enumerate(template):
         if w == "*":
             ends = (wording_end(template[k + 1 :], block, at + skip) for skip in range(FREE + 1))
             return next((e for e in ends if e is not None), None)
+        skipped = 0
+        while k and at < len(block) and block[at] != w and block[at] in FILLERS and skipped < SKIPS:
+            at, skipped = at + 1, skipped + 1
         if at >= len(block) or block[at] != w:
             return None
         at += 1
     return at
 
 
+def tag_end(name: str, block: list[str], at: int) -> int | None:
+    """The place after an identifier in the expression that follows a tag at block[at]: identifiers with a joining word between them."""
+    for k in range(at + 1, len(block), 2):
+        if block[k] == name:
+            return k + 1
+        if k + 1 >= len(block) or block[k + 1] not in JOINS:
+            return None
+    return None
+
+
 def difference(template: list[str], block: list[str]) -> tuple[int, int]:
-    """(missing, extra): words of the template that the block lacks at the best place, and words of the block between them beyond free fields."""
-    starts = [i for i, w in enumerate(block) if w == template[0]] if template[0] != "*" else range(len(block))
-    best = (len(template), 0)
-    for start in starts:
-        at, missing, extra, free = start, 0, 0, 0
-        for w in template:
-            if w == "*":
-                free = FREE
-                continue
-            room = block[at : at + free + 1 + FREE]
-            if w in room:
-                skipped = room.index(w)
-                extra += max(0, skipped - free)
-                at += skipped + 1
-            else:
-                missing += 1
-            free = 0
-        best = min(best, (missing, extra))
-    return best
+    """(missing, extra): words of the template that the block lacks at its best place, and words of the block between them beyond free fields.
+
+    The alignment with the fewest missing words, then the fewest extra ones: a row
+    a template word, a cell the block's word that it is matched with at the latest.
+    """
+    spelled = [w for w in template if w != "*"]
+    free = [FREE if i and template[i - 1] == "*" else 0 for i, w in enumerate(template) if w != "*"]
+    best = (len(spelled), 0)
+    ends: dict[int, tuple[int, int]] = {}  # place of the last matched word: cost, with the words before it
+    for k, w in enumerate(spelled):
+        found = {}
+        for at in (i for i, own in enumerate(block) if own == w):
+            options = [(k, 0)] + [(m, e + max(0, at - place - 1 - free[k])) for place, (m, e) in ends.items() if place < at <= place + 1 + FREE + free[k]]
+            found[at] = min(options)
+        ends = {place: (m + 1, e) for place, (m, e) in ends.items()}
+        for at, cost in found.items():
+            ends[at] = min(cost, ends.get(at, cost))
+    return min([best, *ends.values()])
 
 
 class Scanner:
@@ -193,55 +222,85 @@ class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES + TAGS):
         self.templates = templates
         self.words = [words(t) for _, t in templates]
+        self.tags = {i for i, w in enumerate(self.words) if w[0] == TAG}
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
         self.given = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for _, t in templates]
+        self.own = [self._saved(t, [i])[0][0] for i, (_, t) in enumerate(templates)]
         self.known: OrderedDict[str, tuple[Match, ...]] = OrderedDict()
 
     def match(self, block: str) -> Match:
-        """The first of the block's matches: that with the longest wording."""
+        """The first of the block's matches: that of the best ranked template."""
         return self.matches(block)[0]
 
     def matches(self, block: str) -> tuple[Match, ...]:
         """A match for each licence that the block confirms, or one without a licence."""
         if block not in self.known:
-            self.known[block] = tuple(self._confirmed(block)) or (self._best(block),)
+            ranked = self._ranked(block)
+            self.known[block] = tuple(self._confirmed(block, [i for i, _, share in ranked if share >= SHARE])) or (self._best(block, *ranked[0][:2]),)
             if len(self.known) > CACHE:
                 self.known.popitem(last=False)
         return self.known[block]
 
-    def _savings(self, piece: str, chosen: range | list[int]) -> list[float]:
+    def _saved(self, piece: str, chosen: list[int]) -> tuple[list[int], int]:
+        """(bytes saved by each chosen template, bytes without any)."""
         raw = " ".join(piece.lower().split()).encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(raw))
-        return [(alone - len(self.given[i].compress(raw))) / alone for i in chosen]
-
-    def _confirmed(self, block: str) -> Iterator[Match]:
+        return [alone - len(self.given[i].compress(raw)) for i in chosen], alone
+
+    def _ranked(self, block: str) -> list[tuple[int, float, float]]:
+        """(template, share of the compressed size that it saves, share of its own saving), by saved bytes; the best of the stretches around licensing words counts."""
+        chosen = [i for i in range(len(self.templates)) if i not in self.tags or TAG in block.lower()]
+        saved, rows = dict.fromkeys(chosen, (-(1 << 30), 1)), []
+        for piece in surroundings(block):
+            each, alone = self._saved(piece, chosen)
+            for i, n in zip(chosen, each, strict=True):
+                saved[i] = max(saved[i], (n, alone))
+        for i, (n, alone) in saved.items():
+            rows.append((-n, -len(self.words[i]), i, n / alone))
+        return [(i, part, -n / self.own[i]) for n, _, i, part in sorted(rows)]
+
+    def _confirmed(self, block: str, winners: list[int]) -> Iterator[Match]:
+        """A match for each licence that one of the winners, in order, confirms by its wording."""
         spans = [m for m in _WORD.finditer(block) if m[0] != "*"]
-        own, places = [m[0].lower() for m in spans], defaultdict(list)
+        own, places = [SAME.get(m[0].lower(), m[0].lower()) for m in spans], defaultdict(list)
         for at, w in enumerate(own):
             places[w].append(at)
         first, met = {}, defaultdict(dict)
-        for i in sorted(range(len(self.templates)), key=lambda i: (-len(self.words[i]), i)):
+        for i in winners:
             licence, template = self.templates[i][0], self.words[i]
             for at in places.get(template[0], ()):
-                if end := wording_end(template, own, at):
+                end = tag_end(template[1], own, at) if i in self.tags else wording_end(template, own, at)
+                if end and not NEGATIONS & set(own[max(0, at - BEFORE) : at]):
                     first.setdefault(licence, (i, block[spans[at].start() : spans[end - 1].end()]))
-                    met[licence][at] = end  # at last that of the shortest template
+                    met[licence][at] = min(end, met[licence].get(at, end))
         for licence, (i, passage) in first.items():
             at = max(met[licence])
-            yield Match(licence, i, self._savings(passage, [i])[0], 0, 0, spans[at].start(), spans[met[licence][at] - 1].end())
-
-    def _best(self, block: str) -> Match:
-        """The template that saves most around the licensing words, with its difference in wording."""
-        low = block.lower()
-        signs = [(m.start(), m.end()) for s in SIGNS for m in re.finditer(re.escape(s), low)] or [(0, len(block))]
-        near, upto = [], 0
-        for start, end in sorted(signs):
-            near.append(block[max(upto, start - AROUND) : end + AROUND])
-            upto = max(upto, end + AROUND)
-        saving = self._savings("".join(near), range(len(self.templates)))
-        i = min(range(len(saving)), key=lambda i: (-saving[i], -len(self.words[i]), i))
+            (saved,), alone = self._saved(passage, [i])
+            extra = 0 if i in self.tags or "*" in self.words[i] else len(words(passage)) - len(self.words[i])
+            yield Match(licence, i, saved / alone, 0, extra, spans[at].start(), spans[met[licence][at] - 1].end())
+
+    def _best(self, block: str, i: int, saving: float) -> Match:
+        """The best ranked template of a block that confirms none, with its difference in wording."""
         missing, extra = difference(self.words[i], words(block))
-        return Match(None, i, saving[i], missing, extra, min(a for a, _ in signs), max(b for _, b in signs))
+        signs = list(signed(block)) or [(0, len(block))]
+        return Match(None, i, saving, missing, extra, min(a for a, _ in signs), max(b for _, b in signs))
+
+
+def signed(block: str) -> Iterator[tuple[int, int]]:
+    low = block.lower()
+    yield from sorted((m.start(), m.end()) for s in SIGNS for m in re.finditer(re.escape(s), low))
+
+
+def surroundings(block: str) -> Iterator[str]:
+    """The stretches of AROUND characters on either side of licensing words, overlapping ones as one."""
+    begin = upto = None
+    for start, end in signed(block) if has_sign(block) else [(0, len(block))]:
+        if upto is None or start - AROUND > upto:
+            if upto is not None:
+                yield block[begin:upto]
+            begin = max(0, start - AROUND)
+        upto = end + AROUND
+    yield block[begin:upto]
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

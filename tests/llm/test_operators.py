@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -596,3 +598,31 @@ def test_license_tags(spark):
     rows = [(1, "// SPDX-License-Identifier: MIT\ncode"), (2, "# SPDX-License-Identifier: GPL-3.0-or-later"), (3, "SPDX-License-Identifier: Nothing-1.0")]
     got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(r.doc_id, r.licence) for r in sorted(got, key=lambda r: r.doc_id)] == [(1, "MIT"), (2, "GPL-3.0"), (3, None)]
+
+
+def test_compression_picks_what_wording_confirms():
+    """Fillers and spellings are no differences; negations, missing words and other versions are; an expression gives each of its identifiers."""
+    scanner = licences.Scanner()
+    cases = {
+        "Released under the terms of the MIT License.": {"MIT"}, "Distributed under the MIT Licence.": {"MIT"}, "Licensed under the GNU General Public License, version 3 or later": {"GPL-3.0"},
+        "This is not licensed under the MIT License.": set(), "It isn't released under the MIT License.": set(), "Licensed under the GNU General Public License, version 9": set(),
+        "SPDX-License-Identifier: MIT OR Apache-2.0": {"MIT", "Apache-2.0"}, "SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND BSL-1.0": {"GPL-2.0", "BSL-1.0"},
+        "SPDX-License-Identifier: EPL-2.0 for now, and MIT": {"EPL-2.0"},
+    }
+    assert {t: {m.licence for m in scanner.matches(t)} - {None} for t in cases} == cases
+    (filled,) = scanner.matches("Released under the terms of the MIT License.")
+    assert (filled.missing, filled.extra) == (0, 3)
+    ranked = scanner._ranked("some words. Licensed under the ISC License. more words")
+    assert scanner.templates[ranked[0][0]][0] == "ISC" and [r[2] for r in ranked if scanner.templates[r[0]][0] == "Unlicense"][0] < licences.SHARE < ranked[0][2]
+
+
+def test_wording_difference_is_the_best_alignment():
+    """Against all ways to match a template's words, in order, with the block's."""
+    rng = random.Random(3)
+    for _ in range(200):
+        template, block = [[rng.choice("abcd") for _ in range(rng.randint(1, n))] for n in (5, 9)]
+        ways = [((), ())]
+        for k in range(1, min(len(template), len(block)) + 1):
+            ways += [(t, b) for t in combinations(range(len(template)), k) for b in combinations(range(len(block)), k) if all(template[i] == block[j] for i, j in zip(t, b, strict=True))]
+        best = min((len(template) - len(t), sum(y - x - 1 for x, y in zip(b, b[1:]))) for t, b in ways)
+        assert licences.difference(template, block) == best, (template, block)
