@@ -15,11 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiloom.sources.tables import kept
+
 #: The format of a pack, its phrase columns and weights' fields, and the head of a vector file.
 PACK_FORMAT, PACK_VERSION = "lexicon-pack", 1
 PHRASES = ["label", "shortcode", "keyword", "alias", "typo", "low"]
 PACK = "format string, formatVersion int, locale string, part string, groups array<string>, popularity array<int>, rows array<struct<glyph:string,item:string,group:int,version:double,skins:int,label:string,shortcode:string,keyword:string,alias:string,typo:string,low:string>>"
 MAGIC, PACK_BYTES, CORE_ALIASES = b"VEC1", 200_000, 16
+#: Most splits of text files whose first line numbers are broadcast.
+SPLITS = 65_536
 
 
 class BadInput(ValueError):
@@ -36,9 +40,27 @@ def checked(df: DataFrame, where: list[str], **rules: Column) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """number (from 1) and value of each line of a text file, whole files in one piece so that lines can be counted."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "value")).select("file", (F.col("at") + 1).alias("number"), "value")
+    """file, number (from 1) and value of each line of text files; a \\r before the line's end isn't part of it.
+
+    Files are read in splits, so a large one is read by many tasks. A line's place
+    within its split comes from the order of the scan, and a split's first number
+    is the running sum of the lines of the splits before it. The scan is written
+    once, as a second one may cut files elsewhere when executors come and go. The
+    sums have a row a split; they are broadcast up to SPLITS, and joined beyond.
+    """
+    scan = spark.read.option("lineSep", "\n").text(path)
+    rows = kept(scan.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("at"), "value"), "lines")
+    splits = rows.groupBy("file", "begin").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = kept(splits.select("file", "begin", (before - F.col("first") + 1).alias("shift")), "splits")
+    numbered = rows.join(F.broadcast(shifts) if shifts.count() <= SPLITS else shifts, ["file", "begin"])
+    return numbered.select("file", (F.col("at") + F.col("shift")).alias("number"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+def repeated(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `twice`: whether their key stands more than once. Keys are counted by themselves, so no task holds all rows of one."""
+    more = rows.groupBy(F.col(key).alias("key_again")).agg(F.count("*").alias("n")).filter("n > 1").select("key_again", F.lit(True).alias("twice"))
+    return rows.join(more, F.col(key) == F.col("key_again"), "left").drop("key_again").withColumn("twice", F.coalesce("twice", F.lit(False)))
 
 
 def read_packs(spark: SparkSession, path: str) -> DataFrame:
@@ -73,8 +95,8 @@ def query_log(spark: SparkSession, path: str) -> DataFrame:
 def overlay(spark: SparkSession, path: str, known: DataFrame, columns: str) -> DataFrame:
     """Rows of overlay files (JSON lines with key and columns), whose keys must be known (key) and stand once."""
     rows = spark.read.schema(f"key string, {columns}").option("mode", "FAILFAST").json(path)
-    marked = rows.join(known.select("key", F.lit(True).alias("known")).distinct(), "key", "left").withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    return checked(marked, ["key"], unknown_key=F.col("known").isNull(), duplicated_key=F.col("n") > 1).select(*rows.columns)
+    marked = rows.join(known.select("key", F.lit(True).alias("known")).distinct(), "key", "left")
+    return checked(repeated(marked, "key"), ["key"], unknown_key=F.col("known").isNull(), duplicated_key=F.col("twice")).select(*rows.columns)
 
 
 def base_catalog(items: DataFrame, shortcodes: list[DataFrame], annotations: DataFrame, keys: list[Column]) -> DataFrame:
@@ -95,9 +117,9 @@ def base_catalog(items: DataFrame, shortcodes: list[DataFrame], annotations: Dat
 def eval_queries(spark: SparkSession, path: str) -> DataFrame:
     """id, q, locale, cat, answers, forbid of an evaluation set of JSON lines: ids once, answers given and not forbidden."""
     rows = lines(spark, path).filter(F.trim("value") != "").withColumn("j", F.from_json("value", "id string, q string, locale string, cat string, answers array<string>, forbid array<string>"))
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("j.id")))
+    rows = repeated(rows, "j.id")
     both = F.coalesce(F.arrays_overlap("j.answers", F.coalesce("j.forbid", F.array().cast("array<string>"))), F.lit(False))
-    rows = checked(rows, ["file", "number"], no_id=F.col("j.id").isNull(), id_twice=F.col("n") > 1, no_query=F.col("j.q").isNull(), no_answers=F.coalesce(F.size("j.answers"), F.lit(0)) == 0, answer_forbidden=both)
+    rows = checked(rows, ["file", "number"], no_id=F.col("j.id").isNull(), id_twice=F.col("twice"), no_query=F.col("j.q").isNull(), no_answers=F.coalesce(F.size("j.answers"), F.lit(0)) == 0, answer_forbidden=both)
     return rows.select("j.*")
 
 
@@ -117,11 +139,17 @@ def id_ranges(texts: DataFrame) -> DataFrame:
 
 
 def exclusions(rows: DataFrame) -> DataFrame:
-    """phrase and category of a list with [category] heads and # comments. rows: file, number, value, as of lines()."""
+    """phrase and category of a list with [category] heads and # comments. rows: file, number, value, as of lines().
+
+    Heads are few: each holds for the numbers up to the next one, met by a join on
+    the file that leaves a line its last head; a file's lines never share a task.
+    """
     bare = rows.withColumn("text", F.trim(F.regexp_replace("value", "#.*$", "")))
     head = F.regexp_extract("text", r"^\[(.+)\]$", 1)
-    named = bare.withColumn("category", F.last(F.when(head != "", head), True).over(Window.partitionBy("file").orderBy("number")))
-    return named.filter((F.col("text") != "") & (head == "")).select(F.lower("text").alias("phrase"), "category")
+    heads = bare.filter(head != "").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("number", head.alias("category")))).alias("heads"))
+    phrases = bare.filter((F.col("text") != "") & (head == "")).join(heads, "file", "left")
+    last = F.try_element_at(F.filter("heads", lambda h: h["number"] < F.col("number")), F.lit(-1))
+    return phrases.select(F.lower("text").alias("phrase"), last["category"].alias("category"))
 
 
 def write_vectors(df: DataFrame, path: str, id_col: str = "id", vector_col: str = "v") -> None:
