@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,20 +170,85 @@ def integrity(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     return both.select(key, wrong.alias("problem")).filter("problem is not null")
 
 
-def fit_reranker(rows: DataFrame, features: list[str], epochs: int = 400, rate: float = 0.05, decay: float = 1e-3, sample: int = 200_000) -> dict[str, float]:
-    """Weights of a listwise softmax over each query's results (query_id, relevant, features), by Adam on standardised features.
+def fit_reranker(rows: DataFrame, features: list[str], k: int = 5, epochs: int = 400, rate: float = 0.05, decay: float = 1e-3) -> list[dict[str, float]]:
+    """For each of k folds, weights learned from all queries of the other folds: a listwise softmax over each query's results (query_id, relevant, features), by Adam on standardised features.
 
-    The fit takes a bounded sample: the queries with the smallest hashes whose rows
-    come to at most `sample`.
+    All k are fitted in one pass an epoch. A query's results, a list of the search's
+    limit, are laid into blocks of numbers that are written once; a task hands the
+    driver one row of k sums a feature, so what it gathers grows with tasks alone.
+    Queries without a relevant result take no part.
     """
-    sizes = rows.groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.col("relevant").cast("int")).alias("any")).filter("any = 1")
-    chosen = sizes.orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
-    table = rows.join(F.broadcast(chosen.select("query_id")), "query_id").select("query_id", F.col("relevant").cast("double").alias("relevant"), *features).orderBy(F.xxhash64("query_id"), "query_id").limit(sample).toPandas()
-    return dict(zip(features, softmax_fit(table["query_id"].to_numpy(), table["relevant"].to_numpy(), table[features].to_numpy(float), epochs, rate, decay).tolist(), strict=True))
+    each = rows.groupBy("query_id").agg(F.collect_list(F.struct(F.col("relevant").cast("double").alias("relevant"), *[F.col(f).cast("double").alias(f) for f in features])).alias("r"), F.max(F.col("relevant").cast("int")).alias("any")).filter("any = 1")
+    flat = lambda c: F.transform("r", lambda x: x[c])
+    lists = each.select(folds(F.col("query_id"), k).alias("fold"), flat("relevant").alias("relevant"), *[flat(f).alias(f"x{i}") for i, f in enumerate(features)])
+    d = len(features)
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                table = np.stack([np.concatenate(batch[c].to_list()) for c in ("relevant", *[f"x{i}" for i in range(d)])]).astype(np.float64)
+                size = batch["relevant"].map(len).to_numpy(np.int32)
+                yield pd.DataFrame({"values": [table.tobytes()], "sizes": [size.tobytes()], "folds": [batch["fold"].to_numpy(np.int32).tobytes()]})
+
+    blocks = kept(lists.mapInPandas(packed, "values binary, sizes binary, folds binary"), "reranker")
+
+    def opened(block: tuple) -> tuple[np.ndarray, ...]:
+        table = np.frombuffer(block.values).reshape(d + 1, -1)
+        size, fold = np.frombuffer(block.sizes, np.int32), np.frombuffer(block.folds, np.int32)
+        return table[0], table[1:].T, size, np.arange(k)[None, :] != fold[:, None]
+
+    def summed(of: Callable[..., np.ndarray]) -> np.ndarray:
+        """Sums over all blocks, exact to the last place and so in any order, of arrays that a block gives."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = [of(*opened(block)) for batch in batches for block in batch.itertuples()]
+            if parts:
+                yield pd.DataFrame({"s": [np.sum(parts, axis=0).ravel().tolist()]})
+
+        tasks = [r.s for r in blocks.mapInPandas(run, "s array<double>").collect()]
+        return np.array([math.fsum(column) for column in zip(*tasks, strict=True)])
+
+    def totals(relevant: np.ndarray, x: np.ndarray, size: np.ndarray, learns: np.ndarray) -> np.ndarray:
+        mine = np.repeat(learns, size, axis=0).astype(float)
+        return np.vstack([learns.sum(axis=0, keepdims=True), mine.sum(axis=0, keepdims=True), x.T @ mine])
+
+    sums = summed(totals)
+    if not len(sums):
+        return [dict.fromkeys(features, 0.0) for _ in range(k)]
+    n_queries, n_rows, *total = sums.reshape(d + 2, k)
+    mean = np.array(total) / np.maximum(n_rows, 1)
+    square = summed(lambda relevant, x, size, learns: np.einsum("rik,rk->ik", (x[:, :, None] - mean[None]) ** 2, np.repeat(learns, size, axis=0).astype(float))).reshape(d, k)
+    spread = np.sqrt(square / np.maximum(n_rows, 1))
+    spread[spread <= 0] = 1.0
+    w, m, v = (np.zeros((d, k)) for _ in range(3))
+    for t in range(1, epochs + 1):
+        own = w / spread
+
+        def slopes(relevant: np.ndarray, x: np.ndarray, size: np.ndarray, learns: np.ndarray, own: np.ndarray = own) -> np.ndarray:
+            # A query's shares and wants both sum to one, so any middle serves; one fold's mean keeps the numbers small.
+            heads, x = np.cumsum(size) - size, x - mean[:, 0]
+            s = x @ own
+            p = np.exp(s - np.repeat(np.maximum.reduceat(s, heads), size, axis=0))
+            p /= np.repeat(np.add.reduceat(p, heads), size, axis=0)
+            want = relevant / np.repeat(np.add.reduceat(relevant, heads), size)
+            return x.T @ ((p - want[:, None]) * np.repeat(learns, size, axis=0))
+
+        slope = summed(slopes).reshape(d, k) / spread / np.maximum(n_queries, 1) + decay * w
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return [dict(zip(features, column.tolist(), strict=True)) for column in (w / spread).T]
+
+
+def held_out(rows: DataFrame, weights: list[dict[str, float]]) -> DataFrame:
+    """fold, query_id, first: each query ranked by the weights that its fold had no part in."""
+    fold = folds(F.col("query_id"), len(weights))
+    learned = F.coalesce(*[F.when(F.col("fold") == j, sum((F.col(f) * w for f, w in own.items()), F.lit(0.0))) for j, own in enumerate(weights)])
+    placed = rows.withColumn("fold", fold).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(learned), "id")))
+    return first_relevant(placed).withColumn("fold", fold)
 
 
 def softmax_fit(query: np.ndarray, relevant: np.ndarray, x: np.ndarray, epochs: int, rate: float, decay: float) -> np.ndarray:
-    """Weights in the features' own units that give relevant results the most of their query's softmax."""
+    """Weights in the features' own units that give relevant results the most of their query's softmax: the fit of one set that fits in memory."""
     order = np.argsort(query, kind="stable")
     query, relevant, x = query[order], relevant[order], x[order]
     heads = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])

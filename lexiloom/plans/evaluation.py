@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import evals as E
 from lexiloom.plans import search_ranking as P
+from lexiloom.sources.tables import kept
 from lexiloom.sources.tables import read_table as table
 
 a_list, b_list = P.top_list, lambda s, d: P.top_list(s, d, dims=16)
@@ -84,16 +85,17 @@ def gate_against_run(s, d):
     return E.regressions(now, before, "want", "mrr", 0.05)
 
 
-def fitted(s, d):
-    """Share of queries whose most relevant result leads, before and after the reranker's fit on four of five folds, on the fifth."""
+def listed(s, d):
+    """Results with their features and whether they are relevant."""
     own = P.labels(s, d)
     rows = b_list(s, d).join(own, "id").join(own.toDF("query_id", "want"), "query_id").join(a_list(s, d).select("query_id", "id", F.col("score").alias("full")), ["query_id", "id"], "left").fillna(0.0, ["full"])
-    rows = rows.withColumn("relevant", F.col("label") == F.col("want")).withColumn("inverse", 1 / F.col("place"))
-    fold = E.folds(F.col("query_id"))
-    weights = E.fit_reranker(rows.filter(fold > 0), ["score", "full", "inverse"])
-    learned = sum((F.col(f) * w for f, w in weights.items()), F.lit(0.0))
-    again = rows.filter(fold == 0).withColumn("place", F.row_number().over(E.Window.partitionBy("query_id").orderBy(F.desc(learned), "id")))
-    return E.recall_mrr(E.first_relevant(again)).select("n", "r1", "mrr")
+    return rows.withColumn("relevant", F.col("label") == F.col("want")).withColumn("inverse", 1 / F.col("place"))
+
+
+def fitted(s, d):
+    """Share of queries whose most relevant result leads, for each fold by weights learned from the other four."""
+    rows = kept(listed(s, d), "listed")
+    return E.recall_mrr(E.held_out(rows, E.fit_reranker(rows, ["score", "full", "inverse"])), "fold").select("fold", "n", "r1", "mrr")
 
 
 QUERIES = {
