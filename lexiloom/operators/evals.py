@@ -26,6 +26,22 @@ def recall_mrr(judged: DataFrame, *by: str) -> DataFrame:
     return judged.groupBy(*by).agg(F.count("*").alias("n"), at(1), at(5), at(10), mrr)
 
 
+def ablations(rows: DataFrame, orders: dict[str, list[Column]], *by: str) -> DataFrame:
+    """variant, the columns `by` (null: over all) and the metrics of recall_mrr(), for each variant's order of the same results.
+
+    rows: query_id, relevant, the columns `by` of a query, and what the orders read.
+    Results meet once: all variants rank them in windows over one partitioning, and
+    one aggregation gives the first relevant place of each.
+    """
+    ranked = rows.select("query_id", "relevant", *by, *[F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias(f"place_{i}") for i, order in enumerate(orders.values())])
+    best = [F.struct(F.lit(name).alias("variant"), F.coalesce(F.min(F.when(F.col("relevant"), F.col(f"place_{i}"))), F.lit(0)).alias("first")) for i, name in enumerate(orders)]
+    firsts = ranked.groupBy("query_id", *by).agg(F.array(*best).alias("v")).select(*by, F.explode("v").alias("v")).select(*by, "v.*")
+    sets = [[F.col("variant"), *map(F.col, by)], [F.col("variant")]] if by else [[F.col("variant")]]
+    at = lambda k: F.round(F.avg(F.col("first").between(1, k).cast("double")), 6).alias(f"r{k}")
+    mrr = F.round(F.avg(F.when(F.col("first").between(1, 10), 1 / F.col("first")).otherwise(0.0)), 6).alias("mrr")
+    return firsts.groupingSets(sets, "variant", *by).agg(F.count("*").alias("n"), at(1), at(5), at(10), mrr)
+
+
 def macro(summary: DataFrame, columns: list[str]) -> DataFrame:
     return summary.agg(F.count("*").alias("groups"), *[F.round(F.avg(c), 6).alias(c) for c in columns])
 

@@ -98,6 +98,39 @@ def fitted(s, d):
     return E.recall_mrr(E.held_out(rows, E.fit_reranker(rows, ["score", "full", "inverse"])), "fold").select("fold", "n", "r1", "mrr")
 
 
+def candidates(s, d):
+    """The results of both lists, met once, with the scores and places of each, and a popularity."""
+    own, pair = P.labels(s, d), ["query_id", "id"]
+    text = a_list(s, d).select(*pair, F.col("score").alias("text"), F.col("place").alias("text_place"))
+    glyph = b_list(s, d).select(*pair, F.col("score").alias("glyph"), F.col("place").alias("glyph_place"))
+    rows = text.join(glyph, pair, "full").join(own, "id").join(own.toDF("query_id", "want"), "query_id")
+    half = F.when(F.col("query_id") % 100 == 0, "even").otherwise("odd")
+    return rows.select("*", (F.col("label") == F.col("want")).alias("relevant"), (F.col("id") * 37 % 101).alias("popularity"), half.alias("half"))
+
+
+def variants():
+    """The orders to compare: as shipped, without the term of the second list, and by places alone."""
+    score = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 2)
+    popular = [F.desc("popularity"), F.col("id")]
+    part = lambda c: F.coalesce(1.0 / (60 + F.col(c)), F.lit(0.0))
+    return {"shipped": [F.desc(score(F.greatest("text", "glyph"))), *popular], "no-glyph": [F.desc(score(F.col("text"))), *popular], "rrf": [F.desc(F.round(part("text_place") + part("glyph_place"), 9)), F.col("id")]}
+
+
+VARIANTS_SQL = {
+    "shipped": "round(coalesce(greatest(a.score, b.score), 0), 2) DESC, id * 37 % 101 DESC, id",
+    "no-glyph": "round(coalesce(a.score, 0), 2) DESC, id * 37 % 101 DESC, id",
+    "rrf": "round(coalesce(1e0 / (60 + a.place), 0) + coalesce(1e0 / (60 + b.place), 0), 9) DESC, id",
+}
+
+
+def variants_sql() -> str:
+    """Each variant ranked by itself."""
+    one = "SELECT '{v}' AS variant, query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {o}) AS place FROM a FULL JOIN b USING (query_id, id)"
+    every = " UNION ALL ".join(one.format(v=v, o=o) for v, o in VARIANTS_SQL.items())
+    firsts = "SELECT variant, query_id, CASE WHEN query_id % 100 = 0 THEN 'even' ELSE 'odd' END AS half, coalesce(min(place) FILTER (WHERE r.label = w.label), 0) AS first FROM v JOIN e r USING (id) JOIN e w ON w.id = query_id GROUP BY 1, 2"
+    return CTES + f", v AS ({every}), f AS ({firsts}) SELECT variant, half, {P.METRICS} FROM f GROUP BY GROUPING SETS ((variant, half), (variant))"
+
+
 QUERIES = {
     "rank_with_folding": (ranked_folded, CTES + f", ans AS (SELECT DISTINCT w.id AS query_id, r.id // 10 AS k FROM e w JOIN e r USING (label) WHERE w.id % {P.EVERY} = 0 AND r.id % 3 = 0) SELECT query_id, CAST(coalesce(min(place) FILTER (WHERE (query_id, id // 10) IN (SELECT (query_id, k) FROM ans)), 0) AS BIGINT) AS rank FROM a GROUP BY 1"),
     "semantic_calibration": (calibrated, CTES + ", " + FIRST.format(x="a") + ", j AS (SELECT score, first = 1 AS hit FROM f_a JOIN a USING (query_id) WHERE place = 1), l AS (SELECT list(score ORDER BY score) FILTER (WHERE hit) AS h, list(score ORDER BY score) FILTER (WHERE NOT hit) AS m FROM j), q AS (SELECT floor(round(h[CAST(least(len(h), floor(0.5e0 * len(h)) + 1) AS INT)], 9) * 100 + 0.5e0) / 100 AS c, floor(round(m[CAST(least(len(m), floor(0.25e0 * len(m)) + 1) AS INT)], 9) * 100 + 0.5e0) / 100 AS f FROM l) SELECT CASE WHEN c IS NULL THEN 1e0 ELSE floor(round(least(coalesce(f, c - 0.15e0), c - 0.05e0), 9) * 100 + 0.5e0) / 100 END AS floor, coalesce(c, 1.05e0) AS ceiling FROM q"),
@@ -115,4 +148,5 @@ QUERIES = {
     "even_chunks": (chunked, "SELECT p_brand, CAST(floor(n / ceil(total / ceil(total / 7e0))) AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n FROM (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n, count(*) OVER (PARTITION BY p_brand) AS total FROM part) GROUP BY 1, 2"),
     "batch_integrity": (integrity, "SELECT p_partkey, CASE p_partkey % 10 WHEN 3 THEN 'missing' WHEN 7 THEN 'missing' ELSE 'duplicated' END AS problem FROM part WHERE p_partkey % 10 IN (3, 5, 7) UNION ALL SELECT p_partkey + 10000000, 'unexpected' FROM part WHERE p_partkey % 10 = 7"),
     "reranker_fit": (fitted, None),
+    "ranking_ablations": (lambda s, d: E.ablations(candidates(s, d), variants(), "half"), variants_sql()),
 }

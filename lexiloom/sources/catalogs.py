@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ PACK_FORMAT, PACK_VERSION = "lexicon-pack", 1
 PHRASES = ["label", "shortcode", "keyword", "alias", "typo", "low"]
 PACK = "format string, formatVersion int, locale string, part string, groups array<string>, popularity array<int>, rows array<struct<glyph:string,item:string,group:int,version:double,skins:int,label:string,shortcode:string,keyword:string,alias:string,typo:string,low:string>>"
 MAGIC, PACK_BYTES, CORE_ALIASES = b"VEC1", 200_000, 16
+#: Fixed value: asks zlib for gzip's format with the largest window.
+GZIP_WINDOW = 31
 #: Most splits of text files whose first line numbers are broadcast.
 SPLITS = 65_536
 
@@ -186,21 +189,35 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fitted_aliases(rows: DataFrame, budget: int = PACK_BYTES, most: int = CORE_ALIASES) -> DataFrame:
-    """locale, aliases, bytes: the most aliases an item with which a locale's pack, packed, keeps to the budget.
+    """locale, aliases, bytes: the most aliases an item with which a locale's pack, packed, keeps to the budget; none an item if no number does.
 
-    rows: locale, item, head (the row without aliases), aliases (array). A pack is one download of a few MB by its format.
+    rows: locale, item, head (the row without aliases), aliases (array). Each
+    number of aliases is a stream of its own, sorted by Spark and packed as it
+    comes, so that no task holds a pack: what one keeps is the state of a compressor.
     """
+    line = F.concat("head", F.lit("|"), F.array_join(F.slice("aliases", 1, F.col("n")), "|"))
+    each = rows.select("locale", "item", "head", "aliases", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("n")).select("locale", "n", "item", line.alias("line"))
 
-    def fit(pack: pd.DataFrame) -> pd.DataFrame:
-        pack = pack.sort_values("item")
-        for n in range(most, -1, -1):
-            text = "\n".join(f"{h}|{'|'.join(list(a)[:n])}" for h, a in zip(pack["head"], pack["aliases"], strict=True))
-            size = len(gzip.compress(text.encode(), 9, mtime=0))
-            if size <= budget:
-                break
-        return pd.DataFrame({"locale": [pack["locale"].iloc[0]], "aliases": [n], "bytes": [size]})
-
-    return rows.groupBy("locale").applyInPandas(fit, "locale string, aliases int, bytes long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, packer, size = None, None, 0
+        done = lambda: pd.DataFrame({"locale": [key[0]], "n": [key[1]], "bytes": [size + len(packer.flush())]})
+        for batch in batches:
+            for (locale, n), part in batch.groupby(["locale", "n"], sort=False):
+                text = "\n".join(part["line"])
+                if key == (locale, n):
+                    text = "\n" + text
+                else:
+                    if key:
+                        yield done()
+                    key, packer, size = (locale, n), zlib.compressobj(9, zlib.DEFLATED, GZIP_WINDOW), 0
+                size += len(packer.compress(text.encode()))
+        if key:
+            yield done()
+
+    sizes = each.filter("locale is not null").repartition("locale", "n").sortWithinPartitions("locale", "n", "item", "line").mapInPandas(run, "locale string, n int, bytes long")
+    own = F.struct("n", "bytes")
+    best = F.coalesce(F.max(F.when(F.col("bytes") <= budget, own)), F.max(F.when(F.col("n") == 0, own)))
+    return sizes.groupBy("locale").agg(best.alias("b")).select("locale", F.col("b.n").alias("aliases"), "b.bytes")
 
 
 def content_files(entries: DataFrame, key: str, value: str) -> DataFrame:

@@ -58,3 +58,24 @@ def test_exclusions_across_splits(spark, tmp_path, small_splits):
 def test_keys_that_stand_twice(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), (None, 4), (None, 5)], "key string, n int")
     assert {(r.n, r.twice) for r in K.repeated(rows, "key").collect()} == {(1, True), (2, False), (3, True), (4, False), (5, False)}
+
+
+def test_fitted_packs_equal_whole_ones(spark):
+    """Against packing each locale's whole text for every number of aliases; batches end amid a pack."""
+    rng = random.Random(2)
+    rows = [(loc, i, f"item {i}", ["".join(rng.choices("abcdefgh", k=6)) for _ in range(rng.randint(0, 16))]) for loc, n in (("en", 400), ("de", 90), ("x", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "locale string, item int, head string, aliases array<string>").repartition(3)
+
+    def plain(loc, budget):
+        for n in range(16, -1, -1):
+            text = "\n".join(f"{h}|{'|'.join(a[:n])}" for lo, _, h, a in rows if lo == loc)
+            if (size := len(gzip.compress(text.encode(), 9, mtime=0))) <= budget or n == 0:
+                return n, size
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for budget in (10, 900, 4000, 1 << 20):
+            got = {r.locale: (r.aliases, r.bytes) for r in K.fitted_aliases(df, budget).collect()}
+            assert got == {loc: plain(loc, budget) for loc in ("en", "de", "x")}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
