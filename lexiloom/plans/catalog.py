@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexiloom.plans import building, changed_search, editorial, evaluation, locale_search, placement, search_analytics, search_ranking
+from lexiloom.plans import building, changed_search, editorial, evaluation, locale_search, placement, readers, search_analytics, search_ranking
 
 FLAGSHIP = "trends_daily"
-ALL = search_analytics.QUERIES | search_ranking.QUERIES | locale_search.QUERIES | evaluation.QUERIES | editorial.QUERIES | building.QUERIES | changed_search.QUERIES | placement.QUERIES
+ALL = search_analytics.QUERIES | search_ranking.QUERIES | locale_search.QUERIES | evaluation.QUERIES | editorial.QUERIES | building.QUERIES | changed_search.QUERIES | placement.QUERIES | readers.QUERIES
 
 
 def queries() -> dict:
