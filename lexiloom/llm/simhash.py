@@ -13,12 +13,18 @@ fingerprints of such texts differ by up to some 20 bits, too many for tiles, so
 candidates are dealt by bands of MinHash values, passed on if their fingerprints
 lie within a wide radius, and each pair is confirmed by its exact similarity.
 Members of a bucket first meet its first and a few others, which is enough to
-join copies. In buckets that then still hold members of several components, all
-pairs of different components are compared in tiles by numpy, and those that the
-bounds allow are confirmed too: no link is lost to the size of a bucket, and no
-group of copies is turned into its pairs. The bounds lose nothing: sets of a
-similarity of 0.8 differ in a ninth of their summed sizes at most, and so do
-their sizes and the parity bits of their shingles' hashes.
+join copies. Buckets that then still hold members of several components are
+compared in tiles by numpy, in rounds: of each two components a comparison hands
+on the closest few pairs that the bounds allow, these are confirmed, and what
+they join is one component in the next round, which hands on more, and only of
+the buckets that had more. The rounds end when no comparison held anything back,
+so no link is lost to the size of a bucket, and two groups that are joined cost
+a few pairs, not all of theirs. The bounds lose nothing: sets of a similarity of
+0.8 differ in a ninth of their summed sizes at most, and so do their sizes and
+the parity bits of their shingles' hashes. The wide radius can lose a link: the
+fingerprints of two large sets of a similarity of 0.8 differ by 10 bits on
+average with a deviation of 3, so by more than 24 about once in 100,000 such
+pairs; small sets vary more and are let through whatever their fingerprints.
 
 Defined results: a null text counts as empty; a text of one or two words has
 one shingle, a text without words the fingerprint zero, linked like any other;
@@ -50,6 +56,10 @@ FINGERPRINTS_A_SPLIT = 4_000_000
 BLOCK = 2048
 #: The rule of keep_one: words of a shingle, the least similarity of near copies, and the bits by which their fingerprints may differ.
 STAGE_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 24
+#: Two sets with fewer members than this together may differ by any number of bits.
+SMALL_SETS = 40
+#: The pairs of two components that one comparison hands on in the first round, and how many times as many in each further one.
+CLOSEST, FURTHER = 4, 64
 #: Bands of MinHash values and values a band (a pair at the least similarity shares a band with probability 0.9996), the members before it that a member of a bucket meets at first, besides the first, members of a bucket that one task holds, and the members by members that it compares at a time.
 BANDS, VALUES, NEIGHBOURS, MEMBERS_A_SPLIT, MEMBERS_AT_ONCE = 20, 5, 4, 16_384, 1024
 #: Bits of the parities of a set's hashes.
@@ -224,51 +234,63 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_batches(docs, "doc_id long, node long, fp long, bands array<long>, size long, parities binary", work)
 
 
+def _within(differing: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether fingerprints that differ in these bits lie within the wide radius, for sets of a summed size."""
+    return (np.bitwise_count(differing.view(np.uint64)) <= WIDE) | (total < SMALL_SETS)
+
+
 def candidate_pairs(distinct: DataFrame) -> DataFrame:
     """Pairs a, b of nodes that share a band and whose fingerprints lie within the wide radius; a pair can come once a band.
 
-    distinct: node, fp, bands, one row a node.
+    distinct: node, fp, bands, size, one row a node.
     A member of a bucket meets the bucket's first and the few before itself, so
     a large group costs no more than its size.
     """
-    dealt = distinct.select(F.explode("bands").alias("band"), "node", "fp").repartition("band").sortWithinPartitions("band", "node")
+    dealt = distinct.select(F.explode("bands").alias("band"), "node", "fp", "size").repartition("band").sortWithinPartitions("band", "node")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come sorted: the last bucket's first and last members are carried to the next batch."""
-        carried = [np.empty(0, np.int64)] * 3
+        carried = [np.empty(0, np.int64)] * 4
         for batch in batches:
             if not batch.num_rows:
                 continue
             old = len(carried[0])
-            band, node, fp = (np.concatenate([c, batch.column(k).to_numpy(zero_copy_only=False)]) for k, c in enumerate(carried))
+            band, node, fp, size = (np.concatenate([c, batch.column(k).to_numpy(zero_copy_only=False)]) for k, c in enumerate(carried))
             at = np.arange(len(band))
             first = np.maximum.accumulate(np.where(np.diff(band, prepend=~band[0]) != 0, at, 0))
             found = []
             for met in (first, *(np.maximum(at - back, first) for back in range(1, NEIGHBOURS + 1))):
-                use = (met < at) & (at >= old) & (np.bitwise_count((fp ^ fp[met]).view(np.uint64)) <= WIDE)
+                use = (met < at) & (at >= old) & _within(fp ^ fp[met], size + size[met])
                 found.append((node[met[use]], node[use]))
             keep = np.unique([first[-1], *range(max(first[-1], len(at) - NEIGHBOURS), len(at))])
-            carried = [band[keep], node[keep], fp[keep]]
+            carried = [band[keep], node[keep], fp[keep], size[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found, strict=True)], ["a", "b"])
 
     return dealt.mapInArrow(meet, "a long, b long")
 
 
-def remaining_pairs(distinct: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs a, b of nodes of different components (labels: node, component) that share a band, lie within the wide radius and the bounds, and may have been passed over by candidate_pairs() for the size of their bucket.
-
-    A bucket with many members is dealt to tasks by pairs of its splits.
-    """
+def large_buckets(distinct: DataFrame) -> DataFrame:
+    """band and node of the members of the buckets in which candidate_pairs() passes pairs over."""
     banded = distinct.select("node", F.explode("bands").alias("band"))
     large = written(banded.groupBy("band").count().filter(F.col("count") > NEIGHBOURS + 2).select("band"), "large")
-    members = join_unique(banded, large, "band", hot=hot_keys(banded, "band")).join(labels, "node", "left")
-    members = written(members.select("band", "node", F.coalesce("component", "node").alias("component")), "members")
-    mixed = members.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return written(join_unique(banded, large, "band", hot=hot_keys(banded, "band")), "members")
+
+
+def remaining_pairs(distinct: DataFrame, members: DataFrame, labels: DataFrame, closest: int) -> DataFrame:
+    """Pairs a, b of nodes of different components (labels: node, component) that share a bucket (members: band, node) and lie within the wide radius and the bounds.
+
+    A comparison of two blocks of members hands on the closest few of the pairs
+    that two components have in it; where there were more, their rows have the
+    bucket's band, else null. A bucket with many members is dealt to tasks by
+    pairs of its splits.
+    """
+    named = written(members.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "named")
+    mixed = named.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     mixed = written(mixed.select("band", (1 + F.floor(F.col("n") / MEMBERS_A_SPLIT)).cast("int").alias("splits")), "mixed")
-    rows = join_unique(members, mixed, "band").join(distinct.select("node", "fp", "size", "parities"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("splits")).cast("int"))
+    rows = join_unique(named, mixed, "band").join(distinct.select("node", "fp", "size", "parities"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("splits")).cast("int"))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
     tile = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))
-    placed = met.select(tile.alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("visit"), "node", "fp", "component", "size", "parities", (F.col("own") == F.col("other")).alias("within"))
+    placed = met.select(tile.alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("visit"), "node", "fp", "component", "size", "parities", (F.col("own") == F.col("other")).alias("within"), "band")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come sorted: a tile's first split is kept, then the other passes by; a split alone meets itself."""
@@ -276,7 +298,7 @@ def remaining_pairs(distinct: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tile, visit, node, fp, component, size, within = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 5, 7))
+            tile, visit, node, fp, component, size, within, band = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 5, 7, 8))
             parities = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
             cuts = np.flatnonzero((np.diff(tile) != 0) | (np.diff(visit) != 0)) + 1
             for i, j in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
@@ -287,21 +309,33 @@ def remaining_pairs(distinct: DataFrame, labels: DataFrame) -> DataFrame:
                     kept.append(some)
                 if visit[i] or within[i]:
                     for own in kept:
-                        yield from _apart(own, some)
+                        yield from _apart(own, some, int(band[i]), closest)
 
-    return placed.repartition("tile").sortWithinPartitions("tile", "visit").mapInArrow(compare, "a long, b long")
+    # by size, so that most blocks can't hold similar sets of each other's
+    return placed.repartition("tile").sortWithinPartitions("tile", "visit", "size").mapInArrow(compare, "a long, b long, band long")
 
 
-def _apart(own: list[np.ndarray], other: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two sets of rows (node, fp, component, size, parities) of different components that lie within the wide radius and can be similar enough by their sizes and parities."""
+def _apart(own: list[np.ndarray], other: list[np.ndarray], band: int, closest: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of two sets of rows (node, fp, component, size, parities) of different components that lie within the wide radius and can be similar enough by their sizes and parities; the closest few of each two components and block."""
     for i in range(0, len(own[0]), MEMBERS_AT_ONCE):
         for j in range(0, len(other[0]), MEMBERS_AT_ONCE):
             (node, fp, component, size, parities), (node2, fp2, component2, size2, parities2) = ([c[at : at + MEMBERS_AT_ONCE] for c in side] for side, at in ((own, i), (other, j)))
-            near = (component[:, None] != component2) & (np.bitwise_count((fp[:, None] ^ fp2).view(np.uint64)) <= WIDE)
-            x, y = np.nonzero(near & _possible(np.abs(size[:, None] - size2), size[:, None] + size2))
-            keep = _possible(np.bitwise_count(parities[x] ^ parities2[y]).sum(axis=1, dtype=np.int64), size[x] + size2[y])
+            near = (component[:, None] != component2) & _possible(np.abs(size[:, None] - size2), size[:, None] + size2)
+            if near.any():
+                near &= _within(fp[:, None] ^ fp2, size[:, None] + size2)
+            x, y = np.nonzero(near)
+            odd = np.bitwise_count(parities[x] ^ parities2[y]).sum(axis=1, dtype=np.int64)
+            keep = _possible(odd, size[x] + size2[y])
+            x, y, odd = x[keep], y[keep], odd[keep]
+            low, high = np.minimum(component[x], component2[y]), np.maximum(component[x], component2[y])
+            order = np.lexsort((odd / np.maximum(size[x] + size2[y], 1), np.bitwise_count((fp[x] ^ fp2[y]).view(np.uint64)), high, low))
+            x, y, low, high = x[order], y[order], low[order], high[order]
+            starts = np.flatnonzero(np.append(True, (np.diff(low) != 0) | (np.diff(high) != 0))) if len(x) else np.empty(0, np.int64)
+            counts = np.diff(np.append(starts, len(x)))
+            keep = np.arange(len(x)) - np.repeat(starts, counts) < closest
             a, b = node[x[keep]], node2[y[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            more = np.repeat(counts > closest, counts)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), band), mask=~more)], ["a", "b", "band"])
 
 
 def _possible(differing: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -315,9 +349,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def confirmed(docs: DataFrame, distinct: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The pairs a, b of distinct (node, rep, fp, bands) whose exact similarity is high enough. Only texts of candidates are read again."""
-    pairs = written(candidates.distinct(), "pairs")
+def confirmed(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs a, b of nodes of distinct (node, rep) whose exact similarity is high enough. pairs is a written table; only their texts are read again."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = docs.join(distinct.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
@@ -335,15 +368,40 @@ def confirmed(docs: DataFrame, distinct: DataFrame, candidates: DataFrame) -> Da
     return written(map_batches(both, "a long, b long", confirm), "links")
 
 
-def similar_components(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """node and component of every node with a link. Links that candidate_pairs() passed over then join whole components."""
-    first = components(confirmed(docs, distinct, candidate_pairs(distinct)))
-    more = confirmed(docs, distinct, remaining_pairs(distinct, first))
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) where further links a, b between nodes join whole components."""
     for side in ("a", "b"):
-        more = more.join(first.toDF(side, f"of {side}"), side, "left").withColumn(side, F.coalesce(f"of {side}", side)).drop(f"of {side}")
-    joined = components(more.filter("a != b"))
-    of = first.unionByName(joined.select("node", F.col("node").alias("component"))).dropDuplicates(["node"])
-    return of.join(joined.toDF("component", "least"), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+        links = links.join(labels.toDF(side, f"of {side}"), side, "left").withColumn(side, F.coalesce(f"of {side}", side)).drop(f"of {side}")
+    joined = components(links.filter("a != b").select("a", "b"))
+    of = labels.unionByName(joined.select("node", F.col("node").alias("component"))).dropDuplicates(["node"])
+    return written(of.join(joined.toDF("component", "least"), "component", "left").select("node", F.coalesce("least", "component").alias("component")), "labels")
+
+
+def similar_components(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """node and component of every node with a link.
+
+    Links that candidate_pairs() passed over then join whole components, in
+    rounds, until no bucket has pairs of different components left untried. A
+    comparison of two blocks holds fewer than MEMBERS_AT_ONCE ** 2 pairs, so
+    four rounds are the most.
+    """
+    labels = components(confirmed(docs, distinct, written(candidate_pairs(distinct).distinct(), "pairs")))
+    members, tried, closest = large_buckets(distinct), None, CLOSEST
+    while True:
+        found = written(remaining_pairs(distinct, members, labels, closest), "closest")
+        pairs = found.select("a", "b").distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "untried")
+        links = confirmed(docs, distinct, pairs)
+        if not links.isEmpty():
+            labels = joined_components(labels, links)
+        more = found.filter("band IS NOT NULL").select("band").distinct()
+        if more.isEmpty():
+            return labels
+        members = written(join_unique(members, more, "band"), "members")
+        reps = distinct.join(members, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+        docs = written(docs.join(reps, "doc_id", "left_semi"), "texts")  # all that further rounds read
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        closest *= FURTHER
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -283,6 +283,68 @@ def test_keep_one_loses_no_link_of_a_large_bucket(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == expected
 
 
+def test_keep_one_joins_two_families_by_a_few_pairs(spark, monkeypatch):
+    """Two families of 1,000 near copies each, near the similarity of 0.8 but over it only across a few members: they are joined without confirming a pair of each two members."""
+    rng = np.random.default_rng(8)
+    base, far = [f"w{x}" for x in range(300)], [20, 60, 100, 140, 180, 220]
+    apart = [at for at in range(300) if min(abs(at - f) for f in far) > 9]
+    other = [f"far{at}" if at in far else word for at, word in enumerate(base)]
+    rows = []
+    for family in (base, other):
+        for i in range(1000):
+            changed = list(family)
+            at = rng.choice(apart) if i % 25 else rng.choice(far) + 1
+            changed[at] = f"odd{len(rows)}"
+            rows.append((len(rows), " ".join(changed)))
+    sets = [simhash.shingle_set(text) for _, text in rows]
+    bits = [np.frombuffer(simhash._parities(own), np.uint64) for own in sets]
+    sample = [(a, b) for a in range(0, 1000, 10) for b in range(1000, 2000, 10)]
+    allowed = [(a, b) for a, b in sample if simhash._possible(np.bitwise_count(bits[a] ^ bits[b]).sum(dtype=np.int64), np.array(len(sets[a]) + len(sets[b])))]
+    near = [p for p in allowed if simhash.similarity(sets[p[0]], sets[p[1]]) >= simhash.SIMILARITY]
+    assert len(allowed) > len(sample) // 2 and 0 < len(near) <= len(sample) // 20
+    confirmed, tried = simhash.confirmed, []
+
+    def counted(docs, distinct, pairs):
+        tried.append(pairs.count())
+        return confirmed(docs, distinct, pairs)
+
+    monkeypatch.setattr(simhash, "confirmed", counted)
+    assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    assert len(tried) > 1 and sum(tried[1:]) < 20_000, tried
+
+
+def test_rounds_try_every_pair_that_is_held_back(spark, monkeypatch):
+    """With one pair a round and block of two, rounds go on until the one pair that joins two groups is met, however far down the order it is."""
+    rng = np.random.default_rng(2)
+    nodes = np.arange(40)
+    prints = [int(x) for x in rng.integers(0, 2**20, 40)]
+    rows = [(int(n), p, 300, bytes(simhash.PARITIES // 8), [1]) for n, p in zip(nodes, prints, strict=True)]
+    distinct = spark.createDataFrame(rows, "node long, fp long, size long, parities binary, bands array<long>")
+    labels = spark.createDataFrame([(int(n), int(n) // 20 * 20) for n in nodes], "node long, component long")
+    members = simhash.large_buckets(distinct)
+    assert members.count() == 40
+    want = {(a, b) for a in range(20) for b in range(20, 40) if (prints[a] ^ prints[b]).bit_count() <= simhash.WIDE}
+    met = []
+    for closest in (1, 8, 64, 1024):
+        found = simhash.remaining_pairs(distinct, members, labels, closest).collect()
+        pairs = {(r.a, r.b) for r in found}
+        assert pairs <= want and all((r.band == 1) == (closest < len(want) * 2) for r in found)
+        met.append(pairs)
+    assert len(met[0]) == 1 and met[-1] == want and all(x < y for x, y in zip(met, met[1:], strict=False))
+
+
+def test_keep_one_keeps_small_sets_whatever_their_fingerprints(spark):
+    """Texts of eight words that share four of five shingles are near copies, although their fingerprints can differ by many bits."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 9)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:8]))]
+    bits = [(simhash._majority(simhash.shingle_set(rows[i][1])) ^ simhash._majority(simhash.shingle_set(rows[i + 1][1]))).bit_count() for i in range(0, 800, 2)]
+    assert max(bits) > 15
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == list(range(0, 800, 2))
+
+
 def test_bounds_of_similar_sets_lose_nothing():
     """Whatever is similar enough passes the bounds of sizes and parities."""
     rng = np.random.default_rng(3)
