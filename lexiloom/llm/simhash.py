@@ -59,7 +59,7 @@ STAGE_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 24
 #: Two sets with fewer members than this together may differ by any number of bits.
 SMALL_SETS = 40
 #: The pairs of two components that one comparison hands on in the first round, and how many times as many in each further one.
-CLOSEST, FURTHER = 4, 64
+CLOSEST, FURTHER = 4, 256
 #: Bands of MinHash values and values a band (a pair at the least similarity shares a band with probability 0.9996), the members before it that a member of a bucket meets at first, besides the first, members of a bucket that one task holds, and the members by members that it compares at a time.
 BANDS, VALUES, NEIGHBOURS, MEMBERS_A_SPLIT, MEMBERS_AT_ONCE = 20, 5, 4, 16_384, 1024
 #: Bits of the parities of a set's hashes.
