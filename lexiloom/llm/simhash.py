@@ -62,6 +62,8 @@ SMALL_SETS = 40
 CLOSEST, FURTHER = 4, 256
 #: Bands of MinHash values and values a band (a pair at the least similarity shares a band with probability 0.9996), the members before it that a member of a bucket meets at first, besides the first, members of a bucket that one task holds, and the members by members that it compares at a time.
 BANDS, VALUES, NEIGHBOURS, MEMBERS_A_SPLIT, MEMBERS_AT_ONCE = 20, 5, 4, 16_384, 1024
+#: Ids of documents that may be broadcast (16 MB); more are joined by a shuffle.
+IDS_AT_MOST = 1_000_000
 #: Bits of the parities of a set's hashes.
 PARITIES = 256
 #: A column of keep_one's own.
@@ -349,10 +351,16 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def texts_of(docs: DataFrame, distinct: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text) that stand for nodes of distinct (node, rep). Texts aren't shuffled unless there are many ids."""
+    reps = written(distinct.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "reps")
+    return docs.join(F.broadcast(reps) if reps.count() <= IDS_AT_MOST else reps, "doc_id", "left_semi")
+
+
 def confirmed(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs a, b of nodes of distinct (node, rep) whose exact similarity is high enough. pairs is a written table; only their texts are read again."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = docs.join(distinct.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    chosen = texts_of(docs, distinct, nodes)
 
     def collect(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
@@ -398,8 +406,7 @@ def similar_components(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         if more.isEmpty():
             return labels
         members = written(join_unique(members, more, "band"), "members")
-        reps = distinct.join(members, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        docs = written(docs.join(reps, "doc_id", "left_semi"), "texts")  # all that further rounds read
+        docs = written(texts_of(docs, distinct, members), "texts")  # all that further rounds read
         tried = pairs if tried is None else tried.unionByName(pairs)
         closest *= FURTHER
 

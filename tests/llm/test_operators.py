@@ -258,9 +258,11 @@ def test_keep_one_collapses_a_large_group(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_keep_one_loses_no_link_of_a_large_bucket(spark, monkeypatch):
+@pytest.mark.parametrize("ids", [1_000_000, 0])
+def test_keep_one_loses_no_link_of_a_large_bucket(spark, monkeypatch, ids):
     """Variants of one text that share buckets but are near copies of a few others only, against brute force, with buckets over several splits."""
     monkeypatch.setattr(simhash, "MEMBERS_A_SPLIT", 40)
+    monkeypatch.setattr(simhash, "IDS_AT_MOST", ids)
     rng = np.random.default_rng(11)
     base, rows = [f"w{x}" for x in range(200)], []
     for i in range(300):
