@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.analytics import rank
+from lexiloom.sources.tables import kept
 
 #: Owners of an alias that are kept; more are demoted, and beyond DROP_OVER left out.
 KEEP_OWNERS, DROP_OVER = 8, 20
@@ -100,22 +101,51 @@ def split_keys(entries: DataFrame, budget: int) -> DataFrame:
     its beginnings are: sums by prefix, taken at once, tell every split, and no
     level waits for the one above. Siblings, one a letter, share a window.
     """
+    heads = _heads(entries)
+    keys = _keys(_held(heads), budget)
+    return heads.select("q", "shard_key").join(keys.select("shard_key").hint("merge"), "shard_key").groupBy("q").agg(F.max_by("shard_key", F.length("shard_key")).alias("shard_key"))
+
+
+def split_prefixes(entries: DataFrame, budget: int) -> DataFrame:
+    """shard_key, entries, bytes: the shards that split_keys() deals the entries to.
+
+    A key's beginnings that part from their parent are keys too, so a shard holds
+    what begins with its key, less what begins with its longer keys; no entry is
+    met with its key.
+    """
+    keys = kept(_keys(_held(_heads(entries)), budget), "keys")
+    away = keys.groupBy("parent").agg(F.sum("n").alias("n_away"), F.sum("held").alias("held_away")).withColumnRenamed("parent", "shard_key")
+    rest = keys.join(away.hint("merge"), "shard_key", "left").fillna(0, ["n_away", "held_away"])
+    return rest.select("shard_key", (F.col("n") - F.col("n_away")).alias("entries"), (F.col("held") - F.col("held_away")).alias("bytes")).filter("entries > 0")
+
+
+def _longer(key: Column) -> Column:
+    """The key that a key is longer than by a letter."""
+    return F.left(key, F.length(key) - 1)
+
+
+def _heads(entries: DataFrame) -> DataFrame:
+    """q, bytes, shard_key: each entry by all its beginnings that a file name has room for."""
     prefixes = F.transform(F.sequence(F.lit(1), F.length("q")), lambda n: F.left(F.col("q"), n))
-    longer = lambda k: F.left(k, F.length(k) - 1)
-    open_ = F.filter(prefixes, lambda k: (F.length(k) == 1) | (encoded_length(longer(k)) + NAME_REST <= MAX_ENCODED_KEY))
-    heads = entries.filter("q <> ''").select("q", "bytes", F.explode(open_).alias("shard_key"))
-    held = heads.groupBy("shard_key").agg(F.sum("bytes").alias("held"))
+    open_ = F.filter(prefixes, lambda k: (F.length(k) == 1) | (encoded_length(_longer(k)) + NAME_REST <= MAX_ENCODED_KEY))
+    return entries.filter("q <> ''").select("q", "bytes", F.explode(open_).alias("shard_key"))
+
+
+def _held(heads: DataFrame) -> DataFrame:
+    """shard_key, held, n: the bytes and the number of entries of each beginning, written once."""
+    return kept(heads.groupBy("shard_key").agg(F.sum("bytes").alias("held"), F.count("*").alias("n")), "held")
+
+
+def _keys(held: DataFrame, budget: int) -> DataFrame:
+    """shard_key, parent (null for a first letter), held, n: the beginnings that get a shard.
+
+    Joins here are merged, never broadcast: the size of a compressed file says little of the rows that come of it.
+    """
     parents = held.filter(F.col("held") > budget).select(F.col("shard_key").alias("parent"), F.col("held").alias("whole"))
-    children = held.filter(F.length("shard_key") > 1).withColumn("parent", longer(F.col("shard_key"))).join(parents, "parent")
+    children = held.filter(F.length("shard_key") > 1).withColumn("parent", _longer(F.col("shard_key"))).join(parents.hint("merge"), "parent")
     largest = Window.partitionBy("parent").orderBy(F.desc("held"), F.encode("shard_key", "UTF-16BE")).rowsBetween(Window.unboundedPreceding, -1)
     moved = children.withColumn("gone", F.coalesce(F.sum("held").over(largest), F.lit(0))).filter(F.col("whole") - F.col("gone") > budget)
-    keys = held.filter(F.length("shard_key") == 1).select("shard_key").unionByName(moved.select("shard_key"))
-    return heads.select("q", "shard_key").join(keys, "shard_key").groupBy("q").agg(F.max_by("shard_key", F.length("shard_key")).alias("shard_key"))
-
-
-def split_prefixes(entries: DataFrame, budget: int) -> DataFrame:
-    """shard_key, entries, bytes: the shards that split_keys() deals the entries to."""
-    return entries.join(split_keys(entries, budget), "q").groupBy("shard_key").agg(F.count("*").alias("entries"), F.sum("bytes").alias("bytes"))
+    return held.filter(F.length("shard_key") == 1).select("shard_key", F.lit(None).cast("string").alias("parent"), "held", "n").unionByName(moved.select("shard_key", "parent", "held", "n"))
 
 
 #: The order of alias categories, how many may lead, and documents for embedding.
