@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.analytics import rank
+from lexiloom.sources.tables import kept
 
 #: The order of kinds, limits of a record, matches of a query, and the rule of a trigger being typed.
 KINDS = ("seasonal", "event", "regional", "meme", "general")
@@ -91,15 +92,43 @@ def matched_in_text(texts: DataFrame, entries: DataFrame, most: int = 6, limit:
     """matched() for whole texts: triggers that stand in them as whole words. texts: query_id, toks, region, day. most: words of the longest trigger."""
     from lexiloom.functions.text import windows
 
-    runs = texts.select("query_id", "region", "day", F.explode(F.array_distinct(windows(F.col("toks"), most))).alias("trigger"))
-    hits = runs.join(entries.select("*", F.explode("triggers").alias("trigger")), "trigger").filter(in_scope(F.col("region"), F.col("day")))
-    return _items(hits.withColumn("quality", F.lit(1.0)), limit)
+    each = entries.select("*", F.explode("triggers").alias("trigger"))
+    scope = F.to_json(F.struct("region", "day")).alias("scope")
+    windowed = texts.select("query_id", "region", "day", scope, F.explode(F.array_distinct(windows(F.col("toks"), most))).alias("trigger"))
+    runs = kept(windowed.join(each.select("trigger").distinct(), "trigger", "left_semi"), "runs")
+    # Each trigger's items once a scope, whatever the number of texts that hold it.
+    hits = runs.select("scope", "region", "day", "trigger").distinct().join(each, "trigger").filter(in_scope(F.col("region"), F.col("day")))
+    items = hits.select("scope", "trigger", F.col("id").alias("entry"), F.col("place").alias("entry_place"), F.posexplode("items").alias("at", "i"))
+    scored = items.select("scope", "trigger", F.col("i.id").alias("item"), "entry", "entry_place", "at", _score(F.col("i.weight")).alias("score")).filter("score > 0")
+    best = F.min_by(F.struct("score", "entry", "entry_place", "at"), F.struct(-F.col("score"), "entry_place", "at")).alias("r")
+    own = kept(scored.groupBy("scope", "trigger", "item").agg(best, F.min(F.struct("entry_place", "at")).alias("born")), "trigger-items")
+    # Texts of equal scope and triggers have equal matches. An item that only one of the
+    # triggers has can be among the first only if it is among that trigger's first, as
+    # those before it stay before it; items of several triggers are all looked at.
+    alike = runs.groupBy("query_id", "scope").agg(F.array_sort(F.collect_set("trigger")).alias("all"))
+    kinds = alike.select("scope", "all").distinct()
+    pairs = kinds.select("scope", "all", F.explode("all").alias("trigger")).select("*", F.explode(F.filter("all", lambda x: x > F.col("trigger"))).alias("other"))
+    firsts = own.withColumn("n", rank(Window.partitionBy("scope", "trigger").orderBy(-F.col("r.score"), "born"))).filter(F.col("n") <= limit).select("scope", "trigger", "item")
+    asked = kinds.select("scope", "all", F.explode("all").alias("trigger"))
+    left, right = own.select("scope", "trigger", "item"), own.select("scope", F.col("trigger").alias("other"), "item")
+    shared = left.join(right, ["scope", "item"]).filter(F.col("trigger") < F.col("other"))
+    found = asked.join(firsts, ["scope", "trigger"]).select("scope", "all", "item").unionByName(pairs.join(shared, ["scope", "trigger", "other"]).select("scope", "all", "item")).distinct()
+    rows = found.withColumn("trigger", F.explode("all")).join(own, ["scope", "trigger", "item"])
+    order = F.struct(-F.col("r.score"), "r.entry_place", "r.at", -F.length("trigger"), "trigger")
+    one = rows.groupBy("scope", "all", "item").agg(F.min_by(F.struct("r.score", "r.entry", F.col("trigger").alias("match")), order).alias("r"), F.min("born").alias("born"))
+    placed = one.withColumn("place", rank(Window.partitionBy("scope", "all").orderBy(F.desc("r.score"), "born"))).filter(F.col("place") <= limit)
+    return alike.join(placed, ["scope", "all"]).select("query_id", "place", "item", "r.score", "r.entry", "r.match")
+
+
+def _score(strength: Column) -> Column:
+    """In thousandths, halves up."""
+    return F.floor(F.round(strength, 9) * 1000 + 0.5) / 1000
 
 
 def _items(hits: DataFrame, limit: int) -> DataFrame:
     best = hits.groupBy("query_id", F.col("id").alias("entry")).agg(F.min_by(F.struct("trigger", "quality", "items", "place"), F.struct(-F.col("quality"), -F.length("trigger"), "trigger")).alias("r")).select("query_id", "entry", "r.*")
     items = best.select("query_id", "entry", "quality", F.col("place").alias("entry_place"), F.col("trigger").alias("match"), F.posexplode("items").alias("at", "i"))
-    scored = items.select("query_id", F.col("i.id").alias("item"), "entry", "match", "entry_place", "at", (F.floor(F.round(F.col("i.weight") * F.col("quality"), 9) * 1000 + 0.5) / 1000).alias("score")).filter("score > 0")
+    scored = items.select("query_id", F.col("i.id").alias("item"), "entry", "match", "entry_place", "at", _score(F.col("i.weight") * F.col("quality")).alias("score")).filter("score > 0")
     one = scored.groupBy("query_id", "item").agg(F.min_by(F.struct("score", "entry", "match", "entry_place", "at"), F.struct(-F.col("score"), "entry_place", "at")).alias("r"), F.min(F.struct("entry_place", "at")).alias("born")).select("query_id", "item", "r.*", "born")
     placed = one.withColumn("place", rank(Window.partitionBy("query_id").orderBy(F.desc("score"), "born"))).filter(F.col("place") <= limit)
     return placed.select("query_id", "place", "item", "score", "entry", "match")
