@@ -96,6 +96,22 @@ def ceilings(answers: DataFrame, k: int = 4) -> DataFrame:
     return answers.groupBy("query_id").agg((F.least(F.lit(k), F.count_distinct("answer")) / k).alias("ceiling"))
 
 
+def class_ceilings(queries: DataFrame, answers: DataFrame, by: str, k: int = 4) -> DataFrame:
+    """ceilings() where a query (query_id, by) has the answers (answer, by) of its class: they are counted by class, not by query."""
+    sizes = answers.groupBy(by).agg((F.least(F.lit(k), F.count_distinct("answer")) / k).alias("ceiling"))
+    return queries.join(sizes, by).select("query_id", "ceiling")
+
+
+def class_answers(rows: DataFrame, queries: DataFrame, answers: DataFrame, by: str, fold: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """query_id, answer: of the answers (answer, by) of a query's class (query_id, by), one for each key that a result (query_id, id) folds to.
+
+    rank_of() needs no others, and the pairs of all queries and answers of a class, which grow with its square, are never made.
+    """
+    keys = rows.select("query_id", fold(F.col("id")).alias("key")).distinct().join(queries.select("query_id", by).distinct(), "query_id")
+    held = answers.groupBy(by, fold(F.col("answer")).alias("key")).agg(F.min("answer").alias("answer"))
+    return keys.join(held, [by, "key"]).select("query_id", "answer")
+
+
 def rank_of(rows: DataFrame, answers: DataFrame, fold: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """query_id, rank of the first acceptable id, 0 without one; fold maps both sides first. rows: query_id, place, id; answers: query_id, answer."""
     wanted = answers.select("query_id", fold(F.col("answer")).alias("key")).distinct()

@@ -14,10 +14,13 @@ CTES = f"WITH {P.LISTS}, e AS (SELECT vec_id AS id, label FROM embeddings)"
 FIRST = "f_{x} AS (SELECT query_id, CAST(coalesce(min(place) FILTER (WHERE r.label = w.label), 0) AS BIGINT) AS first FROM {x} JOIN e r ON r.id = {x}.id JOIN e w ON w.id = query_id GROUP BY 1)"
 
 
+def asking(s, d):
+    """The queries with their label; every id with a query's label is an answer."""
+    return P.labels(s, d).filter(f"id % {P.EVERY} = 0").withColumnRenamed("id", "query_id")
+
+
 def answers(s, d):
-    """Every id with a query's label is an answer."""
-    own = P.labels(s, d)
-    return own.filter(f"id % {P.EVERY} = 0").select(F.col("id").alias("query_id"), "label").join(own.withColumnRenamed("id", "answer"), "label").drop("label")
+    return P.labels(s, d).withColumnRenamed("id", "answer")
 
 
 def first(s, d, rows):
@@ -36,7 +39,7 @@ def calibrated(s, d):
 
 def traps(s, d):
     rows = a_list(s, d).join(P.labels(s, d), "id")
-    return E.forbidden(rows, F.col("label") == 3, 4).join(E.ceilings(answers(s, d)), "query_id")
+    return E.forbidden(rows, F.col("label") == 3, 4).join(E.class_ceilings(asking(s, d), answers(s, d), "label"), "query_id")
 
 
 def evidence(s, d):
@@ -62,11 +65,13 @@ def rule_sql(mode: str) -> str:
 
 def stored(s, d):
     runs = a_list(s, d).withColumn("run", F.lit("full")).unionByName(b_list(s, d).withColumn("run", F.lit("short")))
-    return E.rejudged(runs, answers(s, d).filter("answer % 2 = 0"))
+    runs = kept(runs, "runs")
+    return E.rejudged(runs, E.class_answers(runs, asking(s, d), answers(s, d).filter("answer % 2 = 0"), "label"))
 
 
 def ranked_folded(s, d):
-    return E.rank_of(a_list(s, d), answers(s, d).filter("answer % 3 = 0"), lambda c: F.floor(c / 10))
+    rows, fold = kept(a_list(s, d), "list"), lambda c: F.floor(c / 10)
+    return E.rank_of(rows, E.class_answers(rows, asking(s, d), answers(s, d).filter("answer % 3 = 0"), "label", fold), fold)
 
 
 def chunked(s, d):
