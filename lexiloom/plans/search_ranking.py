@@ -351,18 +351,25 @@ def normalized_text(s, d):
     return table(s, d, "documents").select("doc_id", T.normalized(1 << 30)("text").alias("normalized"))
 
 
+def arriving(rows, folder, batches, *by):
+    """Write rows as the files of so many batches, dealt by a hash or in turn; how many files a batch has: one for each task that can run at once, so that no file grows alone."""
+    each = rows.sparkSession.sparkContext.defaultParallelism
+    rows.repartition(batches * each, *by).write.parquet(folder)
+    return each
+
+
 def stream(s, d):
-    """The events dealt to eight files by a hash, so that days come in no order, two files a batch."""
+    """The events dealt to files by a hash, so that days come in no order, in four batches."""
     out, schema = scratch(s, "stream"), table(s, d, "events").schema
-    table(s, d, "events").repartition(8, "event_id").write.parquet(f"{out}/in")
-    counters.run_once(counters.event_stream(s, f"{out}/in", "*.parquet", schema, 2), f"{out}/counts", f"{out}/checkpoint")
+    each = arriving(table(s, d, "events"), f"{out}/in", 4, "event_id")
+    counters.run_once(counters.event_stream(s, f"{out}/in", "*.parquet", schema, each), f"{out}/counts", f"{out}/checkpoint")
     return counters.current(s, f"{out}/counts")
 
 
 def usage_alerts(s, d):
     out, orders = scratch(s, "meter"), table(s, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
-    orders.repartition(6, "o_orderkey").write.parquet(f"{out}/in")
-    events = counters.event_stream(s, f"{out}/in", "*.parquet", orders.schema, 2)
+    each = arriving(orders, f"{out}/in", 3, "o_orderkey")
+    events = counters.event_stream(s, f"{out}/in", "*.parquet", orders.schema, each)
     counters.meter(events, F.col("o_custkey"), F.date_format("o_orderdate", "yyyy"), F.lit(1), 4, out, f"{out}/checkpoint")
     return s.read.parquet(f"{out}/alerts").drop("batch", "id")
 
@@ -370,8 +377,8 @@ def usage_alerts(s, d):
 def usage_state(s, d):
     """The same alerts from keyed state. Orders come in no order of time, so a year stays open for as long as they span."""
     out, orders = scratch(s, "meter"), table(s, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
-    orders.repartition(6, "o_orderkey").write.parquet(f"{out}/in")
-    events, at = counters.event_stream(s, f"{out}/in", "*.parquet", orders.schema, 2), F.col("o_orderdate").cast("timestamp")
+    each = arriving(orders, f"{out}/in", 3, "o_orderkey")
+    events, at = counters.event_stream(s, f"{out}/in", "*.parquet", orders.schema, each), F.col("o_orderdate").cast("timestamp")
     ends = F.add_months(F.trunc(at, "year"), 12).cast("timestamp")
     keyed_meter.meter(events, F.col("o_custkey"), at, F.date_format(at, "yyyy"), ends, F.lit(1), 4, "10000 days", f"{out}/rows", f"{out}/checkpoint")
     return s.read.parquet(f"{out}/rows").filter("kind = 'alert'").select("account", "period", "percent")
@@ -382,8 +389,8 @@ def report_stream(s, d):
     e = table(s, d, "events")
     report = F.format_string('{"v":1,"sample":%s,"counts":{"%s":%d}}', F.when(F.col("event_id") % 7 == 0, "7").otherwise("0.5"), F.col("event_type"), F.col("user_id") % 5)
     raw = e.select(report.alias("report"))
-    raw.repartition(4).write.parquet(f"{out}/in")
-    counters.count_reports(counters.event_stream(s, f"{out}/in", "*.parquet", raw.schema, 1), out, f"{out}/checkpoint")
+    each = arriving(raw, f"{out}/in", 4)
+    counters.count_reports(counters.event_stream(s, f"{out}/in", "*.parquet", raw.schema, each), out, f"{out}/checkpoint")
     refused = s.read.parquet(f"{out}/refused").agg(F.lit("refused").alias("event"), F.count("*").cast("double").alias("n"))
     return counters.current(s, f"{out}/counts", ["event"], ("n",)).unionByName(refused)
 
