@@ -106,7 +106,8 @@ def contained_phrases(texts: DataFrame, phrases_: DataFrame, id_col: str, toks:
     """id, phrase: phrases that stand in a text as whole words, by an equi-join on its windows."""
     from lexiloom.functions.text import windows
 
-    return texts.select(F.col(id_col), F.explode(F.array_distinct(windows(toks, most))).alias("phrase")).join(phrases_, "phrase")
+    rows = texts.select(F.col(id_col), toks.alias("toks"))  # a column: inside a lambda it would be computed again for each window
+    return rows.select(F.col(id_col), F.explode(F.array_distinct(windows(F.col("toks"), most))).alias("phrase")).join(phrases_, "phrase")
 
 
 def diversified(rows: DataFrame, group: str, factor: float = 0.93) -> DataFrame:

@@ -343,8 +343,10 @@ def clauses(s, d):
 
 
 def text_windows(s, d):
-    w = T.windows(T.tokens(T.ascii_normalized(F.col("text"), 1 << 30)))
-    return said(s, d).select("conv_id", "turn", F.size(w).cast("long").alias("n_windows"), F.array_min(w).alias("least"), F.array_max(w).alias("most"))
+    # Tokens and windows are columns, as an expression inside a lambda is computed again for each window.
+    rows = said(s, d).withColumn("toks", T.tokens(T.ascii_normalized(F.col("text"), 1 << 30))).withColumn("w", T.windows(F.col("toks")))
+    w = F.col("w")
+    return rows.select("conv_id", "turn", F.size(w).cast("long").alias("n_windows"), F.array_min(w).alias("least"), F.array_max(w).alias("most"))
 
 
 def normalized_text(s, d):
