@@ -9,7 +9,8 @@ or as stored by word_index; queries are query_id, q, preferred, searched (masks)
 and locale. A query is searched as typed (turn 0) and, where two of its words make
 one, with them joined (turn 1), both in one pass.
 
-Phrases are scored once for all items that share them. A phrase must be found by
+Phrases are scored once for all items that share them, and items once for all of
+the same phrases: only where results are placed are they met one by one. A phrase must be found by
 one of a query's heavy words: the light ones together couldn't cover enough of
 it, so their postings, the long ones, are never read. Items are then fetched for
 the best phrases only, down to a score under which none can be among the results.
@@ -218,11 +219,20 @@ def capped(items: DataFrame) -> DataFrame:
     return rows.withColumn("score", lower(F.col("part"), F.greatest(F.lit(0.0), F.col("low") - MARGIN))).drop("raw", "floor", "top", "low")
 
 
-def ranked(items: DataFrame, popularity: DataFrame, limit: int) -> DataFrame:
-    """query_id, turn, place, item, score, phrase, field_ix: by score, then popularity (item, popularity), then item."""
-    rows = items.join(popularity, "item", "left").withColumn("score", F.round("score", 9))
-    placed = rows.withColumn("place", rank(Window.partitionBy(*QUERY).orderBy(F.desc("score"), F.desc_nulls_last("popularity"), "item")))
-    return placed.filter(F.col("place") <= limit).select(*QUERY, "place", "item", thousandths(F.col("score")).alias("score"), "phrase", "field_ix")
+def ranked(items: DataFrame, alike: DataFrame, popularity: DataFrame, limit: int) -> DataFrame:
+    """query_id, turn, place, item, score, phrase, field_ix: by score, then popularity (item, popularity), then item.
+
+    items stand for those alike (item, member). Of these only the first `limit` can be among the results, and only in
+    the `limit` groups whose first ones come first.
+    """
+    order = [F.desc_nulls_last("popularity"), "member"]
+    known = alike.join(popularity.select(F.col("item").alias("member"), "popularity"), "member", "left")
+    firsts = kept(known.withColumn("n", rank(Window.partitionBy("item").orderBy(*order))).filter(F.col("n") <= limit), "firsts")
+    query = Window.partitionBy(*QUERY).orderBy(F.desc("score"), *order)
+    few = lambda rows: rows.withColumn("place", rank(query)).filter(F.col("place") <= limit)
+    groups = few(items.withColumn("score", F.round("score", 9)).join(firsts.filter("n = 1").drop("n"), "item")).drop("popularity", "member", "place")
+    placed = few(groups.join(firsts.drop("n"), "item"))
+    return placed.select(*QUERY, "place", F.col("member").alias("item"), thousandths(F.col("score")).alias("score"), "phrase", "field_ix")
 
 
 def joined_words(queries: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -249,7 +259,7 @@ def search(queries: DataFrame, index: DataFrame | WordIndex, popularity: DataFra
     both = rows.withColumn("turn", F.lit(0)).unionByName(joined_words(rows, words.vocabulary).withColumn("turn", F.lit(1)))
     phrases = kept(scored(asked_tokens(both, function_words, prefix), words), "phrases")
     covers = phrases.groupBy("query_id").agg(thousandths(F.max("covers")).alias("coverage"))
-    listed = ranked(capped(best_items(phrases, words, size)), popularity, size)
+    listed = ranked(capped(best_items(phrases, words, size)), words.alike, popularity, size)
     listed = listed.withColumn("score", F.when(F.col("turn") == 1, thousandths(F.round(F.col("score") * L.REJOINED, 9))).otherwise(F.col("score")))
     born = F.min(F.struct("turn", "place"))  # equal scores keep the order of the query as typed, then of the joined one
     best = listed.groupBy("query_id", "item").agg(F.min_by(F.struct("score", "phrase", "field_ix"), F.struct(-F.col("score"), "turn")).alias("r"), born.alias("born")).select("query_id", "item", "r.*", "born")

@@ -1,7 +1,9 @@
 """The stored index of a search: written once, opened by any number of searches.
 
 Items that share a phrase under the same field, weight and packs share one row,
-a kind; words lead to kinds, and kinds to items. Tables are bucketed and sorted
+a kind; words lead to kinds, and kinds to items. Items of the very same kinds score
+alike whatever the query, so the least of them stands for all, and a search meets
+the others only where it places results. Tables are bucketed and sorted
 by the key that searches join them on, so a search shuffles its queries only.
 A very frequent word's kinds, and a kind's items, lie in blocks of bounded size,
 and whoever looks them up asks for each block by number: no hot key meets one
@@ -29,30 +31,33 @@ KIND = ["phrase", "field_ix", "weight", "mask"]
 #: Rows of a block, about.
 BLOCK = 65_536
 #: The tables and the keys that they are bucketed and sorted by.
-KEYS = {"postings": ["token", "block"], "members": ["phrase", "field_ix", "block"], "items": ["item"], "vocabulary": ["token"], "heads": ["qtoken"], "misspellings": ["key"]}
+KEYS = {"postings": ["token", "block"], "members": ["phrase", "field_ix", "block"], "items": ["item"], "alike": ["item"], "vocabulary": ["token"], "heads": ["qtoken"], "misspellings": ["key"]}
 
 
 @dataclass(frozen=True)
 class WordIndex:
     """The tables of an index.
 
-    postings: token, block, KIND, n_tokens, items; members: KIND, block, item; items: item, KIND, n_tokens;
+    postings: token, block, KIND, n_tokens, items; members: KIND, block, item; items: item, KIND, n_tokens, copies (items alike);
+    alike: item, member: the items that an item of the other tables stands for, itself included;
     vocabulary: token, mask, idf, blocks; heads: qtoken, token, mask; misspellings: token, key.
     """
 
     postings: DataFrame
     members: DataFrame
     items: DataFrame
+    alike: DataFrame
     vocabulary: DataFrame
     heads: DataFrame
     misspellings: DataFrame
 
 
 def vocabulary(posts: DataFrame) -> DataFrame:
-    """token, idf over items, and the mask of the packs that hold it."""
-    by_item = posts.groupBy("token", "item").agg(F.bit_or("mask").alias("mask"))
-    counts = by_item.groupBy("token").agg(F.count("*").alias("df"), F.bit_or("mask").alias("mask"))
-    items = posts.select("item").distinct().groupBy().agg(F.count("*").alias("items"))
+    """token, idf over items (copies: items that one stands for), and the mask of the packs that hold it."""
+    copies = (F.col("copies") if "copies" in posts.columns else F.lit(1).cast("long")).alias("copies")
+    by_item = posts.select("token", "item", "mask", copies).groupBy("token", "item").agg(F.bit_or("mask").alias("mask"), F.max("copies").alias("copies"))
+    counts = by_item.groupBy("token").agg(F.sum("copies").alias("df"), F.bit_or("mask").alias("mask"))
+    items = posts.select("item", copies).distinct().groupBy().agg(F.sum("copies").alias("items"))
     return counts.join(F.broadcast(items)).select("token", "mask", F.log(1 + F.col("items") / F.col("df")).alias("idf"))
 
 
@@ -76,13 +81,22 @@ def in_blocks(df: DataFrame, n_blocks: Column) -> DataFrame:
     return df.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
 
 
+def grouped(index: DataFrame, label: str = "alike-keys") -> tuple[DataFrame, DataFrame]:
+    """(items, alike) of an index: the least of the items of the same kinds, with how many they are, and all of them beside it."""
+    one = F.array_sort(F.collect_list(F.struct(*KIND, "n_tokens")))  # an item's phrases: tens
+    keys = kept(index.groupBy("item").agg(F.sha2(F.to_json(one), 256).alias("kinds")), label)
+    groups = keys.groupBy("kinds").agg(F.min("item").alias("least"), F.count("*").alias("copies"))
+    alike = keys.join(groups, "kinds").select(F.col("least").alias("item"), F.col("item").alias("member"))
+    return index.select("item", *KIND, "n_tokens").join(groups.select(F.col("least").alias("item"), "copies"), "item"), alike
+
+
 def _tables(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, postings without blocks, vocabulary) of items with their kinds."""
     kinds = items.groupBy(*KIND, "n_tokens").agg(F.count("*").alias("items"))
     members = items.join(kinds.drop("n_tokens"), KIND).select(*KIND, block_of(F.col("item"), F.col("items")).alias("block"), "item")
     posts = kinds.withColumn("token", F.explode(F.array_distinct(tokens(F.col("phrase")))))
     sizes = posts.groupBy("token").agg(blocks(F.count("*")).alias("blocks"))
-    words = vocabulary(items.select("item", "mask", F.explode(tokens(F.col("phrase"))).alias("token")))
+    words = vocabulary(items.select("item", "mask", "copies", F.explode(tokens(F.col("phrase"))).alias("token")))
     return members, posts, words.join(sizes, "token").select("token", "mask", "idf", "blocks")
 
 
@@ -107,21 +121,23 @@ def stored(index: DataFrame, path: str, buckets: int | None = None) -> WordIndex
         df.repartition(buckets, KEYS[name][0]).write.bucketBy(buckets, KEYS[name][0]).sortBy(*KEYS[name]).option("path", f"{path}/{name}").saveAsTable(table := _table(path, name))
         return spark.table(table)
 
-    items = write("items", index.select("item", *KIND, "n_tokens"))
+    first = _at_once(spark, write, **dict(zip(("items", "alike"), grouped(index), strict=True)))
+    items = first["items"]
     members, posts, vocab = _tables(items)
-    first = _at_once(spark, write, members=members, vocabulary=vocab)
+    first |= _at_once(spark, write, members=members, vocabulary=vocab)
     vocab = first["vocabulary"]
     rest = _at_once(spark, write, postings=_dealt(posts, vocab), heads=heads(vocab), misspellings=L.misspelling_keys(vocab))
     spark.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/about")  # last: an index without it isn't whole
-    return WordIndex(items=items, **first, **rest)
+    return WordIndex(**first, **rest)
 
 
 def prepared(index: DataFrame) -> WordIndex:
     """The tables of an index for one search alone: only what it reads several times is written."""
-    items = kept(index.select("item", *KIND, "n_tokens"), "items")
+    items, alike = grouped(kept(index.select("item", *KIND, "n_tokens"), "index"))
+    items = kept(items, "items")
     members, posts, vocab = _tables(items)
     vocab = kept(vocab, "vocabulary")
-    return WordIndex(_dealt(posts, vocab), members, items, vocab, heads(vocab), L.misspelling_keys(vocab))
+    return WordIndex(_dealt(posts, vocab), members, items, alike, vocab, heads(vocab), L.misspelling_keys(vocab))
 
 
 def _table(path: str, name: str) -> str:
